@@ -101,7 +101,7 @@ DAY_NAME = (
 
 
 def insights() -> str:
-    return windows() + f""",
+    return windows(3, 1, 1) + f""",
 placed AS (
   SELECT *, count(*) OVER (PARTITION BY site_id, dow) AS n FROM windows),
 typed AS (
@@ -234,6 +234,13 @@ def duration(minutes: str) -> str:
     )
 
 
+NOTICE_TEXT = f"""'It is forecasted that ' || CASE kind
+         WHEN 'available' THEN 'charge ports will be available in ' || {duration('(edge_min - now_min)')}
+              || ' @ ' || {clock('edge_min')} || ' for ' || {duration('(end_min - start_min)')}
+         ELSE 'all charge ports will be unavailable in ' || {duration('(edge_min - now_min)')}
+              || ' @ ' || {clock('edge_min')} END"""
+
+
 def throttled() -> str:
     return lookahead() + """,
 ranked AS (
@@ -343,7 +350,7 @@ SELECT *, CAST(row_number() OVER (PARTITION BY device_id, dow ORDER BY hour, slo
     "availability_windows_low": q(windows(1, 1, 2, "avg"), WINDOW_COLUMNS),
     "availability_windows_toggle": q(windows(2, 3, 0), WINDOW_COLUMNS),
     "availability_windows_hysteresis": q(windows(3, 1, 1), WINDOW_COLUMNS),
-    "window_schedule_utc": q(windows(), f"""
+    "window_schedule_utc": q(windows(3, 1, 1), f"""
 SELECT site_id, dow, window_no, CAST(start_min // 60 AS INTEGER) AS start_hour,
        CAST(start_min % 60 AS INTEGER) AS start_minute, CAST(end_min // 60 AS INTEGER) AS end_hour,
        CAST(end_min % 60 AS INTEGER) AS end_minute,
@@ -394,11 +401,7 @@ FROM at_interval"""),
     "lookahead_alerts": q(lookahead(), f"""
 SELECT site_id, {ts_text('ts')} AS ts, kind, avail, edge_min - now_min AS minutes_ahead,
        {duration('(edge_min - now_min)')} AS duration_text, {clock('edge_min')} AS edge_text,
-       'It is forecasted that ' || CASE kind
-         WHEN 'available' THEN 'charge ports will be available in ' || {duration('(edge_min - now_min)')}
-              || ' @ ' || {clock('edge_min')} || ' for ' || {duration('(end_min - start_min)')}
-         ELSE 'all charge ports will be unavailable in ' || {duration('(edge_min - now_min)')}
-              || ' @ ' || {clock('edge_min')} END AS text
+       {NOTICE_TEXT} AS text
 FROM candidates"""),
     "throttled_alerts": q(throttled(), f"""
 SELECT site_id, {ts_text('ts')} AS ts, kind, start_min, end_min FROM notices""", recursive=True),
@@ -474,3 +477,47 @@ FROM routes""")
 
 
 SQL["routed_alerts"] = _routed()
+
+SQL["stream_slot_counts"] = SQL["slot_availability"]
+SQL["stream_window_counts"] = q(READINGS, f"""
+SELECT site_id, {ts_text("date_trunc('hour', ts)")} AS slot_start,
+       count(*) FILTER (WHERE status = 'available') AS avail_count, count(*) AS reading_count
+FROM readings GROUP BY site_id, date_trunc('hour', ts)""")
+SQL["stream_slot_dedupe"] = q(READINGS, f"""
+SELECT DISTINCT device_id, outlet_id, {ts_text("date_trunc('hour', ts)")} AS slot_start
+FROM readings""")
+SQL["stream_transitions"] = q(velocities() + """,
+ranked AS (
+  SELECT *, count(velocity) OVER (
+    PARTITION BY site_id, run ORDER BY ts ROWS 2 PRECEDING) AS known FROM velocities)""", f"""
+SELECT site_id, {ts_text('ts')} AS ts, kind, avail, avail_old, in_use, unknown, total, velocity,
+       CAST(CASE WHEN kind = 'decreased' THEN known ELSE 0 END AS INTEGER) AS estimates
+FROM ranked""")
+SQL["stream_notices"] = q(throttled(), f"""
+SELECT site_id, {ts_text('ts')} AS ts, kind, start_min, end_min, {NOTICE_TEXT} AS text
+FROM notices""", recursive=True)
+
+# multinomial naive Bayes with smoothing 0.5 over (dow, hour + 1, slot + 1)
+SQL["nb_status_classifier"] = q(condensed() + """,
+rows AS (
+  SELECT CASE status WHEN 'unknown' THEN 0 WHEN 'available' THEN 1 ELSE 2 END AS label,
+         dow AS x1, hour + 1 AS x2, slot + 1 AS x3 FROM condensed),
+sums AS (
+  SELECT label, count(*) AS n, sum(x1) AS s1, sum(x2) AS s2, sum(x3) AS s3 FROM rows GROUP BY label),
+weights AS (
+  SELECT label, ln(n + 0.5) - ln(sum(n) OVER () + 1.5) AS pi,
+         ln(s1 + 0.5) - ln(s1 + s2 + s3 + 1.5) AS t1, ln(s2 + 0.5) - ln(s1 + s2 + s3 + 1.5) AS t2,
+         ln(s3 + 0.5) - ln(s1 + s2 + s3 + 1.5) AS t3 FROM sums),
+scores AS (
+  SELECT CAST(d AS INTEGER) AS dow, CAST(h AS INTEGER) AS hour, label,
+         pi + d * t1 + (h + 1) * t2 + t3 AS score
+  FROM weights, range(1, 8) a(d), range(24) b(h)),
+shares AS (
+  SELECT *, exp(score - max(score) OVER w) AS e FROM scores WINDOW w AS (PARTITION BY dow, hour))""", """
+SELECT dow, hour, 0 AS slot,
+       CASE arg_max(label, score) WHEN 0 THEN 'unknown' WHEN 1 THEN 'available' ELSE 'in_use' END
+         AS predicted_status,
+       round(sum(e) FILTER (WHERE label = 0) / sum(e), 6) AS prob_unknown,
+       round(sum(e) FILTER (WHERE label = 1) / sum(e), 6) AS prob_available,
+       round(sum(e) FILTER (WHERE label = 2) / sum(e), 6) AS prob_in_use
+FROM shares GROUP BY dow, hour""")

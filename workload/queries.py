@@ -10,8 +10,12 @@ from pyspark.sql import functions as F
 
 from statuspulse.functions import codes, text
 from statuspulse.operators import alerts, forecast, lookahead, slots, status, transitions, windows
+from statuspulse import schemas
+from statuspulse.session import shared_path
 from statuspulse.sources import archives, history, tables
-from workload.adapter import SETTINGS, events, readings
+from statuspulse.streaming import monitor, slot_stream
+from statuspulse.streaming.run import newest_version, run_available, stream_files
+from workload.adapter import SETTINGS, as_readings, events, readings
 
 AS_OF = datetime(2024, 1, 31)
 HISTORY = replace(SETTINGS, train_days=20)
@@ -62,8 +66,12 @@ def found_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return windows.availability_windows(peak_profile(spark, sf_dir), settings=SETTINGS)
 
 
+def held_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return windows.availability_windows(peak_profile(spark, sf_dir), settings=HYSTERESIS)
+
+
 def found_insights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return windows.insights(found_windows(spark, sf_dir), settings=SETTINGS)
+    return windows.insights(held_windows(spark, sf_dir), settings=SETTINGS)
 
 
 def polls(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -237,11 +245,11 @@ def availability_windows_toggle(spark, sf_dir):
 
 
 def availability_windows_hysteresis(spark, sf_dir):
-    return windows.availability_windows(peak_profile(spark, sf_dir), settings=HYSTERESIS)
+    return held_windows(spark, sf_dir)
 
 
 def window_schedule_utc(spark, sf_dir):
-    found = windows.with_clock_parts(found_windows(spark, sf_dir))
+    found = windows.with_clock_parts(held_windows(spark, sf_dir))
     return windows.window_schedule(found, settings=SETTINGS).drop("n_cont", "start_min", "end_min")
 
 
@@ -447,6 +455,77 @@ def archive_quarantine(spark, sf_dir):
     return archives.quarantine(archives.parse_archives(cut, outlets=None))
 
 
+# ---- streams: each runs over everything available, then its table is read ------------
+
+DELAY = "2 hours"
+
+
+def _reading_stream(spark, sf_dir):
+    rows = stream_files(spark, sf_dir, schemas.EVENTS, glob="events.parquet")
+    return as_readings(rows)
+
+
+def _poll_stream(spark, sf_dir):
+    """The hourly polls, written once and read back as a stream of files."""
+    path = shared_path(spark, "polls")
+    rows = polls(spark, sf_dir).withColumn("ts", F.col("ts").cast("timestamp"))
+    tables.replace_table(rows, path)
+    return stream_files(spark, path, schemas.POLLS)
+
+
+def stream_window_counts(spark, sf_dir):
+    stream = slot_stream.window_counts(_reading_stream(spark, sf_dir), settings=SETTINGS, delay=DELAY)
+    rows = run_available(stream, shared_path(spark, "window_counts"), mode="update")
+    latest = newest_version(rows, ["site_id", "slot_start"])
+    return plain(latest.withColumn("slot_start", F.col("slot_start").cast("timestamp_ntz")))
+
+
+def stream_slot_dedupe(spark, sf_dir):
+    """Every outlet passes once per slot."""
+    stream = slot_stream.first_in_slot(_reading_stream(spark, sf_dir), settings=SETTINGS, delay=DELAY)
+    rows = run_available(stream, shared_path(spark, "slot_dedupe"), mode="append")
+    return plain(
+        rows.select(
+            "device_id", "outlet_id", F.col("slot_start").cast("timestamp_ntz").alias("slot_start")
+        )
+    )
+
+
+def stream_slot_counts(spark, sf_dir):
+    """Condensed by the stream, revised in update mode; its counts equal the batch ones."""
+    stream = slot_stream.condense(_reading_stream(spark, sf_dir), settings=SETTINGS, delay=DELAY)
+    rows = run_available(stream, shared_path(spark, "slot_counts"), mode="update")
+    latest = newest_version(rows, [*slots.OUTLET_KEY, "slot_gmt"])
+    counted = slots.slot_counts(slot_stream.localised(latest, settings=SETTINGS))
+    return plain(counted.drop("slot_start"))
+
+
+def stream_transitions(spark, sf_dir):
+    stream = monitor.with_means(
+        monitor.live_changes(_poll_stream(spark, sf_dir), settings=SETTINGS), settings=SETTINGS
+    )
+    rows = run_available(stream, shared_path(spark, "transitions"), mode="append")
+    return plain(
+        rows.select(
+            "site_id", F.col("ts").cast("timestamp_ntz").alias("ts"), "kind", "avail", "avail_old",
+            "in_use", "unknown", "total", "velocity", F.size("means").alias("estimates"),
+        )
+    )
+
+
+def stream_notices(spark, sf_dir):
+    stream = monitor.live_notices(
+        _poll_stream(spark, sf_dir), found_insights(spark, sf_dir), settings=SETTINGS
+    )
+    rows = run_available(stream, shared_path(spark, "notices"), mode="append")
+    return plain(
+        rows.select(
+            "site_id", F.col("ts").cast("timestamp_ntz").alias("ts"), "kind", "start_min", "end_min",
+            "text",
+        )
+    )
+
+
 REGISTERED = {
     f.__name__: f
     for f in (
@@ -459,6 +538,7 @@ REGISTERED = {
         insights_for_day, depletion_velocity, time_to_empty, next_interval, lookahead_alerts,
         throttled_alerts, current_prediction, routed_alerts, current_stats, training_vectors,
         rf_week_forecast, nb_status_classifier, outlet_status_forest, bayes_holdout_accuracy,
-        archive_ingest, archive_quarantine,
+        archive_ingest, archive_quarantine, stream_window_counts, stream_slot_dedupe,
+        stream_slot_counts, stream_transitions, stream_notices,
     )
 } | {"transitions": transition_list}
