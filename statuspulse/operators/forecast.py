@@ -24,19 +24,19 @@ def week_ordinal(settings: Settings) -> Column:
     return (hours * settings.slots_per_hour + F.col("slot")).cast("int")
 
 
+def _week_parts(settings: Settings) -> dict[str, Column]:
+    ordinal, spd, sph = F.col("week_ordinal"), settings.slots_per_day, settings.slots_per_hour
+    return {
+        "dow": (F.floor(ordinal / spd) + 1).cast("int"),
+        "hour": F.floor(F.pmod(ordinal, F.lit(spd)) / sph).cast("int"),
+        "slot": F.pmod(ordinal, F.lit(sph)).cast("int"),
+    }
+
+
 def week_grid(sites: DataFrame, *, settings: Settings = DEFAULTS) -> DataFrame:
     """Every slot of a week for every row of ``sites``: a generator, not a cross join."""
-    spd, sph = settings.slots_per_day, settings.slots_per_hour
-    ordinal = F.col("week_ordinal")
-    return sites.withColumn(
-        "week_ordinal", F.explode(F.sequence(F.lit(0), F.lit(7 * spd - 1)))
-    ).withColumns(
-        {
-            "dow": (F.floor(ordinal / spd) + 1).cast("int"),
-            "hour": F.floor(F.pmod(ordinal, F.lit(spd)) / sph).cast("int"),
-            "slot": F.pmod(ordinal, F.lit(sph)).cast("int"),
-        }
-    )
+    ordinals = F.sequence(F.lit(0), F.lit(7 * settings.slots_per_day - 1))
+    return sites.withColumn("week_ordinal", F.explode(ordinals)).withColumns(_week_parts(settings))
 
 
 def with_ordinals(forecast: DataFrame, *, settings: Settings = DEFAULTS) -> DataFrame:
@@ -74,14 +74,26 @@ def weekly_profile(
 ) -> DataFrame:
     """Baseline forecast: the rounded mean (or the maximum) of each slot of the week.
 
-    The grid supplies the slots that history lacks, with 0.
+    Slots that history lacks get 0.  The grid is put under each site's own slots, at most
+    one week of them, rather than joined: history is read once.
     """
     stat = {"mean": F.avg("avail_count"), "max": F.max("avail_count")}[how]
-    slot_key = [*keys, "dow", "hour", "slot"]
-    profile = counts.groupBy(*slot_key).agg(F.round(stat).cast("int").alias("_avail"))
-    grid = week_grid(counts.select(*keys).distinct(), settings=settings)
-    return grid.join(profile, slot_key, "left").select(
-        *slot_key, "week_ordinal", F.coalesce("_avail", F.lit(0)).alias("countavailable")
+    seen = counts.groupBy(*keys, "dow", "hour", "slot").agg(
+        F.round(stat).cast("int").alias("countavailable")
+    )
+    entry = F.struct(week_ordinal(settings).alias("week_ordinal"), "countavailable")
+    zeros = F.transform(
+        F.sequence(F.lit(0), F.lit(7 * settings.slots_per_day - 1)),
+        lambda i: F.struct(i.alias("week_ordinal"), F.lit(0).alias("countavailable")),
+    )
+    per_site = seen.groupBy(*keys).agg(F.collect_list(entry).alias("_seen"))
+    filled = (
+        per_site.select(*keys, F.inline(F.concat("_seen", zeros)))
+        .groupBy(*keys, "week_ordinal")
+        .agg(F.max("countavailable").alias("countavailable"))
+    )
+    return filled.withColumns(_week_parts(settings)).select(
+        *keys, "dow", "hour", "slot", "week_ordinal", "countavailable"
     )
 
 

@@ -4,9 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -115,16 +113,6 @@ def lookahead_alerts(placed: DataFrame, *, settings: Settings = DEFAULTS) -> Dat
     )
 
 
-def _spaced(times: pd.Series, gap: pd.Timedelta) -> np.ndarray:
-    """Positions of the greedy choice: each is the first later than ``gap`` after the last."""
-    values = times.to_numpy()
-    picked, at = [], 0
-    while at < len(values):
-        picked.append(at)
-        at = int(np.searchsorted(values, values[at] + gap.to_timedelta64(), side="right"))
-    return np.array(picked, dtype=np.int64)
-
-
 def throttle(
     alerts: DataFrame,
     *,
@@ -135,26 +123,29 @@ def throttle(
 
     After any candidate the last notified interval is that candidate's own: it was either
     emitted or suppressed as a repeat.  So each unbroken stretch of candidates for one
-    interval is independent of all others.  An interval lies within one day, and the same
-    one a week later is long past the throttle, so the groups are (site, date, interval) -
-    at most the polls of one site during one interval of one day.  Two intervals of a day
-    do not alternate: the look-up moves forward with time.  The greedy choice in a group
-    depends on every choice before it, which no window frame expresses.
+    interval is independent of all others.  An interval lies within one day, the same one a
+    week later is long past the throttle, and two intervals of a day do not alternate since
+    the look-up moves forward with time.  The groups therefore are (site, date, interval): at
+    most the polls of one site during one interval of one day.
+
+    Within a group the choice is greedy - each notice depends on the one before - which no
+    window frame expresses; it is a fold over the group's ordered times.
     """
-    gap = pd.Timedelta(minutes=settings.notify_interval_minutes)
-    if gap >= pd.Timedelta(days=6):
+    if settings.notify_interval_minutes >= 6 * 24 * 60:
         raise ValueError("a throttle of days would reach into next week's intervals")
-
-    def pick(group: pd.DataFrame) -> pd.DataFrame:
-        ordered = group.sort_values("ts", kind="stable").reset_index(drop=True)
-        return ordered.iloc[_spaced(ordered["ts"], gap)]
-
-    dated = alerts.withColumn("local_date", F.to_date("local_ts"))
-    return (
-        dated.groupBy(*keys, "local_date", "start_min", "end_min")
-        .applyInPandas(pick, dated.schema)
-        .drop("local_date")
-    )
+    gap = F.make_dt_interval(F.lit(0), F.lit(0), F.lit(settings.notify_interval_minutes))
+    columns = alerts.columns
+
+    def step(told: Column, row: Column) -> Column:
+        due = (F.size(told) == 0) | (row["ts"] > F.element_at(told, -1)["ts"] + gap)
+        return F.when(due, F.array_append(told, row)).otherwise(told)
+
+    row = F.struct("ts", *(c for c in columns if c != "ts"))
+    grouped = alerts.groupBy(
+        *keys, F.to_date("local_ts").alias("_date"), "start_min", "end_min"
+    ).agg(F.sort_array(F.collect_list(row)).alias("_rows"))
+    none = F.slice("_rows", 1, 0)
+    return grouped.select(F.inline(F.aggregate("_rows", none, step))).select(*columns)
 
 
 def current_prediction(

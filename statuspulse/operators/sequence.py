@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -19,15 +19,25 @@ IS_HALO = "is_halo"
 
 
 def with_halo(
-    df: DataFrame, keys: Sequence[str], chunk: str, order: Sequence[str], k: int
+    df: DataFrame,
+    keys: Sequence[str],
+    chunk: str,
+    order: Sequence[str],
+    k: int,
+    carry: Sequence[str] | None = None,
 ) -> DataFrame:
     """``df`` plus, per (keys, chunk), copies of the ``k`` rows before it, flagged ``is_halo``.
 
     ``chunk`` must not decrease along ``order`` within a key, and (keys, order) must be
     unique.  The tails are limited before they are shuffled, so what moves between chunks is
     ``k`` rows per chunk; the window that links the chunks of one key sees one row a chunk.
+
+    ``carry`` names the columns the look-back needs; the others are NULL in a halo row.  Name
+    them when ``df`` is read from files, so that the tails read less.  Leave it out when
+    ``df`` comes from a shuffle: with equal columns Spark reuses that shuffle for the tails.
     """
-    payload = [*order, *(c for c in df.columns if c not in {*keys, chunk, *order})]
+    wanted = df.columns if carry is None else carry
+    payload = [*order, *(c for c in wanted if c not in {*keys, chunk, *order})]
     newest_first = Window.partitionBy(*keys, chunk).orderBy(*(F.col(c).desc() for c in order))
     tails = (
         df.withColumn("_rank", F.row_number().over(newest_first))
@@ -45,8 +55,15 @@ def with_halo(
             F.slice("_before", F.greatest(F.size("_before") - (k - 1), F.lit(1)), k)
         ).alias("_row"),
     )
+
+    def column(name: str, kind: str) -> Column:
+        if name in payload:
+            return F.col(f"_row.{name}").alias(name)
+        if name in {*keys, chunk}:
+            return F.col(name)
+        return F.lit(None).cast(kind).alias(name)
+
     halo = carried.select(
-        *(F.col(f"_row.{c}").alias(c) if c in payload else F.col(c) for c in df.columns),
-        F.lit(True).alias(IS_HALO),
+        *(column(name, kind) for name, kind in df.dtypes), F.lit(True).alias(IS_HALO)
     )
     return df.withColumn(IS_HALO, F.lit(False)).unionByName(halo)

@@ -106,16 +106,20 @@ def suppress_repeats(
     hour_key = [*keys, "slot_date", "hour"]
     w = Window.partitionBy(*hour_key, "_chunk").orderBy(*order)
     return (
-        with_halo(readings.withColumn("_chunk", chunk), hour_key, "_chunk", order, 1)
+        with_halo(
+            readings.withColumn("_chunk", chunk), hour_key, "_chunk", order, 1, carry=["slot"]
+        )
         .withColumn("_previous", F.lag("slot").over(w))
         .where(~F.col(IS_HALO) & ~F.col("slot").eqNullSafe(F.col("_previous")))
         .drop("_previous", "_chunk", IS_HALO)
     )
 
 
-def slot_counts(condensed: DataFrame, *, keys: Sequence[str] = ("site_id",)) -> DataFrame:
+def slot_counts(
+    condensed: DataFrame, *, settings: Settings = DEFAULTS, keys: Sequence[str] = ("site_id",)
+) -> DataFrame:
     """Status counts per slot.  Every reading creates its slot; a slot may count 0 available."""
-    return condensed.groupBy(*keys, "slot_start", "slot_date", "dow", "hour", "slot").agg(
+    counts = condensed.groupBy(*keys, "slot_start").agg(
         *(
             F.count_if(F.col("status") == status).alias(name)
             for status, name in (
@@ -126,6 +130,9 @@ def slot_counts(condensed: DataFrame, *, keys: Sequence[str] = ("site_id",)) ->
         ),
         F.count("*").alias("reading_count"),
     )
+    start = F.col("slot_start")
+    at = time.slot_of_day(start, settings.slot_minutes)
+    return counts.withColumns(slot_columns(F.to_date(start), at, settings))
 
 
 def over_capacity(counts: DataFrame, *, settings: Settings = DEFAULTS) -> DataFrame:

@@ -23,11 +23,13 @@ def day_chunk(ts: Column) -> Column:
     return F.to_date(ts)
 
 
-def polls_from_counts(counts: DataFrame, *, keys: Sequence[str] = KEYS) -> DataFrame:
-    """Slot counts read as polls at the slot start."""
+def polls_from_counts(
+    counts: DataFrame, *, settings: Settings = DEFAULTS, keys: Sequence[str] = KEYS
+) -> DataFrame:
+    """Slot counts read as polls at the slot start, in GMT."""
     return counts.select(
         *keys,
-        F.col("slot_start").alias("ts"),
+        time.to_gmt(F.col("slot_start"), settings.zone).alias("ts"),
         F.col("avail_count").alias("avail"),
         F.col("in_use_count").alias("in_use"),
         F.col("unknown_count").alias("unknown"),
@@ -156,15 +158,20 @@ def time_to_empty(with_means: DataFrame, *, settings: Settings = DEFAULTS) -> Da
     )
 
 
-def current_stats(
-    figures: DataFrame, *, keys: Sequence[str] = KEYS
-) -> DataFrame:
-    """The statistics record of every site: its latest change."""
-    fields = [c for c in figures.columns if c not in keys]
+def latest_change(changed: DataFrame, *, keys: Sequence[str] = KEYS) -> DataFrame:
+    """Every site's last change: what its statistics record shows."""
+    fields = [c for c in changed.columns if c not in keys]
     last = F.max_by(F.struct(*fields), F.col("ts")).alias("_last")
     return (
-        figures.groupBy(*keys)
+        changed.groupBy(*keys)
         .agg(last)
-        .select(*keys, *(F.col(f"_last.{c}").alias(c) for c in fields))
+        .select(*keys, "_last.*")
         .withColumn("init", (F.col("kind") == "initial").cast("int"))
     )
+
+
+def current_stats(
+    changed: DataFrame, *, settings: Settings = DEFAULTS, keys: Sequence[str] = KEYS
+) -> DataFrame:
+    """Statistics records: figures are made for the surviving rows only."""
+    return with_change_figures(latest_change(changed, keys=keys), settings=settings)

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from datetime import datetime, timedelta
+from datetime import UTC, datetime, timedelta
+from zoneinfo import ZoneInfo
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,6 +19,20 @@ def within_lookback(date: Column, as_of: datetime, days: int) -> Column:
     return date > F.lit((as_of - timedelta(days=days)).date())
 
 
+def readings_within(
+    readings: DataFrame, *, as_of: datetime, settings: Settings = DEFAULTS, ts: str = "ts"
+) -> DataFrame:
+    """Raw GMT readings of the local days inside the look-back.
+
+    The bound is a literal on the stored column, so files and row groups are skipped before
+    any zone is converted.
+    """
+    first = (as_of - timedelta(days=settings.train_days)).date() + timedelta(days=1)
+    midnight = datetime(first.year, first.month, first.day, tzinfo=ZoneInfo(settings.zone))
+    bound = midnight.astimezone(UTC).replace(tzinfo=None)
+    return readings.where(F.col(ts) >= F.lit(bound.isoformat(" ")).cast("timestamp_ntz"))
+
+
 def candidate_days(
     table: DataFrame, *, as_of: datetime, settings: Settings = DEFAULTS, date: str = "slot_date"
 ) -> DataFrame:

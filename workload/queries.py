@@ -41,17 +41,23 @@ def slotted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return slots.with_slots(readings(spark, sf_dir), settings=SETTINGS)
 
 
+def recent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Slotted readings of the look-back, the raw table pruned by time."""
+    rows = history.readings_within(readings(spark, sf_dir), as_of=AS_OF, settings=HISTORY)
+    return slots.with_slots(rows, settings=SETTINGS)
+
+
 def condensed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return slots.condense(readings(spark, sf_dir), settings=SETTINGS)
 
 
 def counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return slots.slot_counts(condensed(spark, sf_dir))
+    return slots.slot_counts(condensed(spark, sf_dir), settings=SETTINGS)
 
 
 def fleet_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts over all sites, as the model is trained on them."""
-    return slots.slot_counts(condensed(spark, sf_dir), keys=())
+    return slots.slot_counts(condensed(spark, sf_dir), settings=SETTINGS, keys=())
 
 
 def profile(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,10 +81,8 @@ def found_insights(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def polls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hourly counts in GMT slots, one poll per site and hour."""
-    gmt = replace(SETTINGS, zone="UTC")
-    condensed_gmt = slots.condense(readings(spark, sf_dir), settings=gmt)
-    return transitions.polls_from_counts(slots.slot_counts(condensed_gmt))
+    """Hourly counts, one poll per site and hour."""
+    return transitions.polls_from_counts(counts(spark, sf_dir), settings=SETTINGS)
 
 
 def changes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -175,18 +179,17 @@ def unknown_status_audit(spark, sf_dir):
 
 
 def lookback_complete_days(spark, sf_dir):
-    kept = history.complete_days(slotted(spark, sf_dir), as_of=AS_OF, settings=HISTORY)
+    table = recent(spark, sf_dir)
+    kept = history.complete_days(table, as_of=AS_OF, settings=HISTORY)
     return plain(kept.groupBy("slot_date").agg(F.count("*").alias("readings")))
 
 
 def incremental_new_dates(spark, sf_dir):
     """The ledger holds the days up to the 18th; it is derived from the same table."""
-    table = slotted(spark, sf_dir)
-    ledger = table.where(F.col("slot_date") <= datetime(2024, 1, 18).date())
-    days = history.new_days(
-        table, ledger.select("slot_date").distinct(), as_of=AS_OF, settings=HISTORY
-    )
-    return plain(days)
+    done = slotted(spark, sf_dir).where(F.col("slot_date") <= datetime(2024, 1, 18).date())
+    ledger = done.select("slot_date").distinct()
+    table = recent(spark, sf_dir)
+    return plain(history.new_days(table, ledger, as_of=AS_OF, settings=HISTORY))
 
 
 def device_ignore(spark, sf_dir):
@@ -332,7 +335,7 @@ def routed_alerts(spark, sf_dir):
 
 
 def current_stats(spark, sf_dir):
-    latest = transitions.current_stats(figures(spark, sf_dir))
+    latest = transitions.current_stats(changes(spark, sf_dir), settings=SETTINGS)
     return plain(
         latest.select(
             "site_id", "ts", "init", "avail", "avail_old", "in_use", "in_use_old",
@@ -496,7 +499,8 @@ def stream_slot_counts(spark, sf_dir):
     stream = slot_stream.condense(_reading_stream(spark, sf_dir), settings=SETTINGS, delay=DELAY)
     rows = run_available(stream, shared_path(spark, "slot_counts"), mode="update")
     latest = newest_version(rows, [*slots.OUTLET_KEY, "slot_gmt"])
-    counted = slots.slot_counts(slot_stream.localised(latest, settings=SETTINGS))
+    localised = slot_stream.localised(latest, settings=SETTINGS)
+    counted = slots.slot_counts(localised, settings=SETTINGS)
     return plain(counted.drop("slot_start"))
 
 
