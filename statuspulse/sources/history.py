@@ -43,8 +43,11 @@ def candidate_days(
 
 def without_newest(days: DataFrame, *, date: str = "slot_date") -> DataFrame:
     """All days but the newest, which may still be filling.  One day or none leaves nothing."""
-    newest = days.agg(F.max(date)).scalar()
-    return days.where(F.col(date) < newest)
+    # one row a day: the list is as short as the look-back
+    in_order = F.sort_array(F.collect_set(date))
+    return days.agg(in_order.alias("_days")).select(
+        F.explode(F.slice("_days", F.lit(1), F.greatest(F.size("_days") - 1, F.lit(0)))).alias(date)
+    )
 
 
 def complete_days(

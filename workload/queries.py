@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from statuspulse.functions import codes, text
 from statuspulse.operators import alerts, forecast, lookahead, slots, status, transitions, windows
 from statuspulse import schemas
-from statuspulse.session import shared_path
+from statuspulse.session import materialise, shared_path
 from statuspulse.sources import archives, history, tables
 from statuspulse.streaming import monitor, slot_stream
 from statuspulse.streaming.run import newest_version, run_available, stream_files
@@ -76,8 +76,21 @@ def held_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return windows.availability_windows(peak_profile(spark, sf_dir), settings=HYSTERESIS)
 
 
+def week_insights(table: DataFrame) -> DataFrame:
+    """Insights of the peak week of a count table."""
+    peak = forecast.weekly_profile(table, settings=SETTINGS, how="max")
+    return windows.insights(
+        windows.availability_windows(peak, settings=HYSTERESIS), settings=SETTINGS
+    )
+
+
 def found_insights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return windows.insights(held_windows(spark, sf_dir), settings=SETTINGS)
+    return week_insights(counts(spark, sf_dir))
+
+
+def stored_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The counts, written once: the queries below use them for polls and for intervals."""
+    return materialise(counts(spark, sf_dir), "counts")
 
 
 def polls(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -89,26 +102,28 @@ def changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return transitions.changes(polls(spark, sf_dir))
 
 
-def figures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return transitions.with_change_figures(changes(spark, sf_dir), settings=SETTINGS)
+def figures(changed: DataFrame) -> DataFrame:
+    return transitions.with_change_figures(changed, settings=SETTINGS)
 
 
 def velocities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return transitions.with_velocities(changes(spark, sf_dir), settings=SETTINGS)
 
 
-def placed(spark: SparkSession, sf_dir: str) -> DataFrame:
+def placed(table: DataFrame) -> DataFrame:
     return lookahead.next_interval(
-        polls(spark, sf_dir), found_insights(spark, sf_dir), settings=SETTINGS
+        transitions.polls_from_counts(table, settings=SETTINGS),
+        week_insights(table),
+        settings=SETTINGS,
     )
 
 
-def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lookahead.lookahead_alerts(placed(spark, sf_dir), settings=SETTINGS)
+def candidates(table: DataFrame) -> DataFrame:
+    return lookahead.lookahead_alerts(placed(table), settings=SETTINGS)
 
 
-def notices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lookahead.throttle(candidates(spark, sf_dir), settings=SETTINGS)
+def notices(table: DataFrame) -> DataFrame:
+    return lookahead.throttle(candidates(table), settings=SETTINGS)
 
 
 # ---- registered ------------------------------------------------------------------
@@ -273,7 +288,7 @@ def insights_for_day(spark, sf_dir):
 
 def transition_list(spark, sf_dir):
     return plain(
-        figures(spark, sf_dir).select(
+        figures(changes(spark, sf_dir)).select(
             "site_id", "ts", "kind", "avail", "avail_old", "in_use", "unknown", "total",
             "pct_avail", "pct_change", "pct_change_total",
             "pct_avail_text", "pct_change_text", "pct_change_total_text", "text",
@@ -298,7 +313,7 @@ def time_to_empty(spark, sf_dir):
 
 def next_interval(spark, sf_dir):
     return plain(
-        placed(spark, sf_dir).select(
+        placed(stored_counts(spark, sf_dir)).select(
             "site_id", "ts", "avail", "dow", "now_min", "start_min", "end_min", "in_interval"
         )
     )
@@ -306,24 +321,27 @@ def next_interval(spark, sf_dir):
 
 def lookahead_alerts(spark, sf_dir):
     return plain(
-        candidates(spark, sf_dir).select(
+        candidates(stored_counts(spark, sf_dir)).select(
             "site_id", "ts", "kind", "avail", "minutes_ahead", "duration_text", "edge_text", "text"
         )
     )
 
 
 def throttled_alerts(spark, sf_dir):
-    return plain(notices(spark, sf_dir).select("site_id", "ts", "kind", "start_min", "end_min"))
+    told = notices(stored_counts(spark, sf_dir))
+    return plain(told.select("site_id", "ts", "kind", "start_min", "end_min"))
 
 
 def current_prediction(spark, sf_dir):
-    sites = readings(spark, sf_dir).select("site_id").distinct()
-    return lookahead.current_prediction(notices(spark, sf_dir), sites)
+    table = stored_counts(spark, sf_dir)
+    return lookahead.current_prediction(notices(table), table.select("site_id").distinct())
 
 
 def routed_alerts(spark, sf_dir):
-    both = alerts.transition_alerts(figures(spark, sf_dir)).unionByName(
-        alerts.forecast_alerts(candidates(spark, sf_dir))
+    table = stored_counts(spark, sf_dir)
+    changed = transitions.changes(transitions.polls_from_counts(table, settings=SETTINGS))
+    both = alerts.transition_alerts(figures(changed)).unionByName(
+        alerts.forecast_alerts(candidates(table))
     )
     return plain(
         alerts.route(both, settings=SETTINGS).select(
@@ -468,11 +486,11 @@ def _reading_stream(spark, sf_dir):
     return as_readings(rows)
 
 
-def _poll_stream(spark, sf_dir):
-    """The hourly polls, written once and read back as a stream of files."""
+def _poll_stream(spark, table):
+    """The hourly polls, written and read back as a stream of files."""
     path = shared_path(spark, "polls")
-    rows = polls(spark, sf_dir).withColumn("ts", F.col("ts").cast("timestamp"))
-    tables.replace_table(rows, path)
+    rows = transitions.polls_from_counts(table, settings=SETTINGS)
+    tables.replace_table(rows.withColumn("ts", F.col("ts").cast("timestamp")), path)
     return stream_files(spark, path, schemas.POLLS)
 
 
@@ -506,7 +524,8 @@ def stream_slot_counts(spark, sf_dir):
 
 def stream_transitions(spark, sf_dir):
     stream = monitor.with_means(
-        monitor.live_changes(_poll_stream(spark, sf_dir), settings=SETTINGS), settings=SETTINGS
+        monitor.live_changes(_poll_stream(spark, counts(spark, sf_dir)), settings=SETTINGS),
+        settings=SETTINGS,
     )
     rows = run_available(stream, shared_path(spark, "transitions"), mode="append")
     return plain(
@@ -518,8 +537,9 @@ def stream_transitions(spark, sf_dir):
 
 
 def stream_notices(spark, sf_dir):
+    table = stored_counts(spark, sf_dir)
     stream = monitor.live_notices(
-        _poll_stream(spark, sf_dir), found_insights(spark, sf_dir), settings=SETTINGS
+        _poll_stream(spark, table), week_insights(table), settings=SETTINGS
     )
     rows = run_available(stream, shared_path(spark, "notices"), mode="append")
     return plain(
