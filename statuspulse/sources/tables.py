@@ -25,15 +25,13 @@ def clear_table(spark: SparkSession, path: str) -> None:
     spark.createDataFrame([], schema).write.mode("overwrite").parquet(path)
 
 
+def _partitioned(df: DataFrame, column: str):
+    # AQE splits a hot partition value over several tasks and files
+    return df.hint("rebalance", column).write.mode("overwrite").partitionBy(column)
+
+
 def _replace_partitions(df: DataFrame, path: str, column: str) -> None:
-    (
-        # AQE splits a hot partition value over several tasks and files
-        df.hint("rebalance", column)
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy(column)
-        .parquet(path)
-    )
+    _partitioned(df, column).option("partitionOverwriteMode", "dynamic").parquet(path)
 
 
 def write_days(df: DataFrame, path: str, *, date: str = "slot_date") -> None:
@@ -41,6 +39,11 @@ def write_days(df: DataFrame, path: str, *, date: str = "slot_date") -> None:
     _replace_partitions(df, path, date)
 
 
+def replace_days(df: DataFrame, path: str, *, date: str = "slot_date") -> None:
+    """Replace the whole table, partitioned by day."""
+    _partitioned(df, date).option("partitionOverwriteMode", "static").parquet(path)
+
+
 def replace_schedule(df: DataFrame, path: str, *, schedule: str = "schedule") -> None:
     """Replace the rows of the schedules present in ``df``, keep other schedules."""
     _replace_partitions(df, path, schedule)

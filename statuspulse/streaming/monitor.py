@@ -6,7 +6,7 @@ are dropped, so the result does not depend on how polls fall into micro-batches.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -104,15 +104,19 @@ _NOTICE_STATE = "last_us long, dow int, start_min int, told_us long"
 
 
 def live_notices(
-    polls: DataFrame, intervals: DataFrame, *, settings: Settings = DEFAULTS
+    polls: DataFrame,
+    intervals: DataFrame,
+    *,
+    settings: Settings = DEFAULTS,
+    interval_keys: Sequence[str] = ("site_id",),
 ) -> DataFrame:
     """Look-ahead notices of a stream of polls, throttled per site.
 
     The intervals are a static table: the join is the batch one, stream against static.
+    ``interval_keys=()`` is for intervals that hold for every site.
     """
-    candidates = lookahead.lookahead_alerts(
-        lookahead.next_interval(polls, intervals, settings=settings), settings=settings
-    )
+    placed = lookahead.next_interval(polls, intervals, settings=settings, keys=interval_keys)
+    candidates = lookahead.lookahead_alerts(placed, settings=settings)
     gap_us = settings.notify_interval_minutes * 60_000_000
     schema = candidates.schema
     names = schema.fieldNames()
