@@ -36,9 +36,15 @@ def read_archives(spark: SparkSession, root: str, *, glob: str = "*.zip") -> Dat
 
     Minute-sized files are the cost here, not their bytes: read them once and compact to
     parquet (``tables.write_days``).
+
+    The colons in the file names are no legal part of the checksum files that the checksummed
+    local file system looks for, so local folders are read without it; other stores ignore
+    these two options.
     """
     return (
         spark.read.format("binaryFile")
+        .option("fs.file.impl", "org.apache.hadoop.fs.RawLocalFileSystem")
+        .option("fs.file.impl.disable.cache", "true")
         .option("recursiveFileLookup", "true")
         .option("pathGlobFilter", glob)
         .load(root)
