@@ -5,7 +5,11 @@ Timestamps are ``timestamp_ntz`` holding GMT unless a name says ``local``.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from datetime import datetime, timedelta
+from functools import lru_cache
+from zoneinfo import ZoneInfo
+
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from statuspulse import params
@@ -29,11 +33,41 @@ def to_gmt(local: Column, zone: str) -> Column:
 
 
 def _shift(ts: Column, source: str, target: str) -> Column:
+    """Wall clock of one zone to that of another.
+
+    In a GMT session a ``timestamp_ntz`` casts to ``timestamp`` unchanged, and the functions
+    that prepare their zone once do the work; ``convert_timezone``, which looks it up for
+    every row and costs several times as much, serves the other sessions.
+    """
     if source == target:
         return ts
+    if _session_is_gmt() and "UTC" in (source, target):
+        instant = ts.cast("timestamp")
+        if source == "UTC":
+            return F.from_utc_timestamp(instant, target).cast("timestamp_ntz")
+        return F.to_utc_timestamp(instant, source).cast("timestamp_ntz")
     return F.convert_timezone(F.lit(source), F.lit(target), ts)
 
 
+def _session_is_gmt() -> bool:
+    session = SparkSession.getActiveSession()
+    return session is not None and session.conf.get("spark.sql.session.timeZone") in (
+        "UTC", "Etc/UTC", "GMT", "Z",
+    )
+
+
+@lru_cache
+def slots_align(zone: str, slot_minutes: int) -> bool:
+    """Whether the zone's slots are GMT slots: its offsets are whole numbers of slots.
+
+    Offsets are looked at month by month over 1972 to 2099.
+    """
+    info = ZoneInfo(zone)
+    days = (datetime(year, month, 1, tzinfo=info) for year in range(1972, 2100) for month in range(1, 13))
+    offsets = {day.utcoffset() for day in days}
+    return all(offset % timedelta(minutes=slot_minutes) == timedelta(0) for offset in offsets)
+
+
 def is_second_pass(gmt: Column, zone: str) -> Column:
     """True within the second pass of the hour that repeats when clocks go back."""
     if zone == "UTC":
@@ -41,6 +75,11 @@ def is_second_pass(gmt: Column, zone: str) -> Column:
     return to_gmt(to_local(gmt, zone), zone) != gmt
 
 
+def minute_slot(ts: Column, slot_minutes: int) -> Column:
+    """0-based slot within the hour."""
+    return F.floor(F.minute(ts) / slot_minutes).cast("int")
+
+
 def minute_of_day(ts: Column) -> Column:
     return (F.hour(ts) * 60 + F.minute(ts)).cast("int")
 

@@ -15,22 +15,20 @@ from statuspulse.params import DEFAULTS, STATUSES, Settings
 OUTLET_KEY = ("site_id", "device_id", "outlet_id")
 
 
-def slot_columns(date: Column, at: Column, settings: Settings) -> dict[str, Column]:
-    """Slot start and calendar parts of slot number ``at`` of a date; dow 1 is Sunday."""
+def calendar_columns(settings: Settings, start: str = "slot_start") -> dict[str, Column]:
+    """Calendar parts of a local time; day of week 1 is Sunday."""
     return {
-        "slot_start": time.slot_start(date, at, settings.slot_minutes),
-        "slot_date": date,
-        "dow": F.dayofweek(date),
-        "hour": F.floor(at / settings.slots_per_hour).cast("int"),
-        "slot": F.pmod(at, F.lit(settings.slots_per_hour)).cast("int"),
+        "slot_date": F.to_date(start),
+        "dow": F.dayofweek(start),
+        "hour": F.hour(start),
+        "slot": time.minute_slot(F.col(start), settings.slot_minutes),
     }
 
 
 def with_slots(readings: DataFrame, *, settings: Settings = DEFAULTS, ts: str = "ts") -> DataFrame:
-    """Add local time, slot start and calendar parts to GMT readings."""
-    local = F.col("local_ts")
+    """Add local time and its calendar parts to GMT readings."""
     return readings.withColumn("local_ts", time.to_local(F.col(ts), settings.zone)).withColumns(
-        slot_columns(F.to_date(local), time.slot_of_day(local, settings.slot_minutes), settings)
+        calendar_columns(settings, "local_ts")
     )
 
 
@@ -45,7 +43,8 @@ def condense(
 
     This is an aggregate, not a window: readings of a slot are reduced before the shuffle,
     so neither a chatty outlet nor a crowded slot makes a large task.  The hour that
-    repeats when clocks go back counts as two passes, as two runs of the clock would.
+    repeats when clocks go back counts as two passes, as two runs of the clock would.  Where
+    the zone's slots are GMT slots, only the slots that remain are converted to local time.
 
     With a status vocabulary every aggregate is the ``min`` of a timestamp and stays in the
     generated hash aggregate: the status of the first reading is the one whose own first
@@ -53,30 +52,28 @@ def condense(
     with a NULL status.  ``statuses=None`` keeps any text, at the price of a sort-based
     aggregate.  Equal times of one outlet go to the status named first.
     """
-    gmt = F.col("ts").cast("timestamp_ntz")
-    local = time.to_local(gmt, settings.zone)
+    gmt, zone, width = F.col("ts").cast("timestamp_ntz"), settings.zone, settings.slot_minutes
+    aligned = time.slots_align(zone, width)
+    clock = gmt if aligned else time.to_local(gmt, zone)
     group = readings.select(
         *keys,
-        F.to_date(local).alias("slot_date"),
-        time.slot_of_day(local, settings.slot_minutes).alias("_at"),
-        time.is_second_pass(gmt, settings.zone).alias("_again"),
+        F.to_date(clock).alias("_date"),
+        time.slot_of_day(clock, width).alias("_at"),
+        # GMT slots tell the two passes of a repeated hour apart, local ones do not
+        (F.lit(False) if aligned else time.is_second_pass(gmt, zone)).alias("_again"),
         gmt.alias("ts"),
         "status",
-    ).groupBy(*keys, "slot_date", "_at", "_again")
+    ).groupBy(*keys, "_date", "_at", "_again")
     if statuses is None:
         first = group.agg(F.min(F.struct("ts", "status")).alias("_first")).withColumns(
             {"ts": F.col("_first.ts"), "status": F.col("_first.status")}
         )
     else:
         first = first_status(group, statuses, F.min)
-    return first.select(
-        *keys,
-        "ts",
-        "status",
-        *(
-            column.alias(name)
-            for name, column in slot_columns(F.col("slot_date"), F.col("_at"), settings).items()
-        ),
+    start = time.slot_start(F.col("_date"), F.col("_at"), width)
+    local = first.withColumn("slot_start", time.to_local(start, zone) if aligned else start)
+    return local.withColumns(calendar_columns(settings)).select(
+        *keys, "ts", "status", "slot_start", "slot_date", "dow", "hour", "slot"
     )
 
 
@@ -130,9 +127,7 @@ def slot_counts(
         ),
         F.count("*").alias("reading_count"),
     )
-    start = F.col("slot_start")
-    at = time.slot_of_day(start, settings.slot_minutes)
-    return counts.withColumns(slot_columns(F.to_date(start), at, settings))
+    return counts.withColumns(calendar_columns(settings))
 
 
 def over_capacity(counts: DataFrame, *, settings: Settings = DEFAULTS) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from statuspulse.functions import time
-from statuspulse.operators.slots import OUTLET_KEY, first_status, slot_columns
+from statuspulse.operators.slots import OUTLET_KEY, calendar_columns, first_status
 from statuspulse.params import DEFAULTS, STATUSES, Settings
 from statuspulse.streaming.run import with_event_time
 
@@ -64,7 +64,6 @@ def condense(
 
 def localised(condensed: DataFrame, *, settings: Settings = DEFAULTS) -> DataFrame:
     """Condensed stream output with local calendar columns, as the batch operator gives them."""
-    local = time.to_local(F.col("slot_gmt"), settings.zone)
-    return condensed.withColumns(
-        slot_columns(F.to_date(local), time.slot_of_day(local, settings.slot_minutes), settings)
-    )
+    return condensed.withColumn(
+        "slot_start", time.to_local(F.col("slot_gmt"), settings.zone)
+    ).withColumns(calendar_columns(settings))

@@ -183,3 +183,34 @@ def test_results_do_not_depend_on_the_session_zone(spark, session_zone):
         assert slots.slot_counts(slots.condense(rows)).orderBy("slot_start").collect() == before
     finally:
         spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
+def test_slots_align():
+    assert time.slots_align("America/Los_Angeles", 60)
+    assert time.slots_align("Asia/Kolkata", 30) and not time.slots_align("Asia/Kolkata", 60)
+    assert time.slots_align("Asia/Kathmandu", 15) and not time.slots_align("Asia/Kathmandu", 30)
+
+
+def test_zone_off_the_gmt_slots(spark):
+    """Half-hour zone, hourly slots: 03:15 and 03:45 GMT are 08:45 and 09:15 in Kolkata."""
+    rows = _readings(
+        spark,
+        [(datetime(2024, 5, 1, 3, 15), "available"), (datetime(2024, 5, 1, 3, 45), "available"),
+         (datetime(2024, 5, 1, 4, 15), "in_use")],
+    )
+    settings = Settings(zone="Asia/Kolkata", slot_minutes=60)
+    counts = slots.slot_counts(slots.condense(rows, settings=settings), settings=settings)
+    got = {r.hour: (r.avail_count, r.reading_count) for r in counts.collect()}
+    assert got == {8: (1, 1), 9: (1, 1)}
+
+
+def test_repeated_half_hour_off_the_gmt_slots(spark):
+    """Lord Howe puts its clock back by 30 minutes: hourly slots, two passes of 01:30."""
+    rows = _readings(
+        spark,
+        [(datetime(2024, 4, 6, 14, 40), "available"), (datetime(2024, 4, 6, 15, 10), "available")],
+    )
+    settings = Settings(zone="Australia/Lord_Howe", slot_minutes=60)
+    assert not time.slots_align(settings.zone, 60)
+    row = slots.slot_counts(slots.condense(rows, settings=settings), settings=settings).first()
+    assert (row.hour, row.avail_count, row.reading_count) == (1, 2, 2)

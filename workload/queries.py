@@ -482,8 +482,7 @@ DELAY = "2 hours"
 
 
 def _reading_stream(spark, sf_dir):
-    rows = stream_files(spark, sf_dir, schemas.EVENTS, glob="events.parquet")
-    return as_readings(rows)
+    return as_readings(stream_files(spark, f"{sf_dir}/events.parquet*", schemas.EVENTS))
 
 
 def _poll_stream(spark, table):
