@@ -38,23 +38,10 @@ def with_halo(
     """
     wanted = df.columns if carry is None else carry
     payload = [*order, *(c for c in wanted if c not in {*keys, chunk, *order})]
-    newest_first = Window.partitionBy(*keys, chunk).orderBy(*(F.col(c).desc() for c in order))
-    tails = (
-        df.withColumn("_rank", F.row_number().over(newest_first))
-        .where(F.col("_rank") <= k)
-        .groupBy(*keys, chunk)
-        .agg(F.sort_array(F.collect_list(F.struct(*payload))).alias("_tail"))
-    )
-    # each earlier chunk holds at least one row: the last k chunks hold the last k rows
-    earlier = Window.partitionBy(*keys).orderBy(chunk).rowsBetween(-k, -1)
-    before = F.flatten(F.collect_list("_tail").over(earlier))
-    carried = tails.select(*keys, chunk, before.alias("_before")).select(
-        *keys,
-        chunk,
-        F.explode(
-            F.slice("_before", F.greatest(F.size("_before") - (k - 1), F.lit(1)), k)
-        ).alias("_row"),
-    )
+    if k == 1 and len(order) == 1:
+        carried = _last_before(df, keys, chunk, payload)
+    else:
+        carried = _tail_before(df, keys, chunk, payload, order, k)
 
     def column(name: str, kind: str) -> Column:
         if name in payload:
@@ -67,3 +54,42 @@ def with_halo(
         *(column(name, kind) for name, kind in df.dtypes), F.lit(True).alias(IS_HALO)
     )
     return df.withColumn(IS_HALO, F.lit(False)).unionByName(halo)
+
+
+def _last_before(
+    df: DataFrame, keys: Sequence[str], chunk: str, payload: Sequence[str]
+) -> DataFrame:
+    """The one row before each chunk, from a plain aggregate: nothing is sorted but chunks."""
+    at, *rest = payload
+    last = df.groupBy(*keys, chunk).agg(
+        F.max(at).alias(at), *(F.max_by(c, at).alias(c) for c in rest)
+    )
+    chunks = Window.partitionBy(*keys).orderBy(chunk)
+    return last.select(*keys, chunk, F.lag(F.struct(*payload)).over(chunks).alias("_row")).where(
+        F.col("_row").isNotNull()
+    )
+
+
+def _tail_before(
+    df: DataFrame,
+    keys: Sequence[str],
+    chunk: str,
+    payload: Sequence[str],
+    order: Sequence[str],
+    k: int,
+) -> DataFrame:
+    """The last k rows before each chunk, from the tails of the chunks before it."""
+    newest_first = Window.partitionBy(*keys, chunk).orderBy(*(F.col(c).desc() for c in order))
+    tails = (
+        df.withColumn("_rank", F.row_number().over(newest_first))
+        .where(F.col("_rank") <= k)
+        .groupBy(*keys, chunk)
+        .agg(F.sort_array(F.collect_list(F.struct(*payload))).alias("_tail"))
+    )
+    # each earlier chunk holds at least one row: the last k chunks hold the last k rows
+    earlier = Window.partitionBy(*keys).orderBy(chunk).rowsBetween(-k, -1)
+    before = F.flatten(F.collect_list("_tail").over(earlier))
+    last_k = F.slice("_before", F.greatest(F.size("_before") - (k - 1), F.lit(1)), k)
+    return tails.select(*keys, chunk, before.alias("_before")).select(
+        *keys, chunk, F.explode(last_k).alias("_row")
+    )

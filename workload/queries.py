@@ -141,8 +141,10 @@ def outlet_readings(spark, sf_dir):
 
 
 def slot_keys(spark, sf_dir):
-    key = text.slot_key(F.col("slot_date"), F.col("dow"), F.col("hour"), F.col("slot"))
-    return slotted(spark, sf_dir).groupBy(key.alias("slot_key")).agg(F.count("*").alias("readings"))
+    """Grouped on typed columns; the key text is made for the groups."""
+    parts = ["slot_date", "dow", "hour", "slot"]
+    grouped = slotted(spark, sf_dir).groupBy(*parts).agg(F.count("*").alias("readings"))
+    return grouped.select(text.slot_key(*(F.col(c) for c in parts)).alias("slot_key"), "readings")
 
 
 def json_path_extract(spark, sf_dir):
