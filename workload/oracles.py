@@ -497,6 +497,76 @@ SQL["stream_notices"] = q(throttled(), f"""
 SELECT site_id, {ts_text('ts')} AS ts, kind, start_min, end_min, {NOTICE_TEXT} AS text
 FROM notices""", recursive=True)
 
+SQL["latest_archive_counts"] = q(READINGS, f"""
+SELECT CAST(device_id AS VARCHAR) AS device_id,
+       {ts_text("date_trunc('millisecond', ts)")} AS ts,
+       CAST(status = 'available' AS BIGINT) AS avail, CAST(status = 'in_use' AS BIGINT) AS in_use,
+       CAST(status = 'unknown' AS BIGINT) AS unknown, CAST(1 AS BIGINT) AS total
+FROM readings
+QUALIFY row_number() OVER (
+  PARTITION BY device_id
+  ORDER BY strftime(ts, '%Y-%m-%d') DESC,
+           strftime(ts, '%H:%M:%S') || '_' || event_id || '.zip' DESC) = 1""")
+SQL["latest_status_pivot"] = q(READINGS, """
+SELECT device_id, count(*) FILTER (WHERE status = 'unknown') AS unknown,
+       count(*) FILTER (WHERE status = 'available') AS available,
+       count(*) FILTER (WHERE status = 'in_use') AS in_use
+FROM (SELECT * FROM readings
+      QUALIFY row_number() OVER (PARTITION BY device_id, outlet_id ORDER BY ts DESC, event_id DESC) = 1)
+GROUP BY device_id""")
+SQL["outlet_key_split"] = q(READINGS, """
+SELECT CAST(device_id AS VARCHAR) AS device, 'outlet_' || outlet_id AS outlet,
+       outlet_id AS outlet_code, count(*) AS readings FROM readings GROUP BY ALL""")
+SQL["holiday_flags"] = q(condensed() + """,
+quiet AS (
+  SELECT slot_date FROM slotted GROUP BY slot_date
+  HAVING count(*) FILTER (WHERE status = 'in_use' AND hour < 9) * 6 < count(*))""", f"""
+SELECT {DATE_TEXT}, slot_date IN (SELECT slot_date FROM quiet) AS holiday, count(*) AS readings
+FROM condensed GROUP BY ALL""")
+SQL["times_on_reference_day"] = f"""
+SELECT event_id, {ts_text("TIMESTAMP '2017-11-12' + (ts - date_trunc('day', ts))")} AS moved_ts
+FROM events"""
+SQL["libsvm_round_trip"] = q(condensed(), """
+SELECT CAST(count(*) FILTER (WHERE status = 'available') AS DOUBLE) AS label,
+       CAST(dow AS DOUBLE) AS feature_dow, CAST(hour + 1 AS DOUBLE) AS feature_hour,
+       CAST(slot + 1 AS DOUBLE) AS feature_slot
+FROM condensed GROUP BY slot_date, dow, hour, slot""")
+SQL["json_forecast_round_trip"] = SQL["weekly_profile_forecast"]
+SQL["stats_upsert"] = q(changes(), f"""
+SELECT site_id, {ts_text('ts')} AS ts, kind, avail, avail_old, total FROM changes
+QUALIFY row_number() OVER (PARTITION BY site_id ORDER BY ts DESC) = 1""")
+SQL["ingested_days"] = q(condensed(), f"""
+SELECT {DATE_TEXT}, status, count(*) AS readings FROM condensed
+WHERE slot_date BETWEEN DATE '2024-01-20' AND DATE '2024-01-29' GROUP BY ALL""")
+SQL["live_current_stats"] = SQL["current_stats"]
+
+
+def _schedule(opening: int, closing: int, least: int) -> str:
+    edge = "strftime((TIMESTAMP '2017-11-11' + to_days(dow) + to_minutes({}))"
+    edge += f" AT TIME ZONE '{ZONE}' AT TIME ZONE 'UTC', '%Y%m%dT%H%M%SZ')"
+    return q(windows(opening, closing, least), f"""
+SELECT site_id, dow, 'available window: ' || dow || ';' || (start_min // 60) || ':'
+         || (start_min % 60) || '-' || (end_min // 60) || ':' || (end_min % 60) AS name,
+       {edge.format('start_min')} AS start_utc, {edge.format('end_min')} AS end_utc FROM windows""")
+
+
+SQL["replaced_schedule"] = f"""
+SELECT 'kept' AS schedule, * FROM ({_schedule(3, 1, 1)})
+UNION ALL SELECT 'replaced', * FROM ({_schedule(2, 2, 2)})"""
+
+SQL["live_alerts"] = f"""
+WITH routed AS ({SQL['routed_alerts']}),
+told AS ({SQL['throttled_alerts']}),
+predicted AS (
+  SELECT site_id, ts, string_agg(predict_text, chr(10) ORDER BY n) AS predict_field
+  FROM ({SQL['time_to_empty']}) GROUP BY site_id, ts)
+SELECT r.site_id, r.ts, r.kind, r.channel, r.colour, r.available_field, p.predict_field
+FROM routed r LEFT JOIN predicted p ON p.site_id = r.site_id AND p.ts = r.ts
+WHERE r.kind NOT IN ('available', 'unavailable')
+UNION ALL
+SELECT r.site_id, r.ts, r.kind, r.channel, r.colour, r.available_field, NULL
+FROM routed r JOIN told t ON t.site_id = r.site_id AND t.ts = r.ts AND t.kind = r.kind"""
+
 # multinomial naive Bayes with smoothing 0.5 over (dow, hour + 1, slot + 1)
 SQL["nb_status_classifier"] = q(condensed() + """,
 rows AS (

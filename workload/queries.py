@@ -5,12 +5,15 @@ from __future__ import annotations
 from dataclasses import replace
 from datetime import datetime
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from statuspulse.functions import codes, text
+from statuspulse.functions import codes, text, time
 from statuspulse.operators import alerts, forecast, lookahead, slots, status, transitions, windows
 from statuspulse import schemas
+from statuspulse.params import STATUSES
+from statuspulse.plans import live, refresh
 from statuspulse.session import materialise, shared_path
 from statuspulse.sources import archives, history, tables
 from statuspulse.streaming import monitor, slot_stream
@@ -478,6 +481,128 @@ def archive_quarantine(spark, sf_dir):
     return archives.quarantine(archives.parse_archives(cut, outlets=None))
 
 
+def latest_archive_counts(spark, sf_dir):
+    """Newest archive of every station, by path, read and counted over the fleet."""
+    packed = archives.pack_archives(_documents(spark, sf_dir))
+    parsed = archives.parse_archives(archives.latest_archives(packed), outlets=None)
+    latest = status.latest_readings(
+        archives.archive_readings(parsed), keys=["device_id", "outlet_id"]
+    )
+    return plain(status.status_counts(latest, by=["device_id"]))
+
+
+def latest_status_pivot(spark, sf_dir):
+    """The same counts as a pivot over the status vocabulary."""
+    latest = status.latest_readings(readings(spark, sf_dir))
+    return (
+        latest.groupBy("device_id")
+        .pivot("status", list(STATUSES))
+        .agg(F.count(F.lit(1)))
+        .na.fill(0)
+    )
+
+
+def outlet_key_split(spark, sf_dir):
+    """Composite outlet names, split once at the first separator."""
+    named = readings(spark, sf_dir).select(
+        F.concat_ws("_", F.col("device_id"), F.concat(F.lit("outlet_"), F.col("outlet_id"))).alias("key")
+    )
+    device, outlet = text.split_outlet_key(F.col("key"))
+    split = named.select(device.alias("device"), outlet.alias("outlet"))
+    return (
+        split.withColumn("outlet_code", codes.outlet_code(F.col("outlet")))
+        .groupBy("device", "outlet", "outlet_code")
+        .agg(F.count("*").alias("readings"))
+    )
+
+
+def holiday_flags(spark, sf_dir):
+    """Days without any morning purchase stand for holidays; derived, then joined back."""
+    rows = slotted(spark, sf_dir)
+    busy = F.count_if((F.col("status") == "in_use") & (F.col("hour") < 9))
+    quiet = rows.groupBy("slot_date").agg(busy.alias("n"), F.count("*").alias("all"))
+    holidays = quiet.where(F.col("n") * 6 < F.col("all")).select("slot_date")
+    flagged = slots.with_holiday(counts(spark, sf_dir), holidays)
+    return plain(
+        flagged.groupBy("slot_date", "holiday").agg(F.sum("reading_count").alias("readings"))
+    )
+
+
+def times_on_reference_day(spark, sf_dir):
+    moved = time.replace_date(F.col("ts"), 2017, 11, 12)
+    return plain(readings(spark, sf_dir).select("event_id", moved.alias("moved_ts")))
+
+
+# ---- sinks: written below the shared folder and read back ------------------------------
+
+
+def libsvm_round_trip(spark, sf_dir):
+    rows = forecast.training_rows(fleet_counts(spark, sf_dir))
+    path = shared_path(spark, "training")
+    tables.write_libsvm(forecast.assemble(rows), path)
+    values = vector_to_array("features")
+    return tables.read_libsvm(spark, path).select(
+        "label", *(values[i].alias(name) for i, name in enumerate(forecast.FEATURES))
+    )
+
+
+def json_forecast_round_trip(spark, sf_dir):
+    path = shared_path(spark, "forecast")
+    tables.write_json(profile(spark, sf_dir), path)
+    return tables.read_json(
+        spark, path,
+        "site_id long, dow int, hour int, slot int, week_ordinal int, countavailable int",
+    )
+
+
+def replaced_schedule(spark, sf_dir):
+    """Two schedules are stored, then one is replaced: the other keeps its rows."""
+    path = shared_path(spark, "schedule")
+    table = stored_counts(spark, sf_dir)
+    peak = forecast.weekly_profile(table, settings=SETTINGS, how="max")
+    held = windows.availability_windows(peak, settings=HYSTERESIS)
+    first = windows.window_schedule(held, settings=SETTINGS)
+    both = first.withColumn("schedule", F.explode(F.array(F.lit("kept"), F.lit("replaced"))))
+    tables.replace_schedule(both, path)
+    second = windows.window_schedule(
+        windows.availability_windows(peak, settings=SETTINGS), settings=SETTINGS
+    )
+    tables.replace_schedule(second.withColumn("schedule", F.lit("replaced")), path)
+    return spark.read.parquet(path).select("schedule", "site_id", "dow", "name", "start_utc", "end_utc")
+
+
+def stats_upsert(spark, sf_dir):
+    """Changes written in three batches; the last record of every site remains."""
+    path = shared_path(spark, "stats")
+    changed = materialise(changes(spark, sf_dir), "changes")
+    day = F.dayofmonth("ts")
+    for batch, part in enumerate((day < 10, (day >= 10) & (day < 20), day >= 20)):
+        stats = transitions.current_stats(changed.where(part), settings=SETTINGS)
+        tables.append_records(stats, path, batch=batch)
+    latest = tables.latest_records(spark, path, keys=["site_id"], order="ts")
+    return plain(latest.select("site_id", "ts", "kind", "avail", "avail_old", "total"))
+
+
+def ingested_days(spark, sf_dir):
+    """Two ingest runs, the second incremental; readings per stored day and status."""
+    root = shared_path(spark, "history")
+    rows = readings(spark, sf_dir)
+    early = rows.where(F.col("ts") < F.lit("2024-01-26 12:00:00").cast("timestamp_ntz"))
+    refresh.ingest_days(spark, early, root, as_of=datetime(2024, 1, 26, 6), settings=SETTINGS)
+    refresh.ingest_days(spark, rows, root, as_of=datetime(2024, 1, 31), settings=SETTINGS)
+    stored = spark.read.parquet(f"{root}/readings")
+    return plain(stored.groupBy("slot_date", "status").agg(F.count("*").alias("readings")))
+
+
+def model_refresh(spark, sf_dir):
+    """Ingest, train, predict, find windows, write insights: the stored insights."""
+    root = shared_path(spark, "refresh")
+    small = replace(HISTORY, forest_trees=10, forest_depth=8, open_at=6, close_at=5)
+    rows = readings(spark, sf_dir)
+    refresh.refresh(spark, rows, root, as_of=AS_OF, settings=small)
+    return spark.read.parquet(f"{root}/insights").select("dow", "type", "order", "msg")
+
+
 # ---- streams: each runs over everything available, then its table is read ------------
 
 DELAY = "2 hours"
@@ -551,6 +676,41 @@ def stream_notices(spark, sf_dir):
     )
 
 
+def _live(spark, sf_dir):
+    root = shared_path(spark, "live")
+    table = stored_counts(spark, sf_dir)
+    stream = _poll_stream(spark, table)
+    intervals = materialise(week_insights(table), "intervals")
+    live.watch_changes(stream, root, settings=SETTINGS).awaitTermination()
+    live.watch_edges(stream, intervals, root, settings=SETTINGS).awaitTermination()
+    return root
+
+
+def live_current_stats(spark, sf_dir):
+    """The live monitor's statistics records."""
+    stats = live.current_stats(spark, _live(spark, sf_dir))
+    return plain(
+        stats.select(
+            "site_id", F.col("ts").cast("timestamp_ntz").alias("ts"), "init", "avail", "avail_old",
+            "in_use", "in_use_old", "unknown", "unknown_old", "total",
+            "pct_avail_text", "pct_change_text", "pct_change_total_text",
+        )
+    )
+
+
+def live_alerts(spark, sf_dir):
+    """The live monitor's routed alerts, with the depletion lines of each decrease."""
+    alerted = spark.read.parquet(f"{_live(spark, sf_dir)}/alerts")
+    fields = F.col("fields")
+    return plain(
+        alerted.select(
+            "site_id", F.col("ts").cast("timestamp_ntz").alias("ts"), "kind", "channel", "colour",
+            fields["Available Count"].alias("available_field"),
+            fields["Predict"].alias("predict_field"),
+        )
+    )
+
+
 REGISTERED = {
     f.__name__: f
     for f in (
@@ -563,7 +723,10 @@ REGISTERED = {
         insights_for_day, depletion_velocity, time_to_empty, next_interval, lookahead_alerts,
         throttled_alerts, current_prediction, routed_alerts, current_stats, training_vectors,
         rf_week_forecast, nb_status_classifier, outlet_status_forest, bayes_holdout_accuracy,
-        archive_ingest, archive_quarantine, stream_window_counts, stream_slot_dedupe,
+        archive_ingest, archive_quarantine, latest_archive_counts, latest_status_pivot,
+        outlet_key_split, holiday_flags, times_on_reference_day, libsvm_round_trip,
+        json_forecast_round_trip, replaced_schedule, stats_upsert, ingested_days, model_refresh,
+        live_current_stats, live_alerts, stream_window_counts, stream_slot_dedupe,
         stream_slot_counts, stream_transitions, stream_notices,
     )
 } | {"transitions": transition_list}
