@@ -117,9 +117,12 @@ def assemble(rows: DataFrame, *, features: Sequence[str] = FEATURES) -> DataFram
 
 
 def _labelled(rows: DataFrame, classes: int | None) -> DataFrame:
-    """State the number of classes, so that fitting needs no extra pass and no 100-class limit."""
+    """State the number of classes; without it, every count up to the largest seen is one.
+
+    A tree node keeps statistics per class, so capacity is a poor bound to fit with.
+    """
     if classes is None:
-        return rows
+        classes = int(rows.agg(F.max("label")).first()[0]) + 1
     meta = {"ml_attr": {"type": "nominal", "num_vals": classes, "name": "label"}}
     return rows.withColumn("label", F.col("label").alias("label", metadata=meta))
 
@@ -131,12 +134,20 @@ def train_forest(
     classes: int | None = None,
     features: Sequence[str] = FEATURES,
 ):
-    """Random forest over slot counts; every count up to capacity is a class."""
+    """Random forest over slot counts, one class per count.
+
+    Each row's node is kept with the row: otherwise every level of a deep forest sends the
+    whole forest to the executors again.  With a checkpoint folder the node ids are
+    checkpointed every ten levels.
+    """
     forest = RandomForestClassifier(
         numTrees=settings.forest_trees,
         maxDepth=settings.forest_depth,
         maxBins=settings.forest_bins,
         seed=settings.forest_seed,
+        cacheNodeIds=True,
+        checkpointInterval=10,
+        maxMemoryInMB=1024,
     )
     return forest.fit(_labelled(assemble(rows, features=features), classes))
 

@@ -54,7 +54,9 @@ def ingest_days(
     if not todo:
         return False
 
-    condensed = slots.condense(dated.where(F.col("slot_date").isin(todo)), settings=settings)
+    condensed = slots.condense(
+        history.readings_of_days(readings, todo, settings=settings), settings=settings
+    )
     if fresh:
         tables.replace_days(condensed, f"{root}/readings")
     else:
@@ -79,9 +81,7 @@ def predict_fleet_week(
     """Train the forest on the look-back and predict every slot of a week."""
     counts = training_counts(spark, root, as_of=as_of, settings=settings).cache()
     try:
-        model = forecast.train_forest(
-            forecast.training_rows(counts), settings=settings, classes=settings.capacity + 1
-        )
+        model = forecast.train_forest(forecast.training_rows(counts), settings=settings)
     finally:
         counts.unpersist()
     grid = forecast.week_grid(spark.range(1).drop("id"), settings=settings)

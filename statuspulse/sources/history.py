@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from datetime import UTC, datetime, timedelta
+from collections.abc import Sequence
+from datetime import UTC, date, datetime, timedelta
+from functools import reduce
 from zoneinfo import ZoneInfo
 
 from pyspark.sql import Column, DataFrame
@@ -19,6 +21,13 @@ def within_lookback(date: Column, as_of: datetime, days: int) -> Column:
     return date > F.lit((as_of - timedelta(days=days)).date())
 
 
+def _midnight(day: date, zone: str) -> Column:
+    """The local midnight a day starts with, as a GMT literal."""
+    local = datetime(day.year, day.month, day.day, tzinfo=ZoneInfo(zone))
+    gmt = local.astimezone(UTC).replace(tzinfo=None)
+    return F.lit(gmt.isoformat(" ")).cast("timestamp_ntz")
+
+
 def readings_within(
     readings: DataFrame, *, as_of: datetime, settings: Settings = DEFAULTS, ts: str = "ts"
 ) -> DataFrame:
@@ -28,9 +37,24 @@ def readings_within(
     any zone is converted.
     """
     first = (as_of - timedelta(days=settings.train_days)).date() + timedelta(days=1)
-    midnight = datetime(first.year, first.month, first.day, tzinfo=ZoneInfo(settings.zone))
-    bound = midnight.astimezone(UTC).replace(tzinfo=None)
-    return readings.where(F.col(ts) >= F.lit(bound.isoformat(" ")).cast("timestamp_ntz"))
+    return readings.where(F.col(ts) >= _midnight(first, settings.zone))
+
+
+def readings_of_days(
+    readings: DataFrame, days: Sequence[date], *, settings: Settings = DEFAULTS, ts: str = "ts"
+) -> DataFrame:
+    """Raw GMT readings of the given local days, one literal range per run of days."""
+    ordered = sorted(set(days))
+    ranges, start = [], ordered[0]
+    for day, following in zip(ordered, [*ordered[1:], None], strict=True):
+        after = day + timedelta(days=1)
+        if following != after:
+            stored = F.col(ts)
+            ranges.append(
+                (stored >= _midnight(start, settings.zone)) & (stored < _midnight(after, settings.zone))
+            )
+            start = following
+    return readings.where(reduce(lambda a, b: a | b, ranges))
 
 
 def candidate_days(

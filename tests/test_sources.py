@@ -241,3 +241,19 @@ def test_forest_on_a_rule(spark):
 
 def test_two_minute_grid(spark):
     assert forecast.week_grid(spark.range(1)).count() == 5040
+
+
+def test_readings_of_days_prune_by_literal_ranges(spark, tmp_path):
+    """Local days around the start of daylight saving, with a gap between them."""
+    path = str(tmp_path / "raw")
+    _raw(spark, "2024-03-08", "2024-03-14").write.parquet(path)
+    raw = spark.read.parquet(path)
+    days = [date(2024, 3, 12), date(2024, 3, 9), date(2024, 3, 10)]
+    kept = history.readings_of_days(raw, days)
+    local = F.convert_timezone(F.lit("UTC"), F.lit("America/Los_Angeles"), F.col("ts"))
+    got = {r[0] for r in kept.select(F.to_date(local)).distinct().collect()}
+    assert got == set(days)
+    expected = raw.where(F.to_date(local).isin(days))
+    assert kept.count() == expected.count()
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [Or(And(GreaterThanOrEqual(ts," in plan

@@ -377,24 +377,24 @@ def training_vectors(spark, sf_dir):
 
 def rf_week_forecast(spark, sf_dir):
     """A forest over the fleet's hourly counts; the full grid, predicted."""
-    rows = forecast.training_rows(fleet_counts(spark, sf_dir))
+    table = materialise(fleet_counts(spark, sf_dir), "fleet_counts")  # fitting takes many passes
     small = replace(SETTINGS, forest_trees=20, forest_depth=12)
-    model = forecast.train_forest(rows, settings=small, classes=SETTINGS.capacity + 1)
-    fleet = events(spark, sf_dir).agg(F.count("*").alias("events"))
+    model = forecast.train_forest(forecast.training_rows(table), settings=small)
+    fleet = table.agg(F.count("*").alias("slots"))
     grid = forecast.week_grid(fleet, settings=SETTINGS)
     return forecast.predict_week(model, grid).select("dow", "hour", "slot", "countavailable")
 
 
 def _status_rows(spark, sf_dir):
-    return forecast.training_rows(
-        alerts.with_status_codes(condensed(spark, sf_dir)), label="status_code"
-    )
+    table = materialise(condensed(spark, sf_dir), "condensed")
+    return forecast.training_rows(alerts.with_status_codes(table), label="status_code")
 
 
 def nb_status_classifier(spark, sf_dir):
     """Naive Bayes status of a slot of the week, with unpacked class probabilities."""
-    model = forecast.train_bayes(_status_rows(spark, sf_dir), classes=3)
-    fleet = events(spark, sf_dir).agg(F.count("*").alias("events"))
+    rows = _status_rows(spark, sf_dir)
+    model = forecast.train_bayes(rows, classes=3)
+    fleet = rows.agg(F.count("*").alias("readings"))
     scored = forecast.predict_week(model, forecast.week_grid(fleet, settings=SETTINGS))
     columns = [f"prob_{s}" for s in codes.params.STATUS_CODES]
     return forecast.class_probabilities(scored).select(
@@ -407,10 +407,9 @@ def outlet_status_forest(spark, sf_dir):
     """One model for all outlets, device and outlet as features."""
     names = [*forecast.FEATURES, "device_id", "outlet_id"]
     small = replace(SETTINGS, forest_trees=10, forest_depth=8)
-    model = forecast.train_forest(
-        _status_rows(spark, sf_dir), settings=small, classes=3, features=names
-    )
-    outlets = readings(spark, sf_dir).select("device_id", "outlet_id").distinct()
+    rows = _status_rows(spark, sf_dir)
+    model = forecast.train_forest(rows, settings=small, classes=3, features=names)
+    outlets = rows.select("device_id", "outlet_id").distinct()
     grid = forecast.week_grid(outlets, settings=SETTINGS)
     scored = forecast.class_probabilities(forecast.predict_week(model, grid, features=names))
     return scored.select(
@@ -426,8 +425,14 @@ def bayes_holdout_accuracy(spark, sf_dir):
 
 
 def _documents(spark, sf_dir):
-    """Every event as the snapshot document its station would have sent."""
+    """Every event as the snapshot document its station would have sent.
+
+    Zipping is the costly part: a scan with fewer splits than cores is spread first.
+    """
     rows = readings(spark, sf_dir)
+    cores = spark.sparkContext.defaultParallelism
+    if rows.rdd.getNumPartitions() < cores:
+        rows = rows.repartition(cores, "event_id")
     day = F.date_format("ts", "yyyy-MM-dd")
     clock = F.date_format("ts", "HH:mm:ss")
     node = F.create_map(
@@ -676,19 +681,12 @@ def stream_notices(spark, sf_dir):
     )
 
 
-def _live(spark, sf_dir):
-    root = shared_path(spark, "live")
-    table = stored_counts(spark, sf_dir)
-    stream = _poll_stream(spark, table)
-    intervals = materialise(week_insights(table), "intervals")
-    live.watch_changes(stream, root, settings=SETTINGS).awaitTermination()
-    live.watch_edges(stream, intervals, root, settings=SETTINGS).awaitTermination()
-    return root
-
-
 def live_current_stats(spark, sf_dir):
     """The live monitor's statistics records."""
-    stats = live.current_stats(spark, _live(spark, sf_dir))
+    root = shared_path(spark, "live")
+    stream = _poll_stream(spark, counts(spark, sf_dir))
+    live.watch_changes(stream, root, settings=SETTINGS).awaitTermination()
+    stats = live.current_stats(spark, root)
     return plain(
         stats.select(
             "site_id", F.col("ts").cast("timestamp_ntz").alias("ts"), "init", "avail", "avail_old",
@@ -700,7 +698,17 @@ def live_current_stats(spark, sf_dir):
 
 def live_alerts(spark, sf_dir):
     """The live monitor's routed alerts, with the depletion lines of each decrease."""
-    alerted = spark.read.parquet(f"{_live(spark, sf_dir)}/alerts")
+    root = shared_path(spark, "live")
+    table = stored_counts(spark, sf_dir)
+    stream = _poll_stream(spark, table)
+    intervals = materialise(week_insights(table), "intervals")
+    running = [
+        live.watch_changes(stream, root, settings=SETTINGS),
+        live.watch_edges(stream, intervals, root, settings=SETTINGS),
+    ]
+    for query in running:
+        query.awaitTermination()
+    alerted = spark.read.parquet(f"{root}/alerts")
     fields = F.col("fields")
     return plain(
         alerted.select(
