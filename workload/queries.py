@@ -600,12 +600,19 @@ def ingested_days(spark, sf_dir):
 
 
 def model_refresh(spark, sf_dir):
-    """Ingest, train, predict, find windows, write insights: the stored insights."""
+    """Ingest, train, predict, find windows, write insights: what was stored, by day of week."""
     root = shared_path(spark, "refresh")
     small = replace(HISTORY, forest_trees=10, forest_depth=8, open_at=6, close_at=5)
     rows = readings(spark, sf_dir)
     refresh.refresh(spark, rows, root, as_of=AS_OF, settings=small)
-    return spark.read.parquet(f"{root}/insights").select("dow", "type", "order", "msg")
+    week = spark.read.parquet(f"{root}/forecast").groupBy("dow").agg(
+        F.count("*").alias("slots"), F.sum("countavailable").alias("outlets_available")
+    )
+    planned = spark.read.parquet(f"{root}/schedule").groupBy("dow").agg(F.count("*").alias("windows"))
+    said = spark.read.parquet(f"{root}/insights").groupBy("dow").agg(
+        F.sort_array(F.collect_list("msg")).alias("messages")  # at most one day's windows
+    )
+    return week.join(planned, "dow", "left").join(said, "dow", "left")
 
 
 # ---- streams: each runs over everything available, then its table is read ------------
