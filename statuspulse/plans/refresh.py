@@ -102,10 +102,8 @@ def store_predictions(
     )
     stored = rows.sparkSession.read.parquet(f"{root}/forecast")
     found = windows.availability_windows(stored, settings=settings, keys=keys)
-    planned = windows.window_schedule(found, settings=settings).withColumn(
-        "schedule", F.lit(schedule)
-    )
-    tables.replace_schedule(planned, f"{root}/schedule")
+    planned = windows.window_schedule(found, settings=settings)
+    tables.replace_schedule(planned, f"{root}/schedule", schedule=schedule)
     said = windows.with_clock_parts(windows.insights(found, settings=settings, keys=keys))
     tables.replace_table(said, f"{root}/insights")
 
@@ -147,7 +145,9 @@ def schedule_entries(
     spark: SparkSession, root: str, schedule: str, *, limit: int | None = None
 ) -> DataFrame:
     return tables.read_records(
-        spark.read.parquet(f"{root}/schedule"), where=F.col("schedule") == schedule, limit=limit
+        tables.read_schedules(spark, f"{root}/schedule"),
+        where=F.col("schedule") == schedule,
+        limit=limit,
     )
 
 
@@ -167,4 +167,4 @@ def add_schedule_entry(
         [edges], "dow int, window_no int, start_min int, end_min int, n_cont int"
     )
     planned = windows.window_schedule(window, settings=settings)
-    tables.replace_schedule(planned.withColumn("schedule", F.lit(schedule)), f"{root}/schedule")
+    tables.replace_schedule(planned, f"{root}/schedule", schedule=schedule)

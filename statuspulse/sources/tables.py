@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, DataFrameWriter, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -25,18 +25,14 @@ def clear_table(spark: SparkSession, path: str) -> None:
     spark.createDataFrame([], schema).write.mode("overwrite").parquet(path)
 
 
-def _partitioned(df: DataFrame, column: str):
+def _partitioned(df: DataFrame, column: str) -> DataFrameWriter:
     # AQE splits a hot partition value over several tasks and files
     return df.hint("rebalance", column).write.mode("overwrite").partitionBy(column)
 
 
-def _replace_partitions(df: DataFrame, path: str, column: str) -> None:
-    _partitioned(df, column).option("partitionOverwriteMode", "dynamic").parquet(path)
-
-
 def write_days(df: DataFrame, path: str, *, date: str = "slot_date") -> None:
     """Replace the days present in ``df``, keep all others: running a day twice is harmless."""
-    _replace_partitions(df, path, date)
+    _partitioned(df, date).option("partitionOverwriteMode", "dynamic").parquet(path)
 
 
 def replace_days(df: DataFrame, path: str, *, date: str = "slot_date") -> None:
@@ -44,9 +40,14 @@ def replace_days(df: DataFrame, path: str, *, date: str = "slot_date") -> None:
     _partitioned(df, date).option("partitionOverwriteMode", "static").parquet(path)
 
 
-def replace_schedule(df: DataFrame, path: str, *, schedule: str = "schedule") -> None:
-    """Replace the rows of the schedules present in ``df``, keep other schedules."""
-    _replace_partitions(df, path, schedule)
+def replace_schedule(df: DataFrame, path: str, *, schedule: str) -> None:
+    """Replace the rows of one schedule, even by none; other schedules keep theirs."""
+    named = df.withColumn("schedule", F.lit(schedule))
+    named.write.mode("overwrite").parquet(f"{path}/of={schedule}")
+
+
+def read_schedules(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path).drop("of")
 
 
 def append_records(df: DataFrame, path: str, *, batch: int) -> None:

@@ -257,3 +257,12 @@ def test_readings_of_days_prune_by_literal_ranges(spark, tmp_path):
     assert kept.count() == expected.count()
     plan = kept._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [Or(And(GreaterThanOrEqual(ts," in plan
+
+
+def test_schedule_replaced_by_nothing(spark, tmp_path):
+    path = str(tmp_path / "schedule")
+    rows = spark.createDataFrame([("w",)], "name string")
+    tables.replace_schedule(rows, path, schedule="0e5")
+    tables.replace_schedule(rows, path, schedule="other")
+    tables.replace_schedule(rows.where("false"), path, schedule="other")
+    assert [tuple(r) for r in tables.read_schedules(spark, path).collect()] == [("w", "0e5")]

@@ -567,13 +567,13 @@ def replaced_schedule(spark, sf_dir):
     peak = forecast.weekly_profile(table, settings=SETTINGS, how="max")
     held = windows.availability_windows(peak, settings=HYSTERESIS)
     first = windows.window_schedule(held, settings=SETTINGS)
-    both = first.withColumn("schedule", F.explode(F.array(F.lit("kept"), F.lit("replaced"))))
-    tables.replace_schedule(both, path)
+    for name in ("kept", "replaced"):
+        tables.replace_schedule(first, path, schedule=name)
     second = windows.window_schedule(
         windows.availability_windows(peak, settings=SETTINGS), settings=SETTINGS
     )
-    tables.replace_schedule(second.withColumn("schedule", F.lit("replaced")), path)
-    return spark.read.parquet(path).select("schedule", "site_id", "dow", "name", "start_utc", "end_utc")
+    tables.replace_schedule(second, path, schedule="replaced")
+    return tables.read_schedules(spark, path).select("schedule", "site_id", "dow", "name", "start_utc", "end_utc")
 
 
 def stats_upsert(spark, sf_dir):
@@ -608,7 +608,7 @@ def model_refresh(spark, sf_dir):
     week = spark.read.parquet(f"{root}/forecast").groupBy("dow").agg(
         F.count("*").alias("slots"), F.sum("countavailable").alias("outlets_available")
     )
-    planned = spark.read.parquet(f"{root}/schedule").groupBy("dow").agg(F.count("*").alias("windows"))
+    planned = tables.read_schedules(spark, f"{root}/schedule").groupBy("dow").agg(F.count("*").alias("windows"))
     said = spark.read.parquet(f"{root}/insights").groupBy("dow").agg(
         F.sort_array(F.collect_list("msg")).alias("messages")  # at most one day's windows
     )
