@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,6 +26,11 @@ def local_session(cpus: int | str = "*", app: str = "statuspulse", **conf: str)
     return builder.getOrCreate()
 
 
+@lru_cache
+def _local_base() -> str:
+    return tempfile.mkdtemp(prefix="statuspulse-")
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
     """A fresh folder below the cluster's ``spark.checkpoint.dir``.
 
@@ -35,8 +41,7 @@ def shared_path(spark: SparkSession, name: str) -> str:
     if not base:
         if not spark.conf.get("spark.master", "").startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        base = tempfile.mkdtemp(prefix="statuspulse-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        base = _local_base()
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
