@@ -55,15 +55,12 @@ def condense(
     gmt, zone, width = F.col("ts").cast("timestamp_ntz"), settings.zone, settings.slot_minutes
     aligned = time.slots_align(zone, width)
     clock = gmt if aligned else time.to_local(gmt, zone)
-    group = readings.select(
-        *keys,
-        F.to_date(clock).alias("_date"),
-        time.slot_of_day(clock, width).alias("_at"),
+    slot = [F.to_date(clock).alias("_date"), time.slot_of_day(clock, width).alias("_at")]
+    if not aligned:
         # GMT slots tell the two passes of a repeated hour apart, local ones do not
-        (F.lit(False) if aligned else time.is_second_pass(gmt, zone)).alias("_again"),
-        gmt.alias("ts"),
-        "status",
-    ).groupBy(*keys, "_date", "_at", "_again")
+        slot.append(time.is_second_pass(gmt, zone).alias("_again"))
+    slotted = readings.select(*keys, *slot, gmt.alias("ts"), "status")
+    group = slotted.groupBy(*(c for c in slotted.columns if c not in ("ts", "status")))
     if statuses is None:
         first = group.agg(F.min(F.struct("ts", "status")).alias("_first")).withColumns(
             {"ts": F.col("_first.ts"), "status": F.col("_first.status")}

@@ -350,6 +350,11 @@ SELECT *, CAST(row_number() OVER (PARTITION BY device_id, dow ORDER BY hour, slo
     "availability_windows_low": q(windows(1, 1, 2, "avg"), WINDOW_COLUMNS),
     "availability_windows_toggle": q(windows(2, 3, 0), WINDOW_COLUMNS),
     "availability_windows_hysteresis": q(windows(3, 1, 1), WINDOW_COLUMNS),
+    "fleet_availability_windows": q(
+        windows(2, 1, 1).replace("user_id % 4 AS site_id", "0 AS site_id"), """
+SELECT dow, window_no, start_min, end_min, n_cont, CAST(start_min // 60 AS INTEGER) AS start_hour,
+       CAST(start_min % 60 AS INTEGER) AS start_minute, CAST(end_min // 60 AS INTEGER) AS end_hour,
+       CAST(end_min % 60 AS INTEGER) AS end_minute FROM windows"""),
     "window_schedule_utc": q(windows(3, 1, 1), f"""
 SELECT site_id, dow, window_no, CAST(start_min // 60 AS INTEGER) AS start_hour,
        CAST(start_min % 60 AS INTEGER) AS start_minute, CAST(end_min // 60 AS INTEGER) AS end_hour,

@@ -271,6 +271,16 @@ def availability_windows_hysteresis(spark, sf_dir):
     return held_windows(spark, sf_dir)
 
 
+def fleet_availability_windows(spark, sf_dir):
+    """When in the week are outlets available anywhere?  Raw readings to windows."""
+    peak = forecast.weekly_profile(
+        fleet_counts(spark, sf_dir), settings=SETTINGS, how="max", keys=()
+    )
+    eager = replace(SETTINGS, open_at=2, close_at=1, min_slots=1)
+    found = windows.availability_windows(peak, settings=eager, keys=())
+    return windows.with_clock_parts(found)
+
+
 def window_schedule_utc(spark, sf_dir):
     found = windows.with_clock_parts(held_windows(spark, sf_dir))
     return windows.window_schedule(found, settings=SETTINGS).drop("n_cont", "start_min", "end_min")
@@ -734,7 +744,8 @@ REGISTERED = {
         unknown_status_audit, lookback_complete_days, incremental_new_dates, device_ignore,
         managed_device_readings, week_grid, weekly_profile_forecast, weekly_peak_forecast,
         slot_forecast_ordinals, history_row_ordinals, availability_windows,
-        availability_windows_low, availability_windows_toggle, availability_windows_hysteresis, window_schedule_utc, insights,
+        availability_windows_low, availability_windows_toggle, availability_windows_hysteresis, fleet_availability_windows,
+        window_schedule_utc, insights,
         insights_for_day, depletion_velocity, time_to_empty, next_interval, lookahead_alerts,
         throttled_alerts, current_prediction, routed_alerts, current_stats, training_vectors,
         rf_week_forecast, nb_status_classifier, outlet_status_forest, bayes_holdout_accuracy,
