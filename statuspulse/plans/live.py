@@ -24,6 +24,38 @@ def snapshot_poll(readings: DataFrame) -> DataFrame:
     return status.status_counts(status.latest_readings(readings))
 
 
+LATEST = "site_id long, device_id string, outlet_id string, ts timestamp_ntz, status string"
+
+
+def watch_snapshots(readings: DataFrame, root: str, *, poll: str | None = None) -> StreamingQuery:
+    """A stream of outlet readings to polls: counts over the newest reading of every outlet.
+
+    Each batch writes the newest readings known after it, one row per outlet, and one poll
+    per site (``polls/batch=N``, to be streamed into the watchers).  It starts from what the
+    batch before it wrote, so a batch that is run again gives the same.
+    """
+
+    def advance(rows: DataFrame, batch: int) -> None:
+        spark = rows.sparkSession
+        known = tables.read_or_empty(spark, f"{root}/latest/batch={batch - 1}", LATEST)
+        merged = known.unionByName(rows.select(known.columns))
+        tables.append_records(status.latest_readings(merged), f"{root}/latest", batch=batch)
+        latest = spark.read.schema(LATEST).parquet(f"{root}/latest/batch={batch}")
+        polls = status.status_counts(latest).withColumn("ts", F.col("ts").cast("timestamp"))
+        tables.append_records(polls, f"{root}/polls", batch=batch)
+
+    trigger = {"processingTime": poll} if poll else {"availableNow": True}
+    return (
+        readings.select(
+            F.col("site_id").cast("long").alias("site_id"), "device_id", "outlet_id", "ts", "status"
+        )
+        .writeStream.foreachBatch(advance)
+        .option("checkpointLocation", f"{root}/snapshot_checkpoint")
+        .trigger(**trigger)
+        .start()
+    )
+
+
 def _with_prediction_lines(changed: DataFrame, settings: Settings) -> DataFrame:
     """Depletion sentences of a change, joined by line breaks; NULL without any."""
     estimates = transitions.time_to_empty(changed, settings=settings)

@@ -22,6 +22,7 @@ SNAPSHOT_DOCUMENT = T.ArrayType(
     )
 )
 
+BINARY_FILES = "path string, modificationTime timestamp, length long, content binary"
 ARCHIVE_FILES = "path string, content binary"
 
 EVENTS = T.StructType(

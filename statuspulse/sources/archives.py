@@ -28,6 +28,13 @@ BAD_JSON = "bad json"
 MISSING_FIELD = "missing field"
 BAD_TIME = "bad time"
 
+_ARCHIVE_OPTIONS = {
+    "recursiveFileLookup": "true",
+    # no checksummed local file system, see read_archives
+    "fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem",
+    "fs.file.impl.disable.cache": "true",
+}
+
 _UNPACKED = "path string, payloads array<string>, error string"
 
 
@@ -41,15 +48,19 @@ def read_archives(spark: SparkSession, root: str, *, glob: str = "*.zip") -> Dat
     local file system looks for, so local folders are read without it; other stores ignore
     these two options.
     """
-    return (
-        spark.read.format("binaryFile")
-        .option("fs.file.impl", "org.apache.hadoop.fs.RawLocalFileSystem")
-        .option("fs.file.impl.disable.cache", "true")
-        .option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", glob)
-        .load(root)
-        .select("path", "content")
-    )
+    options = {**_ARCHIVE_OPTIONS, "pathGlobFilter": glob}
+    return spark.read.format("binaryFile").options(**options).load(root).select("path", "content")
+
+
+def stream_archives(
+    spark: SparkSession, root: str, *, glob: str = "*.zip", files_per_trigger: int | None = None
+) -> DataFrame:
+    """The same as a stream: each archive once, as it appears."""
+    options = {**_ARCHIVE_OPTIONS, "pathGlobFilter": glob}
+    if files_per_trigger:
+        options["maxFilesPerTrigger"] = str(files_per_trigger)
+    reader = spark.readStream.format("binaryFile").schema(schemas.BINARY_FILES)
+    return reader.options(**options).load(root).select("path", "content")
 
 
 def with_path_parts(archives: DataFrame) -> DataFrame:

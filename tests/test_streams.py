@@ -1,5 +1,7 @@
 """Streams fed in several batches, and restarted, against the batch operators."""
 
+import json
+import zipfile
 from dataclasses import replace
 
 import pytest
@@ -9,6 +11,7 @@ from statuspulse import schemas
 from statuspulse.operators import lookahead, slots, transitions
 from statuspulse.params import Settings
 from statuspulse.plans import live
+from statuspulse.sources import archives
 from statuspulse.streaming import monitor, slot_stream
 from statuspulse.streaming.run import newest_version, run_available, stream_files
 from workload import adapter, queries
@@ -143,3 +146,39 @@ def test_slot_streams_over_batches(spark, tmp_path):
 def test_snapshot_poll(spark):
     row = live.snapshot_poll(adapter.readings(spark, SF_DIR).where("site_id = 0")).first()
     assert row.total == row.avail + row.in_use + row.unknown > 0
+
+
+def _archive(root, day, station, clock, one, two):
+    folder = root / day / station
+    folder.mkdir(parents=True, exist_ok=True)
+    ports = {"outlet_1": {"status": one}, "outlet_2": {"status": two}}
+    doc = [{"time": f"{day} {clock}.000", "summaries": [{"device_id": station, "port_status": ports}]}]
+    with zipfile.ZipFile(folder / f"{clock}.zip", "w") as z:
+        z.writestr("status.json", json.dumps(doc))
+
+
+def test_archive_stream_to_statistics(spark, tmp_path):
+    """Archives arrive in three batches; a station that is silent keeps its last state."""
+    files, root = tmp_path / "archives", str(tmp_path / "live")
+    batches = [
+        [("08:00:00", "a", "available", "available"), ("08:00:10", "b", "in_use", "available")],
+        [("08:01:00", "a", "in_use", "available")],
+        [("08:02:00", "b", "in_use", "in_use"), ("08:02:30", "a", "in_use", "unknown")],
+    ]
+    for batch in batches:
+        for clock, station, one, two in batch:
+            _archive(files, "2024-05-01", station, clock, one, two)
+        stream = archives.archive_readings(
+            archives.parse_archives(archives.stream_archives(spark, str(files)))
+        )
+        live.watch_snapshots(stream, root).awaitTermination()
+        polls = stream_files(spark, f"{root}/polls", schemas.POLLS)
+        live.watch_changes(polls, root, settings=SETTINGS).awaitTermination()
+    rows = spark.read.schema(schemas.POLLS).parquet(f"{root}/polls").orderBy("ts").collect()
+    assert [(r.avail, r.in_use, r.unknown, r.total) for r in rows] == [
+        (3, 1, 0, 4), (2, 2, 0, 4), (0, 3, 1, 4),
+    ]
+    stats = live.current_stats(spark, root).collect()
+    assert [(r.kind, r.avail, r.avail_old, r.pct_change_text) for r in stats] == [
+        ("went_to_zero", 0, 2, "-100%")
+    ]

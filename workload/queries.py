@@ -698,6 +698,17 @@ def stream_notices(spark, sf_dir):
     )
 
 
+def live_snapshot_polls(spark, sf_dir):
+    """Archives as a stream, to the newest reading of every outlet, to one poll per site."""
+    source, root = shared_path(spark, "archives"), shared_path(spark, "snapshots")
+    archives.pack_archives(_documents(spark, sf_dir)).write.parquet(source)
+    stream = archives.parse_archives(stream_files(spark, source, schemas.ARCHIVE_FILES), outlets=None)
+    site = F.col("device_id").cast("long") % 4
+    live.watch_snapshots(archives.archive_readings(stream, site=site), root).awaitTermination()
+    rows = spark.read.schema(schemas.POLLS).parquet(f"{root}/polls")
+    return plain(rows.withColumn("ts", F.col("ts").cast("timestamp_ntz")).drop("batch"))
+
+
 def live_current_stats(spark, sf_dir):
     """The live monitor's statistics records."""
     root = shared_path(spark, "live")
@@ -752,7 +763,7 @@ REGISTERED = {
         archive_ingest, archive_quarantine, latest_archive_counts, latest_status_pivot,
         outlet_key_split, holiday_flags, times_on_reference_day, libsvm_round_trip,
         json_forecast_round_trip, replaced_schedule, stats_upsert, ingested_days, model_refresh,
-        live_current_stats, live_alerts, stream_window_counts, stream_slot_dedupe,
+        live_snapshot_polls, live_current_stats, live_alerts, stream_window_counts, stream_slot_dedupe,
         stream_slot_counts, stream_transitions, stream_notices,
     )
 } | {"transitions": transition_list}
