@@ -74,17 +74,13 @@ def watch_changes(
     """Changes to the statistics record of their site and to alerts."""
 
     def publish(rows: DataFrame, batch: int) -> None:
-        rows.persist()
-        try:
-            stats = transitions.current_stats(rows.drop("means"), settings=settings)
-            tables.append_records(stats, f"{root}/stats", batch=batch)
-            figures = transitions.with_change_figures(
-                _with_prediction_lines(rows, settings), settings=settings
-            )
-            routed = alerts.route(alerts.transition_alerts(figures), settings=settings)
-            tables.append_records(routed, f"{root}/alerts/source=changes", batch=batch)
-        finally:
-            rows.unpersist()
+        stats = transitions.current_stats(rows.drop("means"), settings=settings)
+        tables.append_records(stats, f"{root}/stats", batch=batch)
+        figures = transitions.with_change_figures(
+            _with_prediction_lines(rows, settings), settings=settings
+        )
+        routed = alerts.route(alerts.transition_alerts(figures), settings=settings)
+        tables.append_records(routed, f"{root}/alerts/source=changes", batch=batch)
 
     changed = monitor.with_means(
         monitor.live_changes(polls, settings=settings), settings=settings
@@ -104,17 +100,11 @@ def watch_edges(
     """Upcoming interval edges to the prediction record of their site and to alerts."""
 
     def publish(rows: DataFrame, batch: int) -> None:
-        rows.persist()
-        try:
-            sites = rows.select("site_id").distinct()
-            record = lookahead.current_prediction(rows, sites).join(
-                rows.groupBy("site_id").agg(F.max("ts").alias("ts")), "site_id"
-            )
-            tables.append_records(record, f"{root}/predictions", batch=batch)
-            routed = alerts.route(alerts.forecast_alerts(rows), settings=settings)
-            tables.append_records(routed, f"{root}/alerts/source=edges", batch=batch)
-        finally:
-            rows.unpersist()
+        sites = rows.groupBy("site_id").agg(F.max("ts").alias("ts"))
+        record = lookahead.current_prediction(rows, sites).join(sites, "site_id")
+        tables.append_records(record, f"{root}/predictions", batch=batch)
+        routed = alerts.route(alerts.forecast_alerts(rows), settings=settings)
+        tables.append_records(routed, f"{root}/alerts/source=edges", batch=batch)
 
     told = monitor.live_notices(polls, intervals, settings=settings, interval_keys=interval_keys)
     return write_batches(told, f"{root}/notices", mode="append", poll=poll, each=publish)

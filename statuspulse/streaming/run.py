@@ -45,13 +45,16 @@ def write_batches(
     """Write every micro-batch to ``path/rows/batch=N``, with the checkpoint next to it.
 
     A batch that is run again after a failure overwrites its own folder, so the table holds
-    each batch once.  Without ``poll`` the query takes what is there and stops.
+    each batch once.  ``each`` gets the rows read back from that folder: the stateful part
+    of the plan runs once, whatever is made of its rows.  Without ``poll`` the query takes
+    what is there and stops.
     """
 
     def write(rows: DataFrame, batch: int) -> None:
         append_records(rows, f"{path}/rows", batch=batch)
         if each:
-            each(rows, batch)
+            stored = rows.sparkSession.read.schema(rows.schema).parquet(f"{path}/rows/batch={batch}")
+            each(stored, batch)
 
     trigger = {"processingTime": poll} if poll else {"availableNow": True}
     return (
