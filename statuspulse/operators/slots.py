@@ -87,7 +87,7 @@ def first_status(group, statuses: Sequence[str], extreme) -> DataFrame:
 def suppress_repeats(
     readings: DataFrame,
     *,
-    keys: Sequence[str] = OUTLET_KEY,
+    keys: Sequence[str] = ("device_id", "outlet_id"),
     order: Sequence[str],
     chunk: Column,
 ) -> DataFrame:
