@@ -12,7 +12,7 @@ from statuspulse.operators import lookahead, slots, transitions
 from statuspulse.params import Settings
 from statuspulse.plans import live
 from statuspulse.sources import archives
-from statuspulse.streaming import monitor, slot_stream
+from statuspulse.streaming import backlog, monitor, slot_stream
 from statuspulse.streaming.run import newest_version, run_available, stream_files
 from workload import adapter, queries
 
@@ -57,6 +57,27 @@ def test_changes_over_restarts_equal_batch(spark, polls, tmp_path):
     assert got.select("batch").distinct().count() >= 3
 
 
+def test_backlog_over_restarts_equals_batch(spark, counts, polls, tmp_path):
+    """Several micro-batches, each continued from the tables of the one before."""
+    source, root = str(tmp_path / "polls"), str(tmp_path / "backlog")
+    intervals = queries.week_insights(counts).persist()
+    for part in [*_thirds(polls), _thirds(polls)[0]]:  # the last part is old news
+        part.write.mode("append").parquet(source)
+        stream = stream_files(spark, source, schemas.POLLS)
+        backlog.watch_changes(stream, f"{root}/changes", settings=SETTINGS).awaitTermination()
+        backlog.watch_edges(stream, intervals, f"{root}/edges", settings=SETTINGS).awaitTermination()
+    batch = transitions.with_velocities(transitions.changes(polls), settings=SETTINGS)
+    columns = ["site_id", "ts", "kind", "avail", "avail_old", "in_use_old", "velocity", "means"]
+    assert _rows(spark.read.parquet(f"{root}/changes/rows"), *columns) == _rows(batch, *columns)
+    placed = lookahead.next_interval(polls, intervals, settings=SETTINGS)
+    told = lookahead.throttle(
+        lookahead.lookahead_alerts(placed, settings=SETTINGS), settings=SETTINGS
+    )
+    got = spark.read.parquet(f"{root}/edges/rows")
+    assert got.select("batch").distinct().count() == 3
+    assert _rows(got, "site_id", "ts", "text") == _rows(told, "site_id", "ts", "text")
+
+
 def test_old_polls_are_dropped(spark, polls, tmp_path):
     source, out = str(tmp_path / "polls"), str(tmp_path / "out")
     first, second, _ = _thirds(polls)

@@ -543,6 +543,8 @@ QUALIFY row_number() OVER (PARTITION BY site_id ORDER BY ts DESC) = 1""")
 SQL["ingested_days"] = q(condensed(), f"""
 SELECT {DATE_TEXT}, status, count(*) AS readings FROM condensed
 WHERE slot_date BETWEEN DATE '2024-01-20' AND DATE '2024-01-29' GROUP BY ALL""")
+SQL["backlog_transitions"] = SQL["stream_transitions"]
+SQL["backlog_notices"] = SQL["stream_notices"]
 SQL["live_snapshot_polls"] = SQL["latest_status_counts"].replace(
     "max(ts)", "date_trunc('millisecond', max(ts))"
 )

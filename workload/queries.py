@@ -16,7 +16,7 @@ from statuspulse.params import STATUSES
 from statuspulse.plans import live, refresh
 from statuspulse.session import materialise, shared_path
 from statuspulse.sources import archives, history, tables
-from statuspulse.streaming import monitor, slot_stream
+from statuspulse.streaming import backlog, monitor, slot_stream
 from statuspulse.streaming.run import newest_version, run_available, stream_files
 from workload.adapter import SETTINGS, as_readings, events, readings
 
@@ -698,6 +698,30 @@ def stream_notices(spark, sf_dir):
     )
 
 
+def backlog_transitions(spark, sf_dir):
+    """The polls as one large micro-batch, by the batch operators."""
+    path = shared_path(spark, "backlog_transitions")
+    stream = _poll_stream(spark, counts(spark, sf_dir))
+    backlog.watch_changes(stream, path, settings=SETTINGS).awaitTermination()
+    rows = spark.read.parquet(f"{path}/rows")
+    return plain(
+        rows.select(
+            "site_id", "ts", "kind", "avail", "avail_old", "in_use", "unknown", "total", "velocity",
+            F.size("means").alias("estimates"),
+        )
+    )
+
+
+def backlog_notices(spark, sf_dir):
+    path = shared_path(spark, "backlog_notices")
+    table = stored_counts(spark, sf_dir)
+    intervals = materialise(week_insights(table), "intervals")
+    stream = _poll_stream(spark, table)
+    backlog.watch_edges(stream, intervals, path, settings=SETTINGS).awaitTermination()
+    rows = spark.read.parquet(f"{path}/rows")
+    return plain(rows.select("site_id", "ts", "kind", "start_min", "end_min", "text"))
+
+
 def live_snapshot_polls(spark, sf_dir):
     """Archives as a stream, to the newest reading of every outlet, to one poll per site."""
     source, root = shared_path(spark, "archives"), shared_path(spark, "snapshots")
@@ -763,7 +787,7 @@ REGISTERED = {
         archive_ingest, archive_quarantine, latest_archive_counts, latest_status_pivot,
         outlet_key_split, holiday_flags, times_on_reference_day, libsvm_round_trip,
         json_forecast_round_trip, replaced_schedule, stats_upsert, ingested_days, model_refresh,
-        live_snapshot_polls, live_current_stats, live_alerts, stream_window_counts, stream_slot_dedupe,
+        backlog_transitions, backlog_notices, live_snapshot_polls, live_current_stats, live_alerts, stream_window_counts, stream_slot_dedupe,
         stream_slot_counts, stream_transitions, stream_notices,
     )
 } | {"transitions": transition_list}
