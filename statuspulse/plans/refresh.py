@@ -2,6 +2,8 @@
 
 Tables below ``root``:
 
+    raw/           readings of the archives, partitioned by folder date
+    archive_log/   every archive and what was wrong with it, partitioned by folder date
     readings/      condensed readings, partitioned by slot_date
     ledger/        days done, with the time they were done
     forecast/      predicted week              (replaced each time)
@@ -14,18 +16,47 @@ failed half-way is repeated from the start without harm.
 
 from __future__ import annotations
 
-from datetime import datetime
+from collections.abc import Sequence
+from datetime import date, datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from statuspulse.operators import forecast, slots, windows
-from statuspulse.params import DEFAULTS, Settings, clock_minutes
-from statuspulse.sources import history, tables
+from statuspulse.params import DEFAULTS, OUTLET_CODES, Settings, clock_minutes
+from statuspulse.session import materialise
+from statuspulse.sources import archives, history, tables
 
 LEDGER = "slot_date date, done_at timestamp_ntz"
 
 
+def compact_archives(
+    spark: SparkSession,
+    archive_root: str,
+    root: str,
+    *,
+    days: Sequence[date],
+    site: Column | None = None,
+    outlets: Sequence[str] | None = tuple(OUTLET_CODES),
+) -> None:
+    """Date folders of zip archives to ``root/raw`` and ``root/archive_log``, by folder date.
+
+    Each archive is unzipped once: the parsed documents are written before they are split.
+    The log has a row for every archive; those with an error are the quarantine.  Running a
+    day again replaces it.
+    """
+    parsed = archives.parse_archives(
+        archives.read_archives(spark, archive_root, days=days), outlets=outlets
+    )
+    stored = materialise(parsed, "parsed_archives")
+    for rows, name in (
+        (archives.archive_readings(stored, site=site), "raw"),
+        (archives.outcomes(stored), "archive_log"),
+    ):
+        dated = archives.with_path_parts(rows).drop("station")
+        tables.write_days(dated, f"{root}/{name}", date="dir_date")
+
+
 def ingest_days(
     spark: SparkSession,
     readings: DataFrame,

@@ -10,6 +10,7 @@ import io
 import zipfile
 import zlib
 from collections.abc import Iterator, Sequence
+from datetime import date
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -38,18 +39,22 @@ _ARCHIVE_OPTIONS = {
 _UNPACKED = "path string, payloads array<string>, error string"
 
 
-def read_archives(spark: SparkSession, root: str, *, glob: str = "*.zip") -> DataFrame:
-    """Archives below ``root`` as (path, content).
+def read_archives(
+    spark: SparkSession, root: str, *, days: Sequence[date] | None = None, glob: str = "*.zip"
+) -> DataFrame:
+    """Archives below ``root`` as (path, content); with ``days``, of those date folders only.
 
-    Minute-sized files are the cost here, not their bytes: read them once and compact to
-    parquet (``tables.write_days``).
+    Minute-sized files are the cost here, not their bytes.  Only the named folders are
+    listed, many of them in parallel; read them once and compact them
+    (``plans.refresh.compact_archives``).
 
     The colons in the file names are no legal part of the checksum files that the checksummed
     local file system looks for, so local folders are read without it; other stores ignore
     these two options.
     """
     options = {**_ARCHIVE_OPTIONS, "pathGlobFilter": glob}
-    return spark.read.format("binaryFile").options(**options).load(root).select("path", "content")
+    folders = [f"{root}/{day.isoformat()}" for day in days] if days else [root]
+    return spark.read.format("binaryFile").options(**options).load(folders).select("path", "content")
 
 
 def stream_archives(
@@ -163,11 +168,14 @@ def archive_readings(parsed: DataFrame, *, site: Column | None = None) -> DataFr
     )
 
 
+def outcomes(parsed: DataFrame) -> DataFrame:
+    """Every archive with the documents kept and, if it was cut short, the reason."""
+    return parsed.select("path", "error", F.size("docs").alias("documents_kept"))
+
+
 def quarantine(parsed: DataFrame) -> DataFrame:
     """Archives that were cut short, with the reason."""
-    return parsed.where(F.col("error").isNotNull()).select(
-        "path", "error", F.size("docs").alias("documents_kept")
-    )
+    return outcomes(parsed).where(F.col("error").isNotNull())
 
 
 def latest_archives(archives: DataFrame) -> DataFrame:

@@ -266,3 +266,14 @@ def test_schedule_replaced_by_nothing(spark, tmp_path):
     tables.replace_schedule(rows, path, schedule="other")
     tables.replace_schedule(rows.where("false"), path, schedule="other")
     assert [tuple(r) for r in tables.read_schedules(spark, path).collect()] == [("w", "0e5")]
+
+
+def test_compact_archives(spark, archive_root, tmp_path):
+    root, day = str(tmp_path / "tables"), date(2017, 10, 6)
+    for _ in range(2):  # twice is as good as once
+        refresh.compact_archives(spark, archive_root, root, days=[day], site=F.lit(7))
+    raw = spark.read.parquet(f"{root}/raw")
+    assert raw.count() == 6
+    assert {(r.site_id, r.dir_date) for r in raw.collect()} == {(7, day)}
+    log = spark.read.parquet(f"{root}/archive_log").where(F.col("dir_date") == F.lit(day))
+    assert (log.count(), log.where("error IS NOT NULL").count()) == (8, 6)
