@@ -119,7 +119,8 @@ def parse_archives(archives: DataFrame, *, outlets: Sequence[str] | None = tuple
         node = F.get(root, F.lit(0))
         summary = F.get(node["summaries"], F.lit(0))
         return F.struct(
-            root.isNull().alias("unreadable"),
+            # a bare object would be read as an array of one
+            (root.isNull() | ~F.ltrim(payload).startswith("[")).alias("unreadable"),
             summary["device_id"].alias("device_id"),
             node["time"].alias("time"),
             summary["port_status"].alias("ports"),

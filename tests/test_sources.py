@@ -44,6 +44,7 @@ def archive_root(tmp_path):
     put("00:00:06.zip", _zip(_doc(), "[]", _doc()))
     put("00:00:07.zip", _zip(_doc(outlet_1={}, outlet_2={"status": "in_use"})))
     put("00:00:08.zip", _zip(_doc())[:-40])
+    put("00:00:09.zip", _zip(_doc().strip("[]")))  # no array
     put("notes.txt", b"not an archive file")
     return str(tmp_path)
 
@@ -61,6 +62,7 @@ def test_archives(spark, archive_root):
         "05": (archives.BAD_TIME, 0),
         "06": (archives.MISSING_FIELD, 1),  # the document before the bad one is kept
         "08": (archives.BAD_ARCHIVE, 0),
+        "09": (archives.BAD_JSON, 0),
     }
     good = archives.archive_readings(parsed).select(name, "*").collect()
     assert sorted((r.n, r.outlet_id, r.status) for r in good) == [
@@ -276,4 +278,4 @@ def test_compact_archives(spark, archive_root, tmp_path):
     assert raw.count() == 6
     assert {(r.site_id, r.dir_date) for r in raw.collect()} == {(7, day)}
     log = spark.read.parquet(f"{root}/archive_log").where(F.col("dir_date") == F.lit(day))
-    assert (log.count(), log.where("error IS NOT NULL").count()) == (8, 6)
+    assert (log.count(), log.where("error IS NOT NULL").count()) == (9, 7)
