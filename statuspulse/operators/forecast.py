@@ -183,8 +183,12 @@ def class_probabilities(scored: DataFrame) -> DataFrame:
 def holdout_accuracy(rows: DataFrame, fit, *, train_share: float = 0.6, seed: int = 1234) -> DataFrame:
     """Fit on a random share, report accuracy on the rest: one row."""
     train, test = rows.randomSplit([train_share, 1 - train_share], seed)
-    scored = fit(train).transform(assemble(test))
-    return scored.agg(
+    return tested(fit(train), test)
+
+
+def tested(model, rows: DataFrame) -> DataFrame:
+    """Number of rows and the share the model predicts right: one row."""
+    return model.transform(assemble(rows)).agg(
         F.count("*").alias("test_rows"),
         F.avg((F.col("prediction") == F.col("label")).cast("double")).alias("accuracy"),
     )

@@ -578,16 +578,31 @@ SELECT r.site_id, r.ts, r.kind, r.channel, r.colour, r.available_field, NULL
 FROM routed r JOIN told t ON t.site_id = r.site_id AND t.ts = r.ts AND t.kind = r.kind"""
 
 # multinomial naive Bayes with smoothing 0.5 over (dow, hour + 1, slot + 1)
-SQL["nb_status_classifier"] = q(condensed() + """,
+BAYES_ROWS = condensed() + """,
 rows AS (
-  SELECT CASE status WHEN 'unknown' THEN 0 WHEN 'available' THEN 1 ELSE 2 END AS label,
-         dow AS x1, hour + 1 AS x2, slot + 1 AS x3 FROM condensed),
+  SELECT CASE status WHEN 'unknown' THEN 0 WHEN 'available' THEN 1 ELSE 2 END AS label, slot_date,
+         dow AS x1, hour + 1 AS x2, slot + 1 AS x3 FROM condensed)"""
+
+
+def bayes_weights(train: str) -> str:
+    return f""",
 sums AS (
-  SELECT label, count(*) AS n, sum(x1) AS s1, sum(x2) AS s2, sum(x3) AS s3 FROM rows GROUP BY label),
+  SELECT label, count(*) AS n, sum(x1) AS s1, sum(x2) AS s2, sum(x3) AS s3
+  FROM rows WHERE {train} GROUP BY label),
 weights AS (
   SELECT label, ln(n + 0.5) - ln(sum(n) OVER () + 1.5) AS pi,
          ln(s1 + 0.5) - ln(s1 + s2 + s3 + 1.5) AS t1, ln(s2 + 0.5) - ln(s1 + s2 + s3 + 1.5) AS t2,
-         ln(s3 + 0.5) - ln(s1 + s2 + s3 + 1.5) AS t3 FROM sums),
+         ln(s3 + 0.5) - ln(s1 + s2 + s3 + 1.5) AS t3 FROM sums)"""
+
+
+SQL["bayes_date_holdout"] = q(
+    BAYES_ROWS + bayes_weights("slot_date <= DATE '2024-01-20'") + """,
+predicted AS (
+  SELECT x1, x2, x3, arg_max(weights.label, pi + x1 * t1 + x2 * t2 + x3 * t3) AS prediction
+  FROM (SELECT DISTINCT x1, x2, x3 FROM rows), weights GROUP BY ALL)""", """
+SELECT count(*) AS test_rows, avg(CAST(label = prediction AS DOUBLE)) AS accuracy
+FROM rows JOIN predicted USING (x1, x2, x3) WHERE slot_date > DATE '2024-01-20'""")
+SQL["nb_status_classifier"] = q(BAYES_ROWS + bayes_weights("true") + """,
 scores AS (
   SELECT CAST(d AS INTEGER) AS dow, CAST(h AS INTEGER) AS hour, label,
          pi + d * t1 + (h + 1) * t2 + t3 AS score

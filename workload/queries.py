@@ -434,6 +434,13 @@ def bayes_holdout_accuracy(spark, sf_dir):
     )
 
 
+def bayes_date_holdout(spark, sf_dir):
+    """Trained on the days up to the 20th, tested on those after."""
+    rows = _status_rows(spark, sf_dir)
+    early = F.col("slot_date") <= datetime(2024, 1, 20).date()
+    return forecast.tested(forecast.train_bayes(rows.where(early), classes=3), rows.where(~early))
+
+
 def _documents(spark, sf_dir):
     """Every event as the snapshot document its station would have sent.
 
@@ -784,6 +791,7 @@ REGISTERED = {
         insights_for_day, depletion_velocity, time_to_empty, next_interval, lookahead_alerts,
         throttled_alerts, current_prediction, routed_alerts, current_stats, training_vectors,
         rf_week_forecast, nb_status_classifier, outlet_status_forest, bayes_holdout_accuracy,
+        bayes_date_holdout,
         archive_ingest, archive_quarantine, latest_archive_counts, latest_status_pivot,
         outlet_key_split, holiday_flags, times_on_reference_day, libsvm_round_trip,
         json_forecast_round_trip, replaced_schedule, stats_upsert, ingested_days, model_refresh,
