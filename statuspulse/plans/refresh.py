@@ -88,10 +88,8 @@ def ingest_days(
     condensed = slots.condense(
         history.readings_of_days(readings, todo, settings=settings), settings=settings
     )
-    if fresh:
-        tables.replace_days(condensed, f"{root}/readings")
-    else:
-        tables.write_days(condensed, f"{root}/readings")
+    write = tables.replace_days if fresh else tables.write_days
+    write(condensed, f"{root}/readings", sort=["site_id", "slot_start"])
     done = spark.createDataFrame([(day, as_of) for day in todo], LEDGER)
     done.write.mode("overwrite" if fresh else "append").parquet(f"{root}/ledger")
     return True
