@@ -37,10 +37,10 @@ def watch_snapshots(readings: DataFrame, root: str, *, poll: str | None = None)
 
     def advance(rows: DataFrame, batch: int) -> None:
         spark = rows.sparkSession
-        known = tables.read_or_empty(spark, f"{root}/latest/batch={batch - 1}", LATEST)
+        known = tables.read_state(spark, f"{root}/latest", LATEST, batch=batch)
         merged = known.unionByName(rows.select(known.columns))
-        tables.append_records(status.latest_readings(merged), f"{root}/latest", batch=batch)
-        latest = spark.read.schema(LATEST).parquet(f"{root}/latest/batch={batch}")
+        tables.write_state(status.latest_readings(merged), f"{root}/latest", batch=batch)
+        latest = tables.read_state(spark, f"{root}/latest", LATEST, batch=batch + 1)
         polls = status.status_counts(latest).withColumn("ts", F.col("ts").cast("timestamp"))
         tables.append_records(polls, f"{root}/polls", batch=batch)
 

@@ -72,6 +72,24 @@ def latest_records(
     return rows.groupBy(*keys).agg(newest.alias("_r")).select(*keys, "_r.*")
 
 
+def write_state(df: DataFrame, path: str, *, batch: int) -> None:
+    """What the next micro-batch needs of this one.
+
+    Two folders take turns: a batch reads the other's and overwrites its own, so it can be
+    run again, and the state does not grow with the number of batches.
+    """
+    df.write.mode("overwrite").parquet(f"{path}/turn={batch % 2}")
+
+
+def read_state(
+    spark: SparkSession, path: str, schema: StructType | str, *, batch: int
+) -> DataFrame:
+    """What the batch before this one left; nothing for the first."""
+    if batch == 0:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(f"{path}/turn={(batch - 1) % 2}")
+
+
 def read_records(
     table: DataFrame,
     *,

@@ -17,7 +17,7 @@ from pyspark.sql.window import Window
 
 from statuspulse.operators import lookahead, transitions
 from statuspulse.params import DEFAULTS, Settings
-from statuspulse.sources.tables import append_records, read_or_empty
+from statuspulse.sources.tables import append_records, read_state, write_state
 
 _POLL = "site_id long, ts timestamp_ntz, avail long, in_use long, unknown long, total long"
 _CHANGE = _POLL + ", avail_old long, in_use_old long, unknown_old long, kind string"
@@ -58,15 +58,15 @@ def watch_changes(
 
     def advance(rows: DataFrame, batch: int) -> None:
         spark = rows.sparkSession
-        last = read_or_empty(spark, f"{path}/last/batch={batch - 1}", _POLL)
-        tail = read_or_empty(spark, f"{path}/tail/batch={batch - 1}", _CHANGE)
+        last = read_state(spark, f"{path}/last", _POLL, batch=batch)
+        tail = read_state(spark, f"{path}/tail", _CHANGE, batch=batch)
         new = rows.withColumn("ts", F.col("ts").cast("timestamp_ntz")).select(last.columns)
 
         timed = transitions.with_velocities(continue_changes(new, last, tail), settings=settings)
         append_records(timed.where(~F.col(_KNOWN)).drop(_KNOWN), f"{path}/rows", batch=batch)
         fresh = spark.read.schema(_CHANGE).parquet(f"{path}/rows/batch={batch}")
-        append_records(_newest(fresh.unionByName(tail), depth), f"{path}/tail", batch=batch)
-        append_records(_newest(new.unionByName(last), 1), f"{path}/last", batch=batch)
+        write_state(_newest(fresh.unionByName(tail), depth), f"{path}/tail", batch=batch)
+        write_state(_newest(new.unionByName(last), 1), f"{path}/last", batch=batch)
 
     return _start(polls, path, advance, poll)
 
@@ -83,18 +83,18 @@ def watch_edges(
 
     def advance(rows: DataFrame, batch: int) -> None:
         spark = rows.sparkSession
-        last = read_or_empty(spark, f"{path}/last/batch={batch - 1}", _POLL)
+        last = read_state(spark, f"{path}/last", _POLL, batch=batch)
         new = rows.withColumn("ts", F.col("ts").cast("timestamp_ntz")).select(last.columns)
         placed = lookahead.next_interval(_newer(new, last), intervals, settings=settings)
         candidates = lookahead.lookahead_alerts(placed, settings=settings)
-        told = read_or_empty(spark, f"{path}/told/batch={batch - 1}", candidates.schema)
+        told = read_state(spark, f"{path}/told", candidates.schema, batch=batch)
 
         # the last notice is the first of its group, so the choice goes on from it
         picked = lookahead.throttle(_with_known(candidates, told), settings=settings)
         append_records(picked.where(~F.col(_KNOWN)).drop(_KNOWN), f"{path}/rows", batch=batch)
         fresh = spark.read.schema(candidates.schema).parquet(f"{path}/rows/batch={batch}")
-        append_records(_newest(fresh.unionByName(told), 1), f"{path}/told", batch=batch)
-        append_records(_newest(new.unionByName(last), 1), f"{path}/last", batch=batch)
+        write_state(_newest(fresh.unionByName(told), 1), f"{path}/told", batch=batch)
+        write_state(_newest(new.unionByName(last), 1), f"{path}/last", batch=batch)
 
     return _start(polls, path, advance, poll)
 
