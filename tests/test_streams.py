@@ -5,6 +5,7 @@ import zipfile
 from dataclasses import replace
 
 import pytest
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from statuspulse import schemas
@@ -78,6 +79,33 @@ def test_backlog_over_restarts_equals_batch(spark, counts, polls, tmp_path):
     assert _rows(got, "site_id", "ts", "text") == _rows(told, "site_id", "ts", "text")
 
 
+def test_backlog_batch_is_repeated_after_a_failure(spark, polls, tmp_path, monkeypatch):
+    """The second batch fails after it wrote its rows; the restart gives the same as no failure."""
+    source, path = str(tmp_path / "polls"), str(tmp_path / "backlog")
+    write, failures = backlog.write_state, []
+
+    def failing(df, where, *, batch):
+        if batch == 1 and where.endswith("/last") and not failures:
+            failures.append(where)
+            raise OSError("lost")
+        write(df, where, batch=batch)
+
+    monkeypatch.setattr(backlog, "write_state", failing)
+    for part in _thirds(polls):
+        part.write.mode("append").parquet(source)
+        for _ in range(2):
+            try:
+                stream = stream_files(spark, source, schemas.POLLS)
+                backlog.watch_changes(stream, path, settings=SETTINGS).awaitTermination()
+                break
+            except StreamingQueryException:
+                assert failures
+    batch = transitions.with_velocities(transitions.changes(polls), settings=SETTINGS)
+    columns = ["site_id", "ts", "kind", "avail", "avail_old", "velocity", "means"]
+    assert failures
+    assert _rows(spark.read.parquet(f"{path}/rows"), *columns) == _rows(batch, *columns)
+
+
 def test_old_polls_are_dropped(spark, polls, tmp_path):
     source, out = str(tmp_path / "polls"), str(tmp_path / "out")
     first, second, _ = _thirds(polls)
