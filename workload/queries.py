@@ -590,7 +590,9 @@ def replaced_schedule(spark, sf_dir):
         windows.availability_windows(peak, settings=SETTINGS), settings=SETTINGS
     )
     tables.replace_schedule(second, path, schedule="replaced")
-    return tables.read_schedules(spark, path).select("schedule", "site_id", "dow", "name", "start_utc", "end_utc")
+    return tables.read_schedules(spark, path).select(
+        "schedule", "site_id", "dow", "name", "start_utc", "end_utc"
+    )
 
 
 def stats_upsert(spark, sf_dir):
@@ -781,21 +783,30 @@ def live_alerts(spark, sf_dir):
 REGISTERED = {
     f.__name__: f
     for f in (
-        outlet_readings, slot_keys, json_path_extract, condense_first_per_slot,
-        suppress_repeats_by_arrival, slot_availability, slot_over_capacity, latest_status_counts,
-        unknown_status_audit, lookback_complete_days, incremental_new_dates, device_ignore,
-        managed_device_readings, week_grid, weekly_profile_forecast, weekly_peak_forecast,
-        slot_forecast_ordinals, history_row_ordinals, availability_windows,
-        availability_windows_low, availability_windows_toggle, availability_windows_hysteresis, fleet_availability_windows,
-        window_schedule_utc, insights,
-        insights_for_day, depletion_velocity, time_to_empty, next_interval, lookahead_alerts,
-        throttled_alerts, current_prediction, routed_alerts, current_stats, training_vectors,
-        rf_week_forecast, nb_status_classifier, outlet_status_forest, bayes_holdout_accuracy,
-        bayes_date_holdout,
-        archive_ingest, archive_quarantine, latest_archive_counts, latest_status_pivot,
-        outlet_key_split, holiday_flags, times_on_reference_day, libsvm_round_trip,
-        json_forecast_round_trip, replaced_schedule, stats_upsert, ingested_days, model_refresh,
-        backlog_transitions, backlog_notices, live_snapshot_polls, live_current_stats, live_alerts, stream_window_counts, stream_slot_dedupe,
-        stream_slot_counts, stream_transitions, stream_notices,
+        # readings, slots, status
+        outlet_readings, slot_keys, json_path_extract, outlet_key_split, times_on_reference_day,
+        condense_first_per_slot, suppress_repeats_by_arrival, slot_availability,
+        slot_over_capacity, latest_status_counts, latest_status_pivot, unknown_status_audit,
+        device_ignore, managed_device_readings, holiday_flags,
+        # history
+        lookback_complete_days, incremental_new_dates, ingested_days,
+        # forecast and models
+        week_grid, weekly_profile_forecast, weekly_peak_forecast, slot_forecast_ordinals,
+        history_row_ordinals, training_vectors, rf_week_forecast, nb_status_classifier,
+        outlet_status_forest, bayes_holdout_accuracy, bayes_date_holdout, model_refresh,
+        # windows and insights
+        availability_windows, availability_windows_low, availability_windows_toggle,
+        availability_windows_hysteresis, fleet_availability_windows, window_schedule_utc,
+        insights, insights_for_day,
+        # changes, look-ahead, alerts
+        depletion_velocity, time_to_empty, next_interval, lookahead_alerts, throttled_alerts,
+        current_prediction, routed_alerts, current_stats,
+        # archives and sinks
+        archive_ingest, archive_quarantine, latest_archive_counts, libsvm_round_trip,
+        json_forecast_round_trip, replaced_schedule, stats_upsert,
+        # streams
+        stream_window_counts, stream_slot_dedupe, stream_slot_counts, stream_transitions,
+        stream_notices, backlog_transitions, backlog_notices, live_snapshot_polls,
+        live_current_stats, live_alerts,
     )
 } | {"transitions": transition_list}
