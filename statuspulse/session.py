@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
-from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,22 +24,24 @@ def local_session(cpus: int | str = "*", app: str = "statuspulse", **conf: str)
     return builder.getOrCreate()
 
 
-@lru_cache
-def _local_base() -> str:
-    return tempfile.mkdtemp(prefix="statuspulse-")
+_shared_folder: str | None = None
 
 
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A fresh folder below the cluster's ``spark.checkpoint.dir``.
+def use_shared_folder(path: str) -> None:
+    """The folder to use in sessions that do not name one in ``spark.checkpoint.dir``."""
+    global _shared_folder
+    _shared_folder = path
 
-    Every executor must see what is written there.  Only a local master, where driver and
-    executors are one process, may fall back to a temporary folder.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
+
+def has_shared_folder(spark: SparkSession) -> bool:
+    return bool(spark.conf.get("spark.checkpoint.dir", None) or _shared_folder)
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A fresh folder below ``spark.checkpoint.dir``, which every executor must see."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or _shared_folder
     if not base:
-        if not spark.conf.get("spark.master", "").startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        base = _local_base()
+        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from statuspulse.params import Settings
+from statuspulse.session import has_shared_folder, use_shared_folder
 
 # hourly slots suit the density of the given events
 SETTINGS = Settings(slot_minutes=60, velocity_counts=(1, 2, 3), notify_interval_minutes=180)
@@ -36,3 +39,9 @@ def as_readings(rows: DataFrame) -> DataFrame:
 
 def readings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return as_readings(events(spark, sf_dir))
+
+
+def ensure_shared_folder(spark: SparkSession) -> None:
+    """Where the session names no shared folder, and driver and executors are one process, make one."""
+    if not has_shared_folder(spark) and spark.conf.get("spark.master", "").startswith("local["):
+        use_shared_folder(tempfile.mkdtemp(prefix="statuspulse-"))
