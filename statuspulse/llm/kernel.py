@@ -243,8 +243,10 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 
-def joined_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The words with A-Z lowered, each followed by one space, and where each begins in that."""
+def joined_words(
+    data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = True
+) -> tuple[np.ndarray, np.ndarray]:
+    """The words, with A-Z lowered, each followed by one space, and where each begins in that."""
     sizes = ends - starts
     begin = np.concatenate([[0], np.cumsum(sizes + 1)])
     # a word's end may be the start of the next row's first word
@@ -255,7 +257,7 @@ def joined_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tupl
     out = np.full(int(begin[-1]), 0x20, np.uint8)
     slot = np.ones(len(out), bool)
     slot[begin[1:] - 1] = False
-    out[slot] = _LOWER[data[inside]]
+    out[slot] = _LOWER[data[inside]] if lower else data[inside]
     return out, begin[:-1]
 
 

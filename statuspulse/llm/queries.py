@@ -2,15 +2,29 @@
 
 from __future__ import annotations
 
-from statuspulse.llm import simhash
+from pyspark.sql import functions as F
+
+from statuspulse.llm import simhash, substrings, suffixes
 
 
 def table(spark, sf_dir, name):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op4_substrings(spark, sf_dir):
+    found = substrings.remove_repeats(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op6_suffixes(spark, sf_dir):
+    found = suffixes.remove_repeats(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256")
+    )
+
+
 def op8_simhash(spark, sf_dir):
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-REGISTERED = {f.__name__: f for f in (op8_simhash,)}
+REGISTERED = {f.__name__: f for f in (op4_substrings, op6_suffixes, op8_simhash)}
