@@ -1,3 +1,52 @@
 """DuckDB SQL of the registered queries that SQL can express."""
 
 SQL: dict[str, str] = {}
+
+SQL["op3_mixing"] = r"""
+WITH rows AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size
+  FROM documents),
+sizes AS (SELECT source, sum(size)::BIGINT AS source_size FROM rows GROUP BY source),
+weighed AS (
+  SELECT source, source_size, [5, 2, 1][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS weight,
+         source_size * 2.0::DOUBLE AS cap
+  FROM sizes),
+levelled AS (
+  SELECT *, (sum(source_size) OVER () * 1.5::DOUBLE - coalesce(sum(cap) OVER before, 0))
+            / (sum(weight) OVER () - coalesce(sum(weight) OVER before, 0)) AS own_level
+  FROM weighed
+  WINDOW before AS (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+aims AS (
+  SELECT source, source_size, coalesce(least(cap, weight * max(CASE WHEN NOT cap / weight < own_level
+         THEN own_level END) OVER ()), cap) AS target
+  FROM levelled),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY source ORDER BY size, md5(coalesce(doc_id::VARCHAR, '')), doc_id) - 1
+         AS place
+  FROM rows),
+dealt AS (
+  SELECT doc_id, size, source_size, target, place,
+         CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS each_doc,
+         ('0x' || md5('mix|' || coalesce('=' || aims.source, ''))[1:5])::BIGINT / 1048576.0::DOUBLE AS shift
+  FROM ranked JOIN aims ON ranked.source IS NOT DISTINCT FROM aims.source)
+SELECT doc_id, size, source_size, target,
+       (size * least(floor(shift + each_doc * (place + 1)) - floor(shift + each_doc * place), 2))::BIGINT AS taken
+FROM dealt
+"""
+
+SQL["op4_substrings"] = r"""
+WITH split AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+windows AS (
+  SELECT doc_id, pos, array_to_string(words[pos:pos + 12], ' ') AS w
+  FROM (SELECT doc_id, words, unnest(range(1, len(words) - 11)) AS pos FROM split WHERE len(words) >= 13)),
+earliest AS (SELECT w, min(doc_id) AS first FROM windows GROUP BY w HAVING min(doc_id) < max(doc_id)),
+gone AS (
+  SELECT DISTINCT doc_id, unnest(range(pos, pos + 13)) AS pos
+  FROM windows JOIN earliest USING (w) WHERE first < doc_id),
+places AS (SELECT doc_id, list(pos) AS places FROM gone GROUP BY doc_id)
+SELECT doc_id, len(words) AS n_words, coalesce(len(places), 0) AS n_removed,
+       sha256(coalesce(array_to_string(CASE WHEN places IS NULL THEN words ELSE
+         list_filter(words, lambda w, i: NOT list_contains(places, i)) END, ' '), '')) AS kept_sha256
+FROM split LEFT JOIN places USING (doc_id)
+"""

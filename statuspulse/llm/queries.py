@@ -4,13 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from statuspulse.llm import simhash, substrings, suffixes
+from statuspulse.llm import mixing, simhash, substrings, suffixes
 
 
 def table(spark, sf_dir, name):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_mixing(spark, sf_dir):
+    found = mixing.mix(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op4_substrings(spark, sf_dir):
     found = substrings.remove_repeats(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
@@ -27,4 +32,4 @@ def op8_simhash(spark, sf_dir):
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-REGISTERED = {f.__name__: f for f in (op4_substrings, op6_suffixes, op8_simhash)}
+REGISTERED = {f.__name__: f for f in (op3_mixing, op4_substrings, op6_suffixes, op8_simhash)}
