@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from statuspulse.llm import mixing, simhash, substrings, suffixes
+from statuspulse.llm import mixing, quality, simhash, substrings, suffixes
 
 
 def table(spark, sf_dir, name):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_quality(spark, sf_dir):
+    return quality.assess(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_mixing(spark, sf_dir):
     found = mixing.mix(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "size", "source_size", "target", "taken")
@@ -32,4 +36,4 @@ def op8_simhash(spark, sf_dir):
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-REGISTERED = {f.__name__: f for f in (op3_mixing, op4_substrings, op6_suffixes, op8_simhash)}
+REGISTERED = {f.__name__: f for f in (op2_quality, op3_mixing, op4_substrings, op6_suffixes, op8_simhash)}
