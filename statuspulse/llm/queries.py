@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from statuspulse.llm import mixing, quality, simhash, substrings, suffixes
+from statuspulse.llm import mixing, quality, simhash, substrings, suffixes, toxicity
 
 
 def table(spark, sf_dir, name):
@@ -32,8 +32,12 @@ def op6_suffixes(spark, sf_dir):
     )
 
 
+def op7_toxicity(spark, sf_dir):
+    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_simhash(spark, sf_dir):
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-REGISTERED = {f.__name__: f for f in (op2_quality, op3_mixing, op4_substrings, op6_suffixes, op8_simhash)}
+REGISTERED = {f.__name__: f for f in (op2_quality, op3_mixing, op4_substrings, op6_suffixes, op7_toxicity, op8_simhash)}
