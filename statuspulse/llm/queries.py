@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from statuspulse.llm import mixing, quality, simhash, substrings, suffixes, toxicity
+from statuspulse.llm import mixing, quality, simhash, substrings, suffixes, toxicity, vectors
 
 
 def table(spark, sf_dir, name):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_vectors(spark, sf_dir):
+    return vectors.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op2_quality(spark, sf_dir):
     return quality.assess(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -40,4 +44,4 @@ def op8_simhash(spark, sf_dir):
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-REGISTERED = {f.__name__: f for f in (op2_quality, op3_mixing, op4_substrings, op6_suffixes, op7_toxicity, op8_simhash)}
+REGISTERED = {f.__name__: f for f in (op1_vectors, op2_quality, op3_mixing, op4_substrings, op6_suffixes, op7_toxicity, op8_simhash)}
