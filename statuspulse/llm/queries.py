@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import functions as F
 
-from statuspulse.llm import mixing, quality, simhash, substrings, suffixes, toxicity, vectors
+from statuspulse.llm import mixing, pieces, quality, rollups, simhash, substrings, suffixes, toxicity, vectors
+
+from statuspulse.session import shared_path
 
 
 def table(spark, sf_dir, name):
@@ -44,4 +47,40 @@ def op8_simhash(spark, sf_dir):
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-REGISTERED = {f.__name__: f for f in (op1_vectors, op2_quality, op3_mixing, op4_substrings, op6_suffixes, op7_toxicity, op8_simhash)}
+def op9_rollups(spark, sf_dir):
+    """All documents are inserted; exact copies of an earlier one are deleted; then what is not
+    English is counted anew with a multilingual vocabulary."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
+    digest = (F.xxhash64("text"), F.xxhash64(F.reverse("text")), F.octet_length("text"))
+    keyed = docs.select("doc_id", "lang", *(d.alias(f"d{k}") for k, d in enumerate(digest)))
+    first = keyed.groupBy("d0", "d1", "d2").agg(F.min("doc_id").alias("first"))
+    copies = keyed.join(first, ["d0", "d1", "d2"]).where("doc_id > first").select("doc_id")
+    kept = docs.join(copies, "doc_id", "left_anti")
+    rollup = rollups.Rollup(spark, shared_path(spark, "rollup"))
+    pattern = public_tokenizers.PATTERN
+    english, many = (public_tokenizers.path(f"byte_bpe_{x}50k.tiktoken") for x in ("", "multi_"))
+    none = F.lit(None).cast("string")
+    gone = copies.withColumns({"text": none, "source": none, "lang": none})
+    rollup.apply(1, docs.withColumn("op", F.lit("insert")), "en-50k", english, pattern)
+    rollup.apply(2, gone.withColumn("op", F.lit("delete")), "en-50k", english, pattern)
+    revised = kept.where("lang <> 'en'").withColumn("op", F.lit("revise"))
+    rollup.apply(3, revised, "multi-50k", many, pattern)
+    return rollup.totals()
+
+
+def op10_pieces(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    found = pieces.encode(docs, public_tokenizers.path("piece_bpe_32k.model"))
+    ids = F.concat_ws(" ", F.col("pieces").cast("array<string>"))
+    return found.select(
+        "doc_id",
+        F.size("pieces").alias("n_pieces"),
+        "score",
+        F.sha2(ids, 256).alias("pieces_sha256"),
+        F.col("n_best.score").alias("n_best_scores"),
+        F.col("n_best.changed").alias("n_best_changed"),
+        "round_trip",
+    )
+
+
+REGISTERED = {f.__name__: f for f in (op1_vectors, op2_quality, op3_mixing, op4_substrings, op6_suffixes, op7_toxicity, op8_simhash, op9_rollups, op10_pieces)}
