@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text handled at a time.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
 #: An odd multiplier (so that its powers have inverses) for polynomial hashes.
 BASE = 0x9E3779B97F4A7C15
 _MASK = (1 << 64) - 1

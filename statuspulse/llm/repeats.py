@@ -35,7 +35,7 @@ from statuspulse.llm import kernel
 from statuspulse.llm.common import partitions
 
 #: Bytes of text of a block, about; one block is in memory at a time.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
 #: Symbols a matcher is given at a time, whole anchors though.
 SHARD = 1 << 20
 _COLD, _COVERED, _FIRST, _SENT, _WINDOWS = range(5)
