@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from statuspulse.llm import mixing, pieces, quality, rollups, simhash, substrings, suffixes, toxicity, vectors
+from statuspulse.llm import language, mixing, pieces, quality, rollups, simhash, substrings, suffixes, toxicity, vectors
 
 from statuspulse.session import shared_path
 
@@ -32,6 +32,35 @@ def op4_substrings(spark, sf_dir):
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op5_language(spark, sf_dir):
+    found, name = language.of_documents(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id",
+        F.col(name["lang"]).alias("language"),
+        F.round(name["probability"], 6).alias("probability"),
+        F.col(name["kept"]).alias("kept"),
+    )
+
+
+def language_of_pages(spark, sf_dir):
+    """Pages by their visible text, markup, suffix and host; trigrams come from the documents."""
+    docs, pages = table(spark, sf_dir, "documents"), table(spark, sf_dir, "pages")
+    model = language.train(docs, docs["text"], F.lower(docs["lang"]))
+    pages = pages.select(
+        "page_id",
+        language.visible_text(F.col("html")).alias("text"),
+        language.markup_language(F.col("html")).alias("declared"),
+        language.host_of(F.col("url")).alias("host"),
+    )
+    found, name = language.identify(pages, pages["text"], pages["declared"], pages["host"], model)
+    return found.select(
+        "page_id",
+        F.col(name["lang"]).alias("language"),
+        F.round(name["probability"], 6).alias("probability"),
+        F.col(name["kept"]).alias("kept"),
+    )
+
+
 def op6_suffixes(spark, sf_dir):
     found = suffixes.remove_repeats(table(spark, sf_dir, "documents"))
     return found.select(
@@ -83,4 +112,4 @@ def op10_pieces(spark, sf_dir):
     )
 
 
-REGISTERED = {f.__name__: f for f in (op1_vectors, op2_quality, op3_mixing, op4_substrings, op6_suffixes, op7_toxicity, op8_simhash, op9_rollups, op10_pieces)}
+REGISTERED = {f.__name__: f for f in (op1_vectors, op2_quality, op3_mixing, op4_substrings, op5_language, op6_suffixes, op7_toxicity, op8_simhash, op9_rollups, op10_pieces, language_of_pages)}
