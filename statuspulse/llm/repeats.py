@@ -30,6 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from statuspulse.llm import kernel
 from statuspulse.llm.common import partitions
@@ -85,10 +86,14 @@ def block_of(doc_id: Column, bounds: list[int]) -> Column:
     return F.transform(F.array(doc_id), found)[0].cast("int")
 
 
-def blocked(docs: DataFrame, id_column: str, text_column: str, block_bytes: int) -> tuple[DataFrame, int]:
-    """(doc_id, text, block) dealt by block, and the number of blocks; blocks are ranges of ids."""
+def blocked(
+    docs: DataFrame, id_column: str, text_column: str, block_bytes: int, carried: list[str]
+) -> tuple[DataFrame, int]:
+    """(doc_id, text, rest, block) dealt by block, and the number of blocks; blocks are ranges of ids."""
     rows = docs.select(
-        docs[id_column].cast("long").alias("doc_id"), docs[text_column].cast("string").alias("text")
+        docs[id_column].cast("long").alias("doc_id"),
+        docs[text_column].cast("string").alias("text"),
+        F.struct(F.lit(0).alias("none"), *(docs[c].alias(f"c{k}") for k, c in enumerate(carried))).alias("rest"),
     )
     total, least = rows.agg(F.sum(F.octet_length("text")), F.count("doc_id")).first()
     n = max(partitions(docs.sparkSession), math.ceil((total or 0) / block_bytes))
@@ -441,7 +446,7 @@ def _finish(unit: Unit):
         order = np.argsort(chunk, kind="stable")
         cuts = np.searchsorted(chunk[order], np.arange(int(chunk.max(initial=0)) + 2))
         out = []
-        ids = table.column("doc_id").combine_chunks()
+        ids, rest = (table.column(c).combine_chunks() for c in ("doc_id", "rest"))
         for k, (row, data, offsets) in enumerate(kernel.chunks(table.column("text"))):
             symbols, bounds, extra = unit.reader(data, offsets)
             own = order[cuts[k] : cuts[k + 1]] if k + 1 < len(cuts) else order[:0]
@@ -451,7 +456,7 @@ def _finish(unit: Unit):
             rows = len(offsets) - 1
             out.append(
                 pa.Table.from_pydict(
-                    {"doc_id": ids.slice(row, rows)} | unit.finish(data, offsets, gone, bounds, extra)
+                    {"doc_id": ids.slice(row, rows), "rest": rest.slice(row, rows)} | unit.finish(data, offsets, gone, bounds, extra)
                 )
             )
         return pa.concat_tables(out)
@@ -459,12 +464,23 @@ def _finish(unit: Unit):
     return run
 
 
-def mark(docs: DataFrame, id_column: str, text_column: str, unit: Unit, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """A row per row of ``docs``: doc_id and what ``unit.finish`` derives from the covered symbols.
+def mark(
+    docs: DataFrame,
+    id_column: str,
+    text_column: str,
+    unit: Unit,
+    block_bytes: int = BLOCK_BYTES,
+    carried: tuple[str, ...] = (),
+) -> DataFrame:
+    """A row per row of ``docs``: doc_id, rest and what ``unit.finish`` derives from the covered symbols.
 
-    A row with a null id neither covers nor is covered.
+    ``rest`` is a struct of the ``carried`` columns, c0, c1 and so on.  A row with a null id
+    neither covers nor is covered.
     """
-    dealt, n = blocked(docs, id_column, text_column, block_bytes)
+    dealt, n = blocked(docs, id_column, text_column, block_bytes, list(carried))
+    schema = StructType().add("doc_id", "long").add("rest", dealt.schema["rest"].dataType)
+    for field in StructType.fromDDL(unit.schema):
+        schema.add(field)
     by_block = dealt.groupBy("block")
     summaries = by_block.applyInArrow(_summaries(unit, n), PACK)
     verdicts = summaries.groupBy("bucket").applyInArrow(_verdicts, PACK)
@@ -472,4 +488,4 @@ def mark(docs: DataFrame, id_column: str, text_column: str, unit: Unit, block_by
     masks = contents.groupBy("bucket").applyInArrow(_matches(unit), PACK)
     replies = verdicts.unionByName(masks)
     done = by_block.cogroup(replies.groupBy("block"))
-    return done.applyInArrow(_finish(unit), f"doc_id long, {unit.schema}")
+    return done.applyInArrow(_finish(unit), schema)

@@ -17,11 +17,11 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from statuspulse.llm import kernel
-from statuspulse.llm.common import Scratch
+from statuspulse.llm.common import Scratch, free_name
 from statuspulse.llm.graph import components, local_stars
 
 #: Generator polynomial of the binary Golay code of length 23 (fixed value).
@@ -84,37 +84,31 @@ def anchors_of(prints: np.ndarray, max_bits: int) -> Iterator[tuple[np.ndarray,
             yield code[again] << LENGTH | other, owner[again], a == b == 0
 
 
-def fingerprints(docs: DataFrame, id_column: str, text_column: str, shingle: int) -> DataFrame:
-    """(doc_id, fp): a bit is 1 if set in over half of the XXH64 of the word shingles.
+def fingerprint(text: Column, shingle: int) -> Column:
+    """As a long: a bit is 1 if set in over half of the XXH64 of the word shingles.
 
     A-Z are lowered; shingles are ``shingle`` words joined by a space, repeats included; fewer
     words are one shingle; no word (or a null text) gives 0.
     """
-    ids = docs.schema[id_column]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            prints = np.zeros(batch.num_rows, np.uint64)
-            for row, data, offsets in kernel.chunks(batch.column(1)):
-                starts, ends, bounds = kernel.words(data, offsets)
-                joined, begin = kernel.joined_words(data, starts, ends)
-                finish = begin + (ends - starts)
-                counts = np.diff(bounds)
-                many = np.maximum(counts - shingle + 1, np.minimum(counts, 1))
-                owner = np.repeat(np.arange(len(counts)), many)
-                first = bounds[:-1][owner] + np.arange(len(owner)) - np.repeat(np.cumsum(many) - many, many)
-                last = np.minimum(first + shingle, bounds[1:][owner]) - 1
-                hashes = kernel.xxh64(joined, begin[first], finish[last])
-                cuts = np.concatenate([[0], np.cumsum(many)])
-                prints[row : row + len(counts)] = kernel.majority_bits(hashes, cuts)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(prints.view(np.int64))], ["doc_id", "fp"]
-            )
-
-    text = docs[text_column].cast("string")
-    return docs.select(docs[id_column].alias("doc_id"), text.alias("text")).mapInArrow(
-        run, f"doc_id {ids.dataType.simpleString()}, fp long"
-    )
+    @F.arrow_udf("long")
+    def of(texts: pa.Array) -> pa.Array:
+        prints = np.zeros(len(texts), np.uint64)
+        for row, data, offsets in kernel.chunks(texts):
+            starts, ends, bounds = kernel.words(data, offsets)
+            joined, begin = kernel.joined_words(data, starts, ends)
+            finish = begin + (ends - starts)
+            counts = np.diff(bounds)
+            many = np.maximum(counts - shingle + 1, np.minimum(counts, 1))
+            owner = np.repeat(np.arange(len(counts)), many)
+            first = bounds[:-1][owner] + np.arange(len(owner)) - np.repeat(np.cumsum(many) - many, many)
+            last = np.minimum(first + shingle, bounds[1:][owner]) - 1
+            hashes = kernel.xxh64(joined, begin[first], finish[last])
+            cuts = np.concatenate([[0], np.cumsum(many)])
+            prints[row : row + len(counts)] = kernel.majority_bits(hashes, cuts)
+        return pa.array(prints.view(np.int64))
+
+    return of(text.cast("string"))
 
 
 def _near(prints: np.ndarray, home: np.ndarray, bounds: np.ndarray, max_bits: int):
@@ -255,17 +249,57 @@ def near_duplicates(
     Columns besides the two named are ignored.  An empty table gives no rows.
     """
     scratch = Scratch(docs.sparkSession, "simhash")
-    rows = scratch.keep(fingerprints(docs, id_column, text_column, shingle))
-    points = scratch.keep(rows.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    stars = components(_edges(points, max_bits), scratch)
-    rooted = points.join(stars.withColumnRenamed("node", "fp"), "fp", "left").select(
-        "fp", "first", F.coalesce("root", "fp").alias("root")
-    )
-    names = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = rooted.join(names, "root").select("fp", "component_id")
+    rows, named = _grouped(docs, id_column, text_column, shingle, max_bits, scratch)
     return rows.join(named, "fp").select(
         "doc_id",
         F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
         "component_id",
         F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"),
     )
+
+
+def _grouped(docs, id_column, text_column, shingle, max_bits, scratch) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, fp) by row; and per fp its component's root fp and least id."""
+    prints = fingerprint(docs[text_column], shingle)
+    rows = scratch.keep(docs.select(docs[id_column].alias("doc_id"), prints.alias("fp")))
+    points = scratch.keep(rows.groupBy("fp").agg(F.min("doc_id").alias("first")))
+    stars = components(_edges(points, max_bits), scratch)
+    rooted = points.join(stars.withColumnRenamed("node", "fp"), "fp", "left").select(
+        "fp", "first", F.coalesce("root", "fp").alias("root")
+    )
+    names = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
+    return rows, scratch.keep(rooted.join(names, "root").select("fp", "root", "component_id"))
+
+
+def representatives(
+    docs: DataFrame,
+    id_column: str = "doc_id",
+    text_column: str = "text",
+    shingle: int = 3,
+    max_bits: int = 2,
+) -> DataFrame:
+    """One row of each group of near copies: one with the least id (any, where all are null).
+
+    The columns are those of ``docs``.  Rows are found by fingerprint and id; only where a group
+    has several rows of its least id is one of them chosen.
+    """
+    scratch = Scratch(docs.sparkSession, "simhash")
+    rows, named = _grouped(docs, id_column, text_column, shingle, max_bits, scratch)
+    chosen = rows.join(named, "fp").where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    many = Window.partitionBy("root")
+    chosen = scratch.keep(
+        chosen.groupBy("root", "fp").agg(F.first("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("n"))
+        .withColumn("several", F.sum("n").over(many) > 1)
+    )
+    name = {k: free_name(docs, f"simhash_{k}") for k in ("fp", "fp2", "id", "root", "several")}
+    given = docs.withColumn(name["fp"], fingerprint(docs[text_column], shingle))
+    keys = chosen.select(
+        F.col("fp").alias(name["fp2"]), F.col("doc_id").alias(name["id"]), F.col("root").alias(name["root"]),
+        F.col("several").alias(name["several"]),
+    )
+    same = (given[name["fp"]] == keys[name["fp2"]]) & docs[id_column].eqNullSafe(keys[name["id"]])
+    found = given.join(keys, same)
+    single = found.where(~F.col(name["several"]))
+    several = found.where(name["several"]).dropDuplicates([name["root"]])
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    return single.select(*columns).unionByName(several.select(*columns))

@@ -15,6 +15,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from statuspulse.llm import kernel, repeats
 
@@ -141,7 +142,27 @@ def remove_repeats(
     one another; a row without an id is left as it is and affects none; other columns are
     ignored.  ``heavy`` only decides how popular passages travel, not the result.
     """
-    unit = repeats.Unit(
+    return repeats.mark(docs, id_column, text_column, _unit(length, heavy)).drop("rest")
+
+
+def cleaned(
+    docs: DataFrame,
+    id_column: str = "doc_id",
+    text_column: str = "text",
+    length: int = 13,
+    heavy: int = 64,
+) -> DataFrame:
+    """``docs`` with the text replaced by what ``remove_repeats`` keeps of it; all else as it was."""
+    others = tuple(c for c in docs.columns if c != text_column)
+    done = repeats.mark(docs, id_column, text_column, _unit(length, heavy), carried=others)
+    place = {c: k for k, c in enumerate(others)}
+    return done.select(
+        *((F.col("kept") if c == text_column else F.col(f"rest.c{place[c]}")).alias(c) for c in docs.columns)
+    )
+
+
+def _unit(length: int, heavy: int) -> repeats.Unit:
+    return repeats.Unit(
         window=length,
         gram=length // 2 + 1,
         reader=_words,
@@ -152,4 +173,3 @@ def remove_repeats(
         schema="n_words long, n_removed long, kept string",
         heavy=heavy,
     )
-    return repeats.mark(docs, id_column, text_column, unit)

@@ -190,4 +190,4 @@ def remove_repeats(
     )
     if length < HEAD:
         raise ValueError(f"length must be at least {HEAD}")
-    return repeats.mark(docs, id_column, text_column, unit)
+    return repeats.mark(docs, id_column, text_column, unit).drop("rest")
