@@ -57,15 +57,22 @@ def _session_is_gmt() -> bool:
 
 
 @lru_cache
-def slots_align(zone: str, slot_minutes: int) -> bool:
-    """Whether the zone's slots are GMT slots: its offsets are whole numbers of slots.
+def slot_shift(zone: str, slot_minutes: int) -> int | None:
+    """Minutes by which the zone's slots begin after GMT slots; None if that changes over time.
 
     Offsets are looked at month by month over 1972 to 2099.
     """
     info = ZoneInfo(zone)
     days = (datetime(year, month, 1, tzinfo=info) for year in range(1972, 2100) for month in range(1, 13))
-    offsets = {day.utcoffset() for day in days}
-    return all(offset % timedelta(minutes=slot_minutes) == timedelta(0) for offset in offsets)
+    shifts = {-day.utcoffset() % timedelta(minutes=slot_minutes) for day in days}
+    if len(shifts) > 1 or min(shifts) % timedelta(minutes=1):
+        return None
+    return shifts.pop() // timedelta(minutes=1)
+
+
+def slots_align(zone: str, slot_minutes: int) -> bool:
+    """Whether the zone's slots are GMT slots: its offsets are whole numbers of slots."""
+    return slot_shift(zone, slot_minutes) == 0
 
 
 def is_second_pass(gmt: Column, zone: str) -> Column:

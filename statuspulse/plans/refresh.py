@@ -17,7 +17,7 @@ failed half-way is repeated from the start without harm.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from datetime import date, datetime
+from datetime import date, datetime, timedelta
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -57,6 +57,32 @@ def compact_archives(
         tables.write_days(dated, f"{root}/{name}", date="dir_date")
 
 
+def ingest_archives(
+    spark: SparkSession,
+    archive_root: str,
+    root: str,
+    *,
+    as_of: datetime,
+    settings: Settings = DEFAULTS,
+    site: Column | None = None,
+    outlets: Sequence[str] | None = tuple(OUTLET_CODES),
+) -> list[date]:
+    """Compact the date folders of the look-back that are complete and not compacted yet.
+
+    The newest folder may still be filling and is left out.  What the log has a partition for
+    is done.  Returns the days compacted; ``ingest_days`` on ``root/raw`` goes on from there.
+    """
+    folders = archives.archive_days(spark, archive_root)
+    first = (as_of - timedelta(days=settings.train_days)).date()
+    wanted = [day for day in folders if first < day <= as_of.date()][:-1]
+    log = tables.read_or_empty(spark, f"{root}/archive_log", "path string, dir_date date")
+    done = {row[0] for row in log.select("dir_date").distinct().collect()}
+    todo = [day for day in wanted if day not in done]
+    if todo:
+        compact_archives(spark, archive_root, root, days=todo, site=site, outlets=outlets)
+    return todo
+
+
 def ingest_days(
     spark: SparkSession,
     readings: DataFrame,
@@ -68,7 +94,8 @@ def ingest_days(
 ) -> bool:
     """Condense the days that are complete and not done yet; False when there are none.
 
-    A ledger that is missing or too old starts over.  Running a day again replaces it.
+    With a ledger that is missing or too old, all complete days of the look-back are condensed
+    again.  A day that is condensed replaces itself; older days stay as they are.
     """
     ledger = tables.read_or_empty(spark, f"{root}/ledger", LEDGER)
     created = ledger.agg(F.min("done_at")).first()[0]
@@ -88,8 +115,7 @@ def ingest_days(
     condensed = slots.condense(
         history.readings_of_days(readings, todo, settings=settings), settings=settings
     )
-    write = tables.replace_days if fresh else tables.write_days
-    write(condensed, f"{root}/readings", sort=["site_id", "slot_start"])
+    tables.write_days(condensed, f"{root}/readings", sort=["site_id", "slot_start"])
     done = spark.createDataFrame([(day, as_of) for day in todo], LEDGER)
     done.write.mode("overwrite" if fresh else "append").parquet(f"{root}/ledger")
     return True

@@ -7,6 +7,7 @@ Layout below the root: ``<yyyy-MM-dd>/<station>/<HH:mm:ss>.zip`` for history and
 from __future__ import annotations
 
 import io
+import re
 import zipfile
 import zlib
 from collections.abc import Iterator, Sequence
@@ -22,6 +23,7 @@ from statuspulse.params import OUTLET_CODES
 
 # fixed value: archive path, date and station
 ARCHIVE_PATH = r"(\d{4}-\d{2}-\d{2})/([^/]+)/([^/]+)\.zip$"
+LATEST_PATH = r"/latest/([^/]+)\.zip$"
 
 # fixed values: why an archive went to quarantine
 BAD_ARCHIVE = "bad archive"
@@ -44,6 +46,8 @@ def read_archives(
 ) -> DataFrame:
     """Archives below ``root`` as (path, content); with ``days``, of those date folders only.
 
+    No days, and days without a folder, mean no rows.
+
     Minute-sized files are the cost here, not their bytes.  Only the named folders are
     listed, many of them in parallel; read them once and compact them
     (``plans.refresh.compact_archives``).
@@ -53,7 +57,37 @@ def read_archives(
     these two options.
     """
     options = {**_ARCHIVE_OPTIONS, "pathGlobFilter": glob}
-    folders = [f"{root}/{day.isoformat()}" for day in days] if days else [root]
+    folders = [root] if days is None else _existing(spark, [f"{root}/{day.isoformat()}" for day in days])
+    if not folders:
+        return spark.createDataFrame([], schemas.ARCHIVE_FILES)
+    return spark.read.format("binaryFile").options(**options).load(folders).select("path", "content")
+
+
+def _existing(spark: SparkSession, folders: list[str]) -> list[str]:
+    """Those of a look-back's folders that are there."""
+    conf = spark._jsc.hadoopConfiguration()
+    paths = [spark._jvm.org.apache.hadoop.fs.Path(folder) for folder in folders]
+    return [f for f, p in zip(folders, paths, strict=True) if p.getFileSystem(conf).exists(p)]
+
+
+def archive_days(spark: SparkSession, root: str) -> list[date]:
+    """The date folders below ``root``, oldest first; one listing, no archive is opened."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    store = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [f.getPath().getName() for f in store.listStatus(path)] if store.exists(path) else []
+    return sorted(date.fromisoformat(n) for n in names if re.fullmatch(r"\d{4}-\d{2}-\d{2}", n))
+
+
+def read_latest(spark: SparkSession, root: str) -> DataFrame:
+    """The newest archive of every station, ``latest/<station>.zip``, as it is now.
+
+    The files are replaced in place, so a poll is a batch read per trigger; nothing else below
+    the root is listed or opened.
+    """
+    folders = _existing(spark, [f"{root}/latest"])
+    if not folders:
+        return spark.createDataFrame([], schemas.ARCHIVE_FILES)
+    options = {**_ARCHIVE_OPTIONS, "pathGlobFilter": "*.zip"}
     return spark.read.format("binaryFile").options(**options).load(folders).select("path", "content")
 
 
@@ -73,7 +107,10 @@ def with_path_parts(archives: DataFrame) -> DataFrame:
     return archives.withColumns(
         {
             "dir_date": F.regexp_extract("path", ARCHIVE_PATH, 1).try_cast("date"),
-            "station": F.regexp_extract("path", ARCHIVE_PATH, 2),
+            "station": F.coalesce(
+                F.nullif(F.regexp_extract("path", ARCHIVE_PATH, 2), F.lit("")),
+                F.regexp_extract("path", LATEST_PATH, 1),
+            ),
         }
     )
 
@@ -104,27 +141,48 @@ def _unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         )
 
 
-def parse_archives(archives: DataFrame, *, outlets: Sequence[str] | None = tuple(OUTLET_CODES)) -> DataFrame:
-    """One row per archive: its usable documents, and why reading stopped, if it did.
-
-    Only the unzipping runs in Python.  Documents are taken in archive order; the first bad
-    one ends its archive.  All of it is per row - no shuffle.  Of the outer array and of
-    ``summaries`` the first element counts.  ``outlets`` are the outlets every document must
-    have; ``None`` takes those it has, at least one.
+def parse_archives(
+    archives: DataFrame,
+    *,
+    outlets: Sequence[str] | None = tuple(OUTLET_CODES),
+    keep_later: bool = False,
+) -> DataFrame:
+    """One row per archive: its usable documents, why reading stopped, and what was dropped.
+
+    Only the unzipping runs in Python; all of it is per row - no shuffle.  A document is one
+    element of ``summaries`` of one element of a file's outer array, in this order; an empty
+    array counts as one bad document.  The first bad one ends its archive, unless
+    ``keep_later`` keeps the good ones after it.  ``dropped`` lists every document that is not
+    kept: its file, poll and summary (from 0) and, if it is bad itself, the reason.
+    ``outlets`` are the outlets every document must have; ``None`` takes those it has, at least
+    one.
     """
     texts = archives.select("path", "content").mapInPandas(_unpack, _UNPACKED)
 
-    def document(payload: Column) -> Column:
+    def elements(array: Column) -> Column:
+        """The elements, or one NULL for none."""
+        return F.when(F.size(array) > 0, array).otherwise(F.array(F.get(array, F.lit(0))))
+
+    def documents(payload: Column, file: Column) -> Column:
+        # a bare object would be read as an array of one
         root = F.from_json(payload, schemas.SNAPSHOT_DOCUMENT)
-        node = F.get(root, F.lit(0))
-        summary = F.get(node["summaries"], F.lit(0))
-        return F.struct(
-            # a bare object would be read as an array of one
-            (root.isNull() | ~F.ltrim(payload).startswith("[")).alias("unreadable"),
-            summary["device_id"].alias("device_id"),
-            node["time"].alias("time"),
-            summary["port_status"].alias("ports"),
-        )
+        unreadable = root.isNull() | ~F.ltrim(payload).startswith("[")
+
+        def of_poll(node: Column, poll: Column) -> Column:
+            return F.transform(
+                elements(node["summaries"]),
+                lambda summary, place: F.struct(
+                    unreadable.alias("unreadable"),
+                    file.alias("file"),
+                    poll.alias("poll"),
+                    place.alias("summary"),
+                    summary["device_id"].alias("device_id"),
+                    node["time"].alias("time"),
+                    summary["port_status"].alias("ports"),
+                ),
+            )
+
+        return F.flatten(F.transform(elements(root), of_poll))
 
     def checked(doc: Column) -> Column:
         ports, ts = doc["ports"], time.parse_gmt(doc["time"])
@@ -138,6 +196,9 @@ def parse_archives(archives: DataFrame, *, outlets: Sequence[str] | None = tuple
         absent = absent | F.exists(F.map_values(kept), lambda node: node.isNull())
         missing = doc["device_id"].isNull() | doc["time"].isNull() | F.coalesce(absent, F.lit(True))
         return F.struct(
+            doc["file"].alias("file"),
+            doc["poll"].alias("poll"),
+            doc["summary"].alias("summary"),
             doc["device_id"].alias("device_id"),
             ts.alias("ts"),
             F.transform_values(kept, lambda _, node: node["status"]).alias("ports"),
@@ -147,16 +208,23 @@ def parse_archives(archives: DataFrame, *, outlets: Sequence[str] | None = tuple
             .alias("error"),
         )
 
-    docs = texts.withColumn("docs", F.transform("payloads", document)).withColumn(
+    docs = texts.withColumn("docs", F.flatten(F.transform("payloads", documents))).withColumn(
         "docs", F.transform("docs", checked)
     )
     bad = F.array_position(F.transform("docs", lambda d: d["error"].isNotNull()), F.lit(True))
+
+    def kept(doc: Column, place: Column) -> Column:
+        good = doc["error"].isNull()
+        return good if keep_later else good & ((F.col("_bad") == 0) | (place < F.col("_bad")))
+
+    lost = F.filter("docs", lambda d, i: ~kept(d, i))
     return docs.withColumn("_bad", bad).select(
         "path",
-        F.when(F.col("_bad") > 0, F.slice("docs", F.lit(1), F.greatest(F.col("_bad") - 1, F.lit(0))))
-        .otherwise(F.col("docs"))
-        .alias("docs"),
+        F.filter("docs", kept).alias("docs"),
         F.coalesce(F.get("docs", (F.col("_bad") - 1).cast("int"))["error"], "error").alias("error"),
+        F.transform(
+            lost, lambda d: F.struct(d["file"], d["poll"], d["summary"], d["error"])
+        ).alias("dropped"),
     )
 
 
@@ -170,8 +238,18 @@ def archive_readings(parsed: DataFrame, *, site: Column | None = None) -> DataFr
 
 
 def outcomes(parsed: DataFrame) -> DataFrame:
-    """Every archive with the documents kept and, if it was cut short, the reason."""
-    return parsed.select("path", "error", F.size("docs").alias("documents_kept"))
+    """Every archive with the documents kept and dropped and, if there was one, the first error."""
+    return parsed.select(
+        "path",
+        "error",
+        F.size("docs").alias("documents_kept"),
+        F.size("dropped").alias("documents_dropped"),
+    )
+
+
+def dropped_documents(parsed: DataFrame) -> DataFrame:
+    """Every document that was not kept, with its place and, if it is bad itself, the reason."""
+    return parsed.select("path", F.explode("dropped").alias("_d")).select("path", "_d.*")
 
 
 def quarantine(parsed: DataFrame) -> DataFrame:
@@ -180,11 +258,13 @@ def quarantine(parsed: DataFrame) -> DataFrame:
 
 
 def latest_archives(archives: DataFrame) -> DataFrame:
-    """Newest archive per station by path; reduces before it shuffles."""
-    dated = with_path_parts(archives)
-    return dated.groupBy("station").agg(
-        F.max_by(F.struct("path", "content"), F.struct("dir_date", "path")).alias("_a")
-    ).select("_a.path", "_a.content")
+    """Newest archive per station by path.
+
+    Paths alone are reduced and shuffled; contents are taken from the chosen files.
+    """
+    dated = with_path_parts(archives.select("path"))
+    newest = dated.groupBy("station").agg(F.max_by("path", F.struct("dir_date", "path")).alias("path"))
+    return archives.join(newest.select("path"), "path", "left_semi").select("path", "content")
 
 
 def _pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

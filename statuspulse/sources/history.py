@@ -14,30 +14,43 @@ from statuspulse.params import DEFAULTS, Settings
 
 
 def within_lookback(date: Column, as_of: datetime, days: int) -> Column:
-    """Dates whose midnight is less than ``days`` before ``as_of`` (local time).
+    """Dates up to ``as_of`` whose midnight is less than ``days`` before it (local time).
 
-    Compares with a literal, so a table partitioned by date is pruned.
+    Compares with literals, so a table partitioned by date is pruned.
     """
-    return date > F.lit((as_of - timedelta(days=days)).date())
+    return (date > F.lit((as_of - timedelta(days=days)).date())) & (date <= F.lit(as_of.date()))
 
 
 def _midnight(day: date, zone: str) -> Column:
     """The local midnight a day starts with, as a GMT literal."""
-    local = datetime(day.year, day.month, day.day, tzinfo=ZoneInfo(zone))
-    gmt = local.astimezone(UTC).replace(tzinfo=None)
+    return _gmt(datetime(day.year, day.month, day.day), zone)
+
+
+def _gmt(local: datetime, zone: str) -> Column:
+    gmt = local.replace(tzinfo=ZoneInfo(zone)).astimezone(UTC).replace(tzinfo=None)
     return F.lit(gmt.isoformat(" ")).cast("timestamp_ntz")
 
 
 def readings_within(
     readings: DataFrame, *, as_of: datetime, settings: Settings = DEFAULTS, ts: str = "ts"
 ) -> DataFrame:
-    """Raw GMT readings of the local days inside the look-back.
+    """Raw GMT readings of the local days inside the look-back, up to ``as_of``.
 
-    The bound is a literal on the stored column, so files and row groups are skipped before
-    any zone is converted.
+    The bounds are literals on the stored column, so files and row groups are skipped before
+    any zone is converted.  A table partitioned by ``dir_date``, the day an archive was
+    collected, is pruned too: a reading is collected within a day of its time.
     """
     first = (as_of - timedelta(days=settings.train_days)).date() + timedelta(days=1)
-    return readings.where(F.col(ts) >= _midnight(first, settings.zone))
+    inside = (F.col(ts) >= _midnight(first, settings.zone)) & (F.col(ts) <= _gmt(as_of, settings.zone))
+    return _near_days(readings, first, as_of.date()).where(inside)
+
+
+def _near_days(readings: DataFrame, first: date, last: date) -> DataFrame:
+    """Folder days a day wider than the local days, where there are folder days."""
+    if "dir_date" not in readings.columns:
+        return readings
+    wide = timedelta(days=1)
+    return readings.where(F.col("dir_date").between(F.lit(first - wide), F.lit(last + wide)))
 
 
 def readings_of_days(
@@ -54,7 +67,7 @@ def readings_of_days(
                 (stored >= _midnight(start, settings.zone)) & (stored < _midnight(after, settings.zone))
             )
             start = following
-    return readings.where(reduce(lambda a, b: a | b, ranges))
+    return _near_days(readings, ordered[0], ordered[-1]).where(reduce(lambda a, b: a | b, ranges))
 
 
 def candidate_days(

@@ -53,8 +53,10 @@ def replace_schedule(df: DataFrame, path: str, *, schedule: str) -> None:
     named.write.mode("overwrite").parquet(f"{path}/of={schedule}")
 
 
-def read_schedules(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path).drop("of")
+def read_schedules(spark: SparkSession, path: str, *, schedule: str | None = None) -> DataFrame:
+    """All schedules, or the folder of one."""
+    rows = spark.read.parquet(path)
+    return (rows if schedule is None else rows.where(F.col("of") == schedule)).drop("of")
 
 
 def append_records(df: DataFrame, path: str, *, batch: int) -> None:

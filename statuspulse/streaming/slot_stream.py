@@ -1,7 +1,8 @@
 """Slots from a stream of readings.
 
-Windows are cut in GMT: slot widths that divide the zone's offset from GMT give local slots.
-The watermark bounds the state; its delay has to cover how late readings arrive.
+Windows are local slots: they are cut in GMT, shifted by what the zone's offset leaves when
+divided by the slot width.  A zone where that changes over time is refused.  The watermark
+bounds the state; its delay has to cover how late readings arrive, and at least a slot.
 """
 
 from __future__ import annotations
@@ -18,7 +19,10 @@ from statuspulse.streaming.run import with_event_time
 
 
 def _window(settings: Settings):
-    return F.window("ts", f"{settings.slot_minutes} minutes")
+    shift = time.slot_shift(settings.zone, settings.slot_minutes)
+    if shift is None:
+        raise ValueError(f"{settings.slot_minutes}-minute slots of {settings.zone} are no regular windows")
+    return F.window("ts", f"{settings.slot_minutes} minutes", startTime=f"{shift} minutes")
 
 
 def window_counts(
@@ -46,9 +50,13 @@ def first_in_slot(
 ) -> DataFrame:
     """Pass the first reading to arrive for every outlet and slot.
 
-    A reading of the same slot later than the delay would pass again, so the delay must not
-    be shorter than a slot.
+    A reading of the same slot later than the delay would pass again, so a delay shorter than
+    a slot is refused.
     """
+    spark = readings.sparkSession
+    waits = F.expr(f"INTERVAL {delay}") >= F.make_dt_interval(mins=F.lit(settings.slot_minutes))
+    if not spark.range(1).select(waits).first()[0]:
+        raise ValueError(f"a delay of {delay} is shorter than a slot of {settings.slot_minutes} minutes")
     slotted = with_event_time(readings, delay).withColumn("slot_start", _window(settings)["start"])
     return slotted.dropDuplicatesWithinWatermark([*keys, "slot_start"])
 

@@ -4,6 +4,7 @@ import io
 import json
 import zipfile
 from datetime import date, datetime, timedelta
+from pathlib import Path
 
 import pytest
 from pyspark.ml.linalg import Vectors
@@ -85,6 +86,80 @@ def test_archive_paths_and_latest(spark):
     assert sorted(bytes(r.content) for r in archives.latest_archives(df).collect()) == [b"b", b"c"]
 
 
+def test_every_element_of_a_document(spark):
+    poll = lambda time, *devices: {
+        "time": time,
+        "summaries": [
+            {"device_id": d, "port_status": {"outlet_1": {"status": "available"}, "outlet_2": {"status": "in_use"}}}
+            for d in devices
+        ],
+    }
+    first, second = "2017-10-06 23:00:54.123", "2017-10-06 23:01:54.123"
+    payload = json.dumps([poll(first, "a", "b", None, "c"), poll("never", "d"), poll(second, "a"), poll(second)])
+    df = spark.createDataFrame([("x/latest/a.zip", _zip(payload, _doc()))], "path string, content binary")
+    cut, whole = archives.parse_archives(df), archives.parse_archives(df, keep_later=True)
+
+    def devices(parsed):
+        return sorted((r.ts.minute, r.device_id) for r in archives.archive_readings(parsed).collect() if r.outlet_id == "outlet_1")
+
+    def dropped(parsed):
+        return sorted((r.file, r.poll, r.summary, r.error) for r in archives.dropped_documents(parsed).collect())
+
+    assert devices(cut) == [(0, "a"), (0, "b")]
+    assert archives.outcomes(cut).first()["documents_dropped"] == 6
+    assert devices(whole) == [(0, "121403"), (0, "a"), (0, "b"), (0, "c"), (1, "a")]
+    missing, bad = archives.MISSING_FIELD, archives.BAD_TIME
+    assert dropped(whole) == [(0, 0, 2, missing), (0, 1, 0, bad), (0, 3, 0, missing)]
+    assert [d[:3] for d in dropped(cut)] == [(0, 0, 2), (0, 0, 3), (0, 1, 0), (0, 2, 0), (0, 3, 0), (1, 0, 0)]
+
+
+def test_days_and_latest_of_an_archive_tree(spark, archive_root):
+    day = date(2017, 10, 6)
+    assert archives.archive_days(spark, archive_root) == [day]
+    assert archives.read_archives(spark, archive_root, days=[]).count() == 0
+    assert archives.read_archives(spark, archive_root, days=[date(2017, 1, 1)]).count() == 0
+    assert archives.read_archives(spark, archive_root, days=[date(2017, 1, 1), day]).count() == 9
+    assert archives.read_latest(spark, archive_root).count() == 0
+    latest = Path(archive_root, "latest")
+    latest.mkdir()
+    closed = _doc(outlet_1={"status": "unknown"}, outlet_2={"status": "unknown"})
+    for content, expected in ((_zip(_doc()), {"available", "in_use"}), (_zip(closed), {"unknown"})):
+        for station in "abc":  # replaced in place
+            (latest / f"{station}.zip").write_bytes(content)
+        polled = archives.latest_archives(archives.read_latest(spark, archive_root))
+        assert polled.count() == 3
+        said = {r.status for r in archives.archive_readings(archives.parse_archives(polled)).collect()}
+        assert said == expected
+
+
+def test_archive_job(spark, tmp_path):
+    """Folders to tables, over two runs: look-back, newest folder out, days done once, pruned reads."""
+    files, root = tmp_path / "files", str(tmp_path / "tables")
+
+    def collect(day):
+        for clock in ("08:00:00", "09:30:00"):
+            file = files / f"2024-05-{day:02}" / "121403" / f"{clock}.zip"
+            file.parent.mkdir(parents=True, exist_ok=True)
+            file.write_bytes(_zip(_doc(time=f"2024-05-{day:02} {clock}.000")))
+
+    for day in (1, 8, 9, 10):
+        collect(day)
+    run = lambda as_of: refresh.ingest_archives(
+        spark, str(files), root, as_of=as_of, settings=SETTINGS, site=F.lit(1)
+    )
+    assert run(datetime(2024, 5, 10, 12)) == [date(2024, 5, 8), date(2024, 5, 9)]
+    assert run(datetime(2024, 5, 10, 13)) == []
+    collect(11)
+    assert run(datetime(2024, 5, 11, 12)) == [date(2024, 5, 10)]
+    raw = spark.read.parquet(f"{root}/raw")
+    assert raw.count() == 3 * 2 * 2
+    recent = history.readings_within(raw, as_of=datetime(2024, 5, 11, 12), settings=SETTINGS)
+    plan = recent._jdf.queryExecution().executedPlan().toString()
+    assert "dir_date" in plan.split("PartitionFilters: [")[1].split("]")[0]
+    assert refresh.ingest_days(spark, raw, root, as_of=datetime(2024, 5, 11, 12), settings=SETTINGS)
+    assert spark.read.parquet(f"{root}/readings").select("slot_date").distinct().count() == 2
+
+
 AS_OF = datetime(2024, 5, 10, 12)
 
 
@@ -154,9 +229,10 @@ def test_incremental_ingest(spark, tmp_path):
     assert stored() == [(8, 72), (9, 72), (10, 72)]
     # the ledger is more than a week old: start over from the look-back
     assert run(_raw(spark, "2024-05-08", "2024-05-18"), datetime(2024, 5, 18, 1))
-    assert stored() == [(d, 72) for d in range(12, 18)]
-    assert run(_raw(spark, "2024-05-08", "2024-05-18"), datetime(2024, 5, 18, 2), rebuild=True)
-    assert stored() == [(d, 72) for d in range(12, 18)]
+    older = [(8, 72), (9, 72), (10, 72)]  # stay as they are
+    assert stored() == older + [(d, 72) for d in range(12, 18)]
+    assert run(_raw(spark, "2024-05-08", "2024-05-20"), datetime(2024, 5, 18, 2), rebuild=True)
+    assert stored() == older + [(d, 72) for d in range(12, 18)]  # nothing after as_of
 
 
 def test_refresh_end_to_end(spark, tmp_path):

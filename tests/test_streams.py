@@ -167,10 +167,11 @@ def test_notices_for_every_site(spark, counts, polls, tmp_path):
     assert _rows(got, "site_id", ts, "text") == _rows(batch, "site_id", ts, "text")
 
 
-def test_slot_streams_over_batches(spark, tmp_path):
+@pytest.mark.parametrize("zone", ["America/Los_Angeles", "Asia/Kolkata"])
+def test_slot_streams_over_batches(spark, tmp_path, zone):
     readings = adapter.readings(spark, SF_DIR)
     source = str(tmp_path / "events")
-    settings = Settings(slot_minutes=60)
+    settings = Settings(slot_minutes=60, zone=zone)
     parts = [readings.where(F.dayofmonth("ts") < 15), readings.where(F.dayofmonth("ts") >= 15)]
     for part in parts:
         part.write.mode("append").parquet(source)
@@ -192,6 +193,14 @@ def test_slot_streams_over_batches(spark, tmp_path):
     assert first.count() == batch.count()
 
 
+def test_slots_that_are_no_windows(spark):
+    readings = adapter.readings(spark, SF_DIR)
+    with pytest.raises(ValueError, match="regular"):
+        slot_stream.window_counts(readings, settings=Settings(slot_minutes=60, zone="Australia/Lord_Howe"))
+    with pytest.raises(ValueError, match="shorter"):
+        slot_stream.first_in_slot(readings, settings=Settings(slot_minutes=60), delay="10 minutes")
+
+
 def test_snapshot_poll(spark):
     row = live.snapshot_poll(adapter.readings(spark, SF_DIR).where("site_id = 0")).first()
     assert row.total == row.avail + row.in_use + row.unknown > 0

@@ -581,7 +581,9 @@ FROM routed r JOIN told t ON t.site_id = r.site_id AND t.ts = r.ts AND t.kind =
 BAYES_ROWS = condensed() + """,
 rows AS (
   SELECT CASE status WHEN 'unknown' THEN 0 WHEN 'available' THEN 1 ELSE 2 END AS label, slot_date,
-         dow AS x1, hour + 1 AS x2, slot + 1 AS x3 FROM condensed)"""
+         dow AS x1, hour + 1 AS x2, slot + 1 AS x3,
+         (device_id * 7 + outlet_id * 3 + hour * 11 + dayofmonth(slot_date) * 13) % 100 AS part
+  FROM condensed)"""
 
 
 def bayes_weights(train: str) -> str:
@@ -602,6 +604,13 @@ predicted AS (
   FROM (SELECT DISTINCT x1, x2, x3 FROM rows), weights GROUP BY ALL)""", """
 SELECT count(*) AS test_rows, avg(CAST(label = prediction AS DOUBLE)) AS accuracy
 FROM rows JOIN predicted USING (x1, x2, x3) WHERE slot_date > DATE '2024-01-20'""")
+SQL["bayes_holdout_accuracy"] = q(
+    BAYES_ROWS + bayes_weights("part < 60") + """,
+predicted AS (
+  SELECT x1, x2, x3, arg_max(weights.label, pi + x1 * t1 + x2 * t2 + x3 * t3) AS prediction
+  FROM (SELECT DISTINCT x1, x2, x3 FROM rows), weights GROUP BY ALL)""", """
+SELECT count(*) AS test_rows, avg(CAST(label = prediction AS DOUBLE)) AS accuracy
+FROM rows JOIN predicted USING (x1, x2, x3) WHERE part >= 60""")
 SQL["nb_status_classifier"] = q(BAYES_ROWS + bayes_weights("true") + """,
 scores AS (
   SELECT CAST(d AS INTEGER) AS dow, CAST(h AS INTEGER) AS hour, label,

@@ -429,8 +429,10 @@ def outlet_status_forest(spark, sf_dir):
 
 
 def bayes_holdout_accuracy(spark, sf_dir):
+    """Trained on 60 % of the outlets' hours, by a remainder, tested on the rest."""
+    key = F.col("device_id") * 7 + F.col("outlet_id") * 3 + F.col("hour") * 11 + F.dayofmonth("slot_date") * 13
     return forecast.holdout_accuracy(
-        _status_rows(spark, sf_dir), lambda rows: forecast.train_bayes(rows, classes=3)
+        _status_rows(spark, sf_dir), lambda rows: forecast.train_bayes(rows, classes=3), key=key
     )
 
 
@@ -444,12 +446,9 @@ def bayes_date_holdout(spark, sf_dir):
 def _documents(spark, sf_dir):
     """Every event as the snapshot document its station would have sent.
 
-    Zipping is the costly part: a scan with fewer splits than cores is spread first.
+    Zipping is the costly part, so rows are spread over the cores first.
     """
-    rows = readings(spark, sf_dir)
-    cores = spark.sparkContext.defaultParallelism
-    if rows.rdd.getNumPartitions() < cores:
-        rows = rows.repartition(cores, "event_id")
+    rows = readings(spark, sf_dir).repartition(spark.sparkContext.defaultParallelism, "event_id")
     day = F.date_format("ts", "yyyy-MM-dd")
     clock = F.date_format("ts", "HH:mm:ss")
     node = F.create_map(
