@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from statuspulse.llm import language, mixing, pieces, simhash, substrings
-from statuspulse.llm.common import Scratch
+from statuspulse.llm.common import Scratch, column
 from workload.adapter import ensure_shared_folder
 
 #: Not every stage can be expressed in SQL (XXH64 fingerprints, learned languages).
@@ -24,7 +24,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """Documents in a language keep their place; lang becomes the identified language."""
     found, name = language.of_documents(docs)
     lang = F.coalesce(F.col(name["lang"]), docs["lang"].cast("string"))
-    columns = [lang.alias(c) if c == "lang" else docs[c] for c in docs.columns]
+    columns = [lang.alias(c) if c == "lang" else column(c) for c in docs.columns]
     return found.where(F.col(name["kept"])).select(*columns)
 
 

@@ -1,9 +1,7 @@
-"""What the operators share: scratch tables, block bounds, column names that cannot clash."""
+"""What the operators share: scratch tables, and column names that cannot clash."""
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,12 +39,6 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def cells(df: DataFrame, size: Column, target: int) -> int:
-    """How many parts of about ``target`` the summed ``size`` makes, the session's partitions at least."""
-    total = df.agg(F.sum(size.cast("double"))).first()[0] or 0.0
-    return max(partitions(df.sparkSession), math.ceil(total / target))
-
-
 def free_name(df: DataFrame, name: str) -> str:
     """``name``, lengthened until no column of ``df`` is called that."""
     taken = {c.lower() for c in df.columns}
@@ -55,6 +47,7 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
-def text_of(docs: DataFrame, text: str) -> Column:
-    """The text as a string; a null text is empty."""
-    return F.coalesce(docs[text].cast("string"), F.lit(""))
+def column(name: str, of: str = "") -> Column:
+    """The column of exactly this name, dots and all; ``of`` is the alias of its frame."""
+    quoted = "`" + name.replace("`", "``") + "`"
+    return F.col(f"{of}.{quoted}" if of else quoted)

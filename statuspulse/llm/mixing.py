@@ -20,7 +20,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from statuspulse.llm.common import Scratch, free_name
+from statuspulse.llm.common import Scratch, column, free_name
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Documents of a bucket, about.
@@ -141,6 +141,6 @@ def emit(docs: DataFrame, **columns) -> DataFrame:
     )
     out = rows.join(chosen, same)
     times = F.explode(F.sequence(F.lit(1), F.col("chosen.mix_copies").cast("int")))
-    return out.select(*(F.col(f"rows.`{c}`") for c in docs.columns), times.alias(free_name(docs, "copy"))).drop(
+    return out.select(*(column(c, "rows") for c in docs.columns), times.alias(free_name(docs, "copy"))).drop(
         free_name(docs, "copy")
     )

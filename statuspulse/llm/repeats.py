@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from statuspulse.llm import kernel
-from statuspulse.llm.common import partitions
+from statuspulse.llm.common import column, partitions
 
 #: Bytes of text of a block, about; one block is in memory at a time.
 BLOCK_BYTES = 8 << 20
@@ -93,7 +93,7 @@ def blocked(
     rows = docs.select(
         docs[id_column].cast("long").alias("doc_id"),
         docs[text_column].cast("string").alias("text"),
-        F.struct(F.lit(0).alias("none"), *(docs[c].alias(f"c{k}") for k, c in enumerate(carried))).alias("rest"),
+        F.struct(F.lit(0).alias("none"), *(column(c).alias(f"c{k}") for k, c in enumerate(carried))).alias("rest"),
     )
     total, least = rows.agg(F.sum(F.octet_length("text")), F.count("doc_id")).first()
     n = max(partitions(docs.sparkSession), math.ceil((total or 0) / block_bytes))

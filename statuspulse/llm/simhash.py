@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from statuspulse.llm import kernel
-from statuspulse.llm.common import Scratch, free_name
+from statuspulse.llm.common import Scratch, column, free_name
 from statuspulse.llm.graph import components, local_stars
 
 #: Generator polynomial of the binary Golay code of length 23 (fixed value).
@@ -301,5 +301,5 @@ def representatives(
     found = given.join(keys, same)
     single = found.where(~F.col(name["several"]))
     several = found.where(name["several"]).dropDuplicates([name["root"]])
-    columns = [F.col(f"`{c}`") for c in docs.columns]
+    columns = [column(c) for c in docs.columns]
     return single.select(*columns).unionByName(several.select(*columns))
