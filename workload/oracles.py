@@ -440,7 +440,7 @@ SELECT (event_id % 4) || '/' || strftime(ts, '%Y-%m-%d') || '/' || device_id ||
          || strftime(ts, '%H:%M:%S') || '_' || event_id || '.zip' AS path,
        CASE event_id % 4 WHEN 0 THEN 'bad archive' WHEN 1 THEN 'bad json'
                          WHEN 2 THEN 'missing field' ELSE 'bad time' END AS error,
-       0 AS documents_kept
+       0 AS documents_kept, CAST(event_id % 4 <> 0 AS INTEGER) AS documents_dropped
 FROM readings WHERE status = 'unknown'"""),
 }
 
