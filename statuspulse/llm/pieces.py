@@ -16,6 +16,7 @@ segmentations the one whose ids are less comes first.
 
 from __future__ import annotations
 
+import gc
 import heapq
 import math
 import re
@@ -38,7 +39,7 @@ CUTS = (
 #: Longest stretch searched as one lattice; a longer part is cut there.
 LONGEST = 400
 #: Parts a worker remembers.
-REMEMBERED = 300_000
+REMEMBERED = 250_000
 
 
 class Pieces:
@@ -70,6 +71,7 @@ class Pieces:
         if not whole:
             raise ValueError("pieces cross the spaces between words")
         self.cut = whole[0]
+        self.known_best = lru_cache(maxsize=REMEMBERED // 20)(self.best)
         #: beginnings of pieces; those that are no piece have no value
         self.begin: dict[str, tuple[int, int] | None] = {
             p[:n]: None for p in self.score for n in range(1, len(p))
@@ -111,33 +113,60 @@ class Pieces:
         The next one has an edge that the best has not: the least loss over such edges, from the
         scores of reaching either end of them.  Equally good ones are left to the search.
         """
-        into, reach = self.lattice(text)
         size = len(text)
+        reach: list = [-math.inf] * (size + 1)
+        came: list = [None] * (size + 1)
+        equal = [False] * (size + 1)
+        edges = []
+        look = self.begin.get
+        reach[0] = 0
+        for at in range(size):
+            here = reach[at]
+            end = at + 1
+            found = look(text[at], 0)
+            longer = found != 0
+            if not found:
+                raw = text[at].replace(SPACE, " ").encode()
+                found = tuple([self.byte[b] for b in raw]), self.byte_score * len(raw)
+            while True:
+                if found:
+                    piece, score = found
+                    edges.append((at, end, score))
+                    score += here
+                    if score > reach[end]:
+                        reach[end] = score
+                        came[end] = at, piece
+                        equal[end] = False
+                    elif score == reach[end]:
+                        equal[end] = True
+                if not longer or end == size:
+                    break
+                end += 1
+                found = look(text[at:end], 0)
+                if found == 0:
+                    break
         total = reach[size]
-        rest: list = [None] * size + [0]
-        loss = math.inf
-        for at in range(size, 0, -1):
-            after = rest[at]
-            if after is None:
-                continue
-            for start, _, score in into[at]:
-                score += after
-                if rest[start] is None or score > rest[start]:
-                    rest[start] = score
-                score = total - score - reach[start]
-                if score and score < loss:
-                    loss = score
         ids: list[int] = []
         at = size
         while at:
-            best = reach[at]
-            found = [e for e in into[at] if reach[e[0]] + e[2] == best]
-            if len(found) > 1:
+            if equal[at]:
                 both = self.best(text, 2)
                 return both[0][1], both[0][0], both[0][0] - both[1][0]
-            at = found[0][0]
-            ids[:0] = found[0][1]
-        return tuple(ids), total, loss
+            at, piece = came[at]
+            if piece.__class__ is int:
+                ids.append(piece)
+            else:
+                ids += piece[::-1]
+        rest: list = [-math.inf] * size + [0]
+        loss = math.inf
+        for start, end, score in reversed(edges):
+            score += rest[end]
+            if score > rest[start]:
+                rest[start] = score
+            score = total - score - reach[start]
+            if 0 < score < loss:
+                loss = score
+        return tuple(ids[::-1]), total, loss
 
     def best(self, text: str, n: int) -> list[tuple[int, tuple[int, ...]]]:
         """The ``n`` best (score, ids) of a part, best first."""
@@ -219,7 +248,7 @@ def segmentations(parts: list[tuple], n: int, pieces: Pieces) -> list[tuple[int,
     near = heapq.nsmallest(n - 1, range(len(parts)), costs.__getitem__)
     combined = [(0, 0)]
     for k in near:
-        found = pieces.best(parts[k][3], n)
+        found = pieces.known_best(parts[k][3], n)
         option = [(found[0][0] - score, int(choice > 0)) for choice, (score, _) in enumerate(found)]
         combined = heapq.nsmallest(n, ((a + c, b + d) for (a, b), (c, d) in product(combined, option)))
     return combined
@@ -241,6 +270,7 @@ def encode(
         pieces = load(model_file)
         known = _parts(model_file)
         raw = pieces.raw
+        gc.disable()  # what is remembered holds no cycles, and scanning it again and again is slow
         for batch in batches:
             # a few texts at a time bound the memory, whatever their lengths
             step = 64
