@@ -21,6 +21,7 @@ import heapq
 import math
 import re
 import struct
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import product
@@ -36,8 +37,8 @@ CUTS = (
     re.compile(rf"\n|{SPACE}*[A-Za-z\u00c0-\u024f]+(?!\w)|{SPACE}*[^{SPACE}\n]+|{SPACE}+"),
     re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+"),
 )
-#: Longest stretch searched as one lattice; a longer part is cut there.
-LONGEST = 400
+#: Longer parts are searched in arrays, which take few bytes per position, with the same results.
+LONG = 400
 #: Parts a worker remembers.
 REMEMBERED = 250_000
 
@@ -114,6 +115,9 @@ class Pieces:
         scores of reaching either end of them.  Equally good ones are left to the search.
         """
         size = len(text)
+        if size > LONG:
+            both = self.best_of_long(text, 2)
+            return both[0][1], both[0][0], both[0][0] - both[1][0] if len(both) > 1 else math.inf
         reach: list = [-math.inf] * (size + 1)
         came: list = [None] * (size + 1)
         equal = [False] * (size + 1)
@@ -172,6 +176,8 @@ class Pieces:
         """The ``n`` best (score, ids) of a part, best first."""
         if not text:
             return [(0, ())]
+        if len(text) > LONG:
+            return self.best_of_long(text, n)
         into, reach = self.lattice(text)
         push, pop = heapq.heappush, heapq.heappop
         found: list[tuple[int, tuple[int, ...]]] = []
@@ -196,14 +202,58 @@ class Pieces:
         found.sort(key=lambda x: (-x[0], x[1]))
         return found[:n]
 
+    def edges(self, text: str, at: int) -> Iterator[tuple[int, tuple[int, ...], int]]:
+        """(length, ids, score) of what may stand at a position."""
+        found = self.begin.get(text[at])
+        if found:
+            yield 1, found[:1], found[1]
+        else:
+            raw = text[at].replace(SPACE, " ").encode()
+            yield 1, tuple([self.byte[b] for b in raw]), self.byte_score * len(raw)
+        for end in range(at + 2, len(text) + 1):
+            found = self.begin.get(text[at:end], 0)
+            if found == 0:
+                break
+            if found:
+                yield end - at, found[:1], found[1]
+
+    def best_of_long(self, text: str, n: int) -> list[tuple[int, tuple[int, ...]]]:
+        """``best`` from the end to the start, with the ``n`` best ways on from every position.
+
+        What starts at a position differs in its first id, and equal scores after it are in order
+        already, so (score, first id, place after it) is the order of (score, ids).
+        """
+        size = len(text)
+        score = array("q", bytes(8 * n * (size + 1)))
+        length = array("i", [0]) * (n * size)
+        place = array("i", [0]) * (n * size)
+        many = array("i", [0]) * size + array("i", [1])
+        for at in range(size - 1, -1, -1):
+            options = []
+            for step, ids, of_piece in self.edges(text, at):
+                after = (at + step) * n
+                options += [(-of_piece - score[after + k], ids[0], k, step) for k in range(many[at + step])]
+            options.sort()
+            del options[n:]
+            many[at] = len(options)
+            for k, (cost, _, nth, step) in enumerate(options, at * n):
+                score[k], place[k], length[k] = -cost, nth, step
+        found = []
+        for k in range(many[0]):
+            at, nth = 0, k
+            out = array("i")
+            while at < size:
+                cell = at * n + nth
+                out.extend(next(ids for step, ids, _ in self.edges(text, at) if step == length[cell]))
+                at, nth = at + length[cell], place[cell]
+            found.append((score[k], tuple(out)))
+        return found
+
     def parts_of(self, text: str) -> list[str]:
         """The parts of a text as the model sees it: a space in front, spaces as ``SPACE``."""
         if not text:
             return []
-        found = self.cut.findall(SPACE + text.replace(" ", SPACE))
-        if any([len(p) > LONGEST for p in found]):
-            found = [p[k : k + LONGEST] for p in found for k in range(0, len(p), LONGEST)]
-        return found
+        return self.cut.findall(SPACE + text.replace(" ", SPACE))
 
     def decode(self, ids) -> str:
         raw = b"".join([self.raw[k] for k in ids])
@@ -248,7 +298,8 @@ def segmentations(parts: list[tuple], n: int, pieces: Pieces) -> list[tuple[int,
     near = heapq.nsmallest(n - 1, range(len(parts)), costs.__getitem__)
     combined = [(0, 0)]
     for k in near:
-        found = pieces.known_best(parts[k][3], n)
+        part = parts[k][3]
+        found = (pieces.known_best if len(part) <= LONG else pieces.best)(part, n)
         option = [(found[0][0] - score, int(choice > 0)) for choice, (score, _) in enumerate(found)]
         combined = heapq.nsmallest(n, ((a + c, b + d) for (a, b), (c, d) in product(combined, option)))
     return combined

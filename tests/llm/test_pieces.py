@@ -81,3 +81,24 @@ def test_documents(spark):
     assert all(back[k] == t for k, t in clean.items())
     assert all(r.round_trip for r in got if r.doc_id in clean)
     assert pieces.encode(df.limit(0), MODEL).collect() == []
+
+
+def uncut(lattice, text):
+    _, reach = lattice.lattice(text)
+    return reach[-1]
+
+
+def test_long_parts(spark, lattice):
+    """A part is one lattice however long it is."""
+    rng = random.Random(5)
+    texts = ["x" * 3000, "-" * 1000, "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(4000)), "a1" * 600]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in pieces.encode(df, MODEL).collect()}
+    assert [got[k].score for k in range(4)] == [uncut(lattice, pieces.SPACE + t) for t in texts]
+    assert [lattice.decode(got[k].pieces) for k in range(4)] == texts
+
+
+def test_long_search_is_the_search(lattice):
+    for text in [*samples(4, 80), "xxxx-----"]:
+        if text:
+            assert lattice.best_of_long(text, 5) == every(lattice, text)[:5]
