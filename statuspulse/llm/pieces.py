@@ -24,11 +24,11 @@ import struct
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import product
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SPACE = "▁"
@@ -288,34 +288,68 @@ def _parts(model_file: str) -> _Parts:
     return _Parts(load(model_file))
 
 
-def segmentations(parts: list[tuple], n: int, pieces: Pieces) -> list[tuple[int, int]]:
-    """The ``n`` cheapest segmentations of a text: (cost above the best, parts that are cut otherwise).
+def segmentations(parts: list[tuple], n: int, pieces: Pieces) -> list[tuple[int, list[tuple[int, tuple, tuple]]]]:
+    """The ``n`` cheapest segmentations of a text: cost above the best, and (part, its ids, its ids in the best)
+    for each part that is cut otherwise.  Of equal costs the one whose ids are less comes first.
 
     At most n - 1 parts matter, those whose second choice costs least; of these the further
     choices are searched.
     """
     costs = [p[2] for p in parts]
-    near = heapq.nsmallest(n - 1, range(len(parts)), costs.__getitem__)
-    combined = [(0, 0)]
-    for k in near:
-        part = parts[k][3]
-        found = (pieces.known_best if len(part) <= LONG else pieces.best)(part, n)
-        option = [(found[0][0] - score, int(choice > 0)) for choice, (score, _) in enumerate(found)]
-        combined = heapq.nsmallest(n, ((a + c, b + d) for (a, b), (c, d) in product(combined, option)))
-    return combined
+    last = max(heapq.nsmallest(n - 1, costs), default=-1)
+    options: dict[str, list[tuple[int, tuple[int, ...]]]] = {}
+    near = []
+    for k, cost in enumerate(costs):
+        if cost <= last and cost < math.inf:
+            part = parts[k][3]
+            if part not in options:
+                options[part] = (pieces.known_best if len(part) <= LONG else pieces.best)(part, n)
+            found = options[part]
+            # of parts with one cost, the earlier one makes less ids less, and greater ids greater
+            more = found[1][1] > found[0][1]
+            near.append((cost, more, -k if more else k, k))
+    combined: list[tuple] = [(0, (), [])]
+    for k in sorted([x[3] for x in heapq.nsmallest(n - 1, near)]):
+        found = options[parts[k][3]]
+        best, ids = found[0]
+        combined = heapq.nsmallest(
+            n,
+            (
+                (cost + best - score, before + (other,), changes + [(k, other, ids)] if choice else changes)
+                for cost, before, changes in combined
+                for choice, (score, other) in enumerate(found)
+            ),
+            key=lambda x: x[:2],
+        )
+    return [(cost, changes) for cost, _, changes in combined]
+
+
+def _edit(start: int, new: tuple[int, ...], old: tuple[int, ...]) -> dict:
+    """How ``old`` ids, which begin at ``start``, become the ``new`` ones, without what both begin or end with."""
+    most = min(len(new), len(old))
+    head = 0
+    while head < most and new[head] == old[head]:
+        head += 1
+    tail = 0
+    while tail < most - head and new[-1 - tail] == old[-1 - tail]:
+        tail += 1
+    return {"at": start + head, "instead_of": len(old) - tail - head, "ids": new[head : len(new) - tail]}
 
 
 def encode(
     docs: DataFrame, model_file: str, id_column: str = "doc_id", text_column: str = "text", n_best: int = 4
 ) -> DataFrame:
-    """doc_id, pieces, score, n_best (struct of score and pieces_changed), round_trip; a row per row.
+    """doc_id, pieces, score, n_best (struct of score, changed and edits), round_trip; a row per row.
 
     ``pieces`` are the ids of the best segmentation and ``score`` its score; ``n_best`` has, for the up
-    to ``n_best`` best segmentations, the score and how many parts are cut otherwise than in the
-    best.  ``round_trip``: decoding gives back the text.  Null and empty texts have no pieces, score 0
+    to ``n_best`` best segmentations, the score, how many parts are cut otherwise than in the best,
+    and the edits that make its ids of ``pieces`` (``alternatives`` applies them): from position
+    ``at`` on, ``ids`` stand instead of ``instead_of`` ids.  ``round_trip``: decoding gives back the text.  Null and empty texts have no pieces, score 0
     and one segmentation.  ``model_file`` must exist on every executor.
     """
     kind = docs.schema[id_column].dataType
+    edit = pa.struct([("at", pa.int32()), ("instead_of", pa.int32()), ("ids", pa.list_(pa.int32()))])
+    n_best_type = pa.list_(pa.struct([("score", pa.int64()), ("changed", pa.int32()), ("edits", pa.list_(edit))]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = load(model_file)
@@ -337,7 +371,17 @@ def encode(
                     best = segmentations(parts, n_best, pieces)
                     columns[0].append(ids)
                     columns[1].append(score)
-                    columns[2].append([{"score": score - cost, "changed": changed} for cost, changed in best])
+                    starts = [0, *accumulate([len(p[0]) // 4 for p in parts])]
+                    columns[2].append(
+                        [
+                            {
+                                "score": score - cost,
+                                "changed": len(changes),
+                                "edits": [_edit(starts[k], new, old) for k, new, old in changes],
+                            }
+                            for cost, changes in best
+                        ]
+                    )
                     columns[3].append(again == ((" " + text).encode() if text else b""))
                 ends = np.cumsum([0, *(len(x) for x in columns[0])]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
@@ -345,7 +389,7 @@ def encode(
                         part.column(0),
                         pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(columns[0]))),
                         pa.array(columns[1], pa.int64()),
-                        pa.array(columns[2], pa.list_(pa.struct([("score", pa.int64()), ("changed", pa.int32())]))),
+                        pa.array(columns[2], n_best_type),
                         pa.array(columns[3], pa.bool_()),
                     ],
                     ["doc_id", "pieces", "score", "n_best", "round_trip"],
@@ -355,10 +399,29 @@ def encode(
     return rows.mapInArrow(
         run,
         f"doc_id {kind.simpleString()}, pieces array<int>, score long, "
-        "n_best array<struct<score:long,changed:int>>, round_trip boolean",
+        "n_best array<struct<score:long,changed:int,edits:array<struct<at:int,instead_of:int,ids:array<int>>>>>, "
+        "round_trip boolean",
     )
 
 
+def alternatives(pieces: Column, n_best: Column) -> Column:
+    """The ids of each of the N best segmentations, from the columns of ``encode``."""
+
+    def edited(edits: Column) -> Column:
+        # the last edit first, so that the positions of the others hold
+        return F.aggregate(
+            F.reverse(edits),
+            pieces,
+            lambda ids, e: F.concat(
+                F.slice(ids, F.lit(1), e["at"]),
+                e["ids"],
+                F.slice(ids, e["at"] + e["instead_of"] + 1, F.size(ids)),
+            ),
+        )
+
+    return F.transform(n_best, lambda x: edited(x["edits"]))
+
+
 def decode(rows: DataFrame, model_file: str, id_column: str = "doc_id", pieces_column: str = "pieces") -> DataFrame:
     """doc_id and text from ids; null ids decode to an empty text."""
     kind = rows.schema[id_column].dataType.simpleString()

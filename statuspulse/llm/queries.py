@@ -108,6 +108,7 @@ def op10_pieces(spark, sf_dir):
         F.sha2(ids, 256).alias("pieces_sha256"),
         F.col("n_best.score").alias("n_best_scores"),
         F.col("n_best.changed").alias("n_best_changed"),
+        F.col("n_best.edits").cast("array<string>").alias("n_best_edits"),
         "round_trip",
     )
 

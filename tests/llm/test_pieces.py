@@ -5,6 +5,7 @@ from itertools import product
 
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 
 from statuspulse.llm import pieces
 
@@ -102,3 +103,16 @@ def test_long_search_is_the_search(lattice):
     for text in [*samples(4, 80), "xxxx-----"]:
         if text:
             assert lattice.best_of_long(text, 5) == every(lattice, text)[:5]
+
+
+def test_ids_of_the_n_best(spark, lattice):
+    """The ids of each alternative, ties included, are those of the whole text's lattice."""
+    texts = [t[:7] for t in samples(6, 60)] + ["it it it", "a a a", "the--the", "", "x" * 500 + " it"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = pieces.encode(df, MODEL, n_best=5)
+    found = found.withColumn("all", pieces.alternatives(F.col("pieces"), F.col("n_best")))
+    for r in found.collect():
+        seen = pieces.SPACE + texts[r.doc_id].replace(" ", pieces.SPACE) if texts[r.doc_id] else ""
+        want = every(lattice, seen)[:5] if len(seen) < 40 else lattice.best_of_long(seen, 5)
+        assert [(x.score, tuple(ids)) for x, ids in zip(r.n_best, r.all, strict=True)] == want
+        assert r.all[0] == r.pieces
