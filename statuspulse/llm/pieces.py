@@ -181,13 +181,18 @@ class Pieces:
         into, reach = self.lattice(text)
         push, pop = heapq.heappush, heapq.heappop
         found: list[tuple[int, tuple[int, ...]]] = []
-        # (cost estimate, order of arrival, position, score from here on, ids from here on as a chain)
-        agenda: list[tuple] = [(-reach[-1], 0, len(text), 0, None)]
-        arrived = 0
-        while agenda:
-            estimate, _, at, so_far, chain = pop(agenda)
-            if len(found) >= n and (estimate > -found[-1][0] or len(found) >= 8 * n):
-                break
+        seen = [0] * (len(text) + 1)
+        # (cost estimate, -position, first id, place of what follows at its position, position,
+        # score from here on, ids from here on as a chain).  Of equal estimates later positions
+        # come first, so what is on from a position comes in the order of (score, ids), and only
+        # the first n of it matter.
+        agenda: list[tuple] = [(-reach[-1], -len(text), 0, 0, len(text), 0, None)]
+        while agenda and len(found) < n:
+            _, _, _, _, at, so_far, chain = pop(agenda)
+            nth = seen[at]
+            if nth >= n:
+                continue
+            seen[at] = nth + 1
             if at == 0:
                 ids: list[int] = []
                 while chain:
@@ -196,11 +201,9 @@ class Pieces:
                 found.append((so_far, tuple(ids)))
                 continue
             for start, piece, score in into[at]:
-                arrived += 1
                 score += so_far
-                push(agenda, (-score - reach[start], arrived, start, score, (piece, chain)))
-        found.sort(key=lambda x: (-x[0], x[1]))
-        return found[:n]
+                push(agenda, (-score - reach[start], -start, piece[0], nth, start, score, (piece, chain)))
+        return found
 
     def edges(self, text: str, at: int) -> Iterator[tuple[int, tuple[int, ...], int]]:
         """(length, ids, score) of what may stand at a position."""

@@ -116,3 +116,11 @@ def test_ids_of_the_n_best(spark, lattice):
         want = every(lattice, seen)[:5] if len(seen) < 40 else lattice.best_of_long(seen, 5)
         assert [(x.score, tuple(ids)) for x, ids in zip(r.n_best, r.all, strict=True)] == want
         assert r.all[0] == r.pieces
+
+
+def test_many_equally_good(lattice):
+    """Of more equal segmentations than the search returns, those whose ids are less."""
+    for text in ("_" * 12, "." * 14, "-" * 13, "=" * 12, pieces.SPACE * 9, "_" * 30, "." * 31, "-" * 70, "." * 47, "_" * 63, "-" * 200):
+        want = every(lattice, text)[:5] if len(text) < 20 else lattice.best_of_long(text, 5)
+        assert [lattice.best(text, n) for n in (1, 2, 5)] == [want[:n] for n in (1, 2, 5)]
+        assert lattice.first(text)[:2] == want[0][::-1]
