@@ -82,33 +82,40 @@ class TextModel:
         return log_likelihood
 
 
-def train(docs: DataFrame, text: Column, declared: Column, most_languages: int = 64) -> TextModel:
-    """Trigram distributions of the ``most_languages`` languages that most rows declare."""
+def primary_tag(declared: Column) -> Column:
+    """The primary tag of a declaration, lower-cased: en of en-US; null for none."""
+    tag = F.regexp_extract(F.lower(declared), r"^\s*([^\s_-]+)", 1)
+    return F.when(tag != "", tag)
+
+
+def train(docs: DataFrame, text: Column, declared: Column) -> TextModel:
+    """Trigram distributions of all languages that a row with a trigram declares.
+
+    The table takes 128 KB per language in every worker.
+    """
     rows = docs.select(declared.alias("lang"), text.alias("text")).where("lang IS NOT NULL")
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_languages).collect()
-    languages = tuple(sorted(r.lang for r in counts))
-    if not languages:
-        return TextModel((), np.zeros((0, 1 << BITS)))
-    index = {lang: k for k, lang in enumerate(languages)}
     cells = 1 << BITS
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.zeros(len(languages) * cells, np.int64)
         for batch in batches:
-            lang = np.array([index.get(x, -1) for x in batch.column(0).to_pylist()], np.int64)
+            coded = batch.column(0).dictionary_encode()
+            lang = coded.indices.to_numpy()
             for first, data, offsets in kernel.chunks(batch.column(1)):
                 row, cell = trigrams(data, offsets)
-                of = lang[first + row]
-                table += np.bincount((of * cells + cell)[of >= 0], minlength=len(table))
-        at = np.flatnonzero(table)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(table[at])], ["at", "n"])
+                # only what occurs is held, however many languages there are
+                at, n = np.unique(lang[first + row].astype(np.int64) * cells + cell, return_counts=True)
+                langs = coded.dictionary.take(pa.array(at // cells))
+                yield pa.RecordBatch.from_arrays([langs, pa.array(at % cells), pa.array(n)], ["lang", "cell", "n"])
 
-    found = rows.mapInArrow(count, "at long, n long").groupBy("at").agg(F.sum("n").alias("n"))
+    counted = rows.mapInArrow(count, "lang string, cell long, n long").groupBy("lang", "cell").agg(F.sum("n").alias("n"))
     # at most languages times cells numbers
-    table = np.full(len(languages) * cells, 0.5)
-    got = found.toPandas()
-    table[got["at"].to_numpy(np.int64)] += got["n"].to_numpy(np.float64)
-    table = table.reshape(len(languages), cells)
+    got = counted.toPandas()
+    languages = tuple(sorted(got["lang"].unique()))
+    if not languages:
+        return TextModel((), np.zeros((0, cells)))
+    table = np.full((len(languages), cells), 0.5)
+    place = got["lang"].map({lang: k for k, lang in enumerate(languages)})
+    table[place.to_numpy(np.int64), got["cell"].to_numpy(np.int64)] += got["n"].to_numpy(np.float64)
     return TextModel(languages, np.log(table / table.sum(axis=1, keepdims=True)))
 
 
@@ -133,47 +140,44 @@ def visible_text(html: Column) -> Column:
 
 @dataclass
 class Evidence:
-    """Fitted tables, small but for the hosts, which stay a DataFrame."""
+    """Fitted tables; those by host, declaration and suffix stay DataFrames."""
 
     model: TextModel
     hosts: DataFrame  # host, domain, host_votes, domain_votes: arrays by language
     overall: list[float]
-    declared: dict[str, list[float]]
-    suffixes: dict[str, list[float]]
+    declared: DataFrame  # value, given: array by language of the log probability of the value
+    suffixes: DataFrame
     most_text: int
     strength: float
 
     def _array(self, values) -> Column:
         return F.array(*(F.lit(float(v)) for v in values))
 
-    def _looked_up(self, tables: dict[str, list[float]], key: Column) -> Column:
-        zero = self._array([0.0] * len(self.model.languages))
-        if not tables:
-            return zero
-        pairs = [x for k, v in sorted(tables.items()) for x in (F.lit(k), self._array(v))]
-        return F.coalesce(F.try_element_at(F.create_map(*pairs), key), zero)
-
     def judge(self, rows: DataFrame, text: Column, declared: Column, host: Column, floor: float) -> tuple[DataFrame, dict]:
         """``rows`` with the verdict in new columns, whose names are returned by role.
 
-        Joined by host only, so a row stays a row whatever its id.
+        Joined by host, declaration and suffix, so a row stays a row whatever its id.
         """
-        name = {k: free_name(rows, f"lid_{k}") for k in ("host", "lang", "probability", "kept", "own", "work")}
+        name = {k: free_name(rows, f"lid_{k}") for k in ("host", "lang", "probability", "kept", "own", "work", "declared", "suffix")}
         n = len(self.model.languages)
         if not n:
             blank = {"lang": F.lit(None).cast("string"), "probability": F.lit(0.0), "kept": text.rlike(r"\p{L}")}
             return rows.withColumns({name[k]: F.coalesce(v, F.lit(False)) if k == "kept" else v for k, v in blank.items()}), name
         own = F.struct(
             self.model.evidence(self.most_text)(text).alias("text"),
-            declared.alias("declared"),
-            F.regexp_extract(host, r"\.([^.]+)$", 1).alias("suffix"),
             text.rlike(r"\p{L}").alias("letters"),
         )
-        rows = rows.withColumns({name["host"]: host, name["own"]: own})
+        suffix = F.regexp_extract(host, r"\.([^.]+)$", 1)
+        rows = rows.withColumns({name["host"]: host, name["declared"]: declared, name["suffix"]: suffix, name["own"]: own})
         hosts = self.hosts.withColumnRenamed("host", f"{name['host']}k")
         votes = [free_name(rows, f"lid_{c}") for c in ("host_votes", "domain_votes")]
         hosts = hosts.select(f"{name['host']}k", *(F.col(c).alias(v) for c, v in zip(("host_votes", "domain_votes"), votes, strict=True)))
         joined = rows.join(hosts, F.col(name["host"]) == F.col(f"{name['host']}k"), "left")
+        given = {}
+        for key, table in (("declared", self.declared), ("suffix", self.suffixes)):
+            given[key] = free_name(rows, f"lid_{key}_given")
+            table = table.select(F.col("value").alias(f"{name[key]}k"), F.col("given").alias(given[key]))
+            joined = joined.join(table, F.col(name[key]) == F.col(f"{name[key]}k"), "left")
         mine = F.col(name["own"])
         evidence = mine["text"]
         vote = _vote(evidence)
@@ -191,8 +195,8 @@ class Evidence:
         prior = smoothed(F.coalesce(F.col(votes[0]), zero), domain)
         parts = [
             evidence,
-            self._looked_up(self.declared, F.coalesce(mine["declared"], F.lit(""))),
-            self._looked_up(self.suffixes, F.coalesce(mine["suffix"], F.lit(""))),
+            F.coalesce(F.col(given["declared"]), zero),
+            F.coalesce(F.col(given["suffix"]), zero),
             F.transform(prior, lambda p: F.ln(p)),
         ]
         total = parts[0]
@@ -225,14 +229,12 @@ def _vote(evidence: Column) -> Column:
     return F.when(top < 0, F.array_position(evidence, top) - 1).otherwise(-1).cast("int")
 
 
-def _tables(counted: dict[tuple[str, int], int], n: int) -> dict[str, list[float]]:
-    """Per value, the log probability of it given each language, halfway smoothed to none."""
-    values = sorted({v for v, _ in counted})
-    totals = [sum(counted.get((v, k), 0) for v in values) for k in range(n)]
-    return {
-        v: [float(np.log((counted.get((v, k), 0) + 0.5) / (totals[k] + 0.5 * (len(values) + 1)))) for k in range(n)]
-        for v in values
-    }
+def _by_language(counted: DataFrame, key: str, n: int, out: str) -> DataFrame:
+    """key, and an array by language of the votes."""
+    pairs = counted.groupBy(key, "vote").agg(F.sum("n").cast("double").alias("n"))
+    held = F.map_from_entries(F.collect_list(F.struct("vote", "n")))
+    cells = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: F.coalesce(F.try_element_at(F.col("held"), k), F.lit(0.0)))
+    return pairs.groupBy(key).agg(held.alias("held")).select(key, cells.alias(out))
 
 
 def fit(
@@ -243,18 +245,14 @@ def fit(
     model: TextModel | None = None,
     most_text: int = 100,
     strength: float = 10.0,
-    most_values: int = 256,
 ) -> Evidence:
-    """Tables and priors from all rows; ``model`` may have been trained elsewhere.
-
-    The tables hold the ``most_values`` most frequent declarations and suffixes; others count as
-    no evidence.
-    """
+    """Tables and priors from all rows; ``model`` may have been trained elsewhere."""
     scratch = Scratch(rows.sparkSession, "language")
     model = model or train(rows, text, declared)
     n = len(model.languages)
     if not n:
-        return Evidence(model, rows.select(F.lit("").alias("host")).limit(0), [], {}, {}, most_text, strength)
+        none = rows.select(F.lit("").alias("host")).limit(0)
+        return Evidence(model, none, [], none, none, most_text, strength)
     evidence = model.evidence(most_text)
     votes = rows.select(
         host.alias("host"), declared.alias("declared"), evidence(text).alias("evidence")
@@ -262,23 +260,23 @@ def fit(
     votes = votes.withColumn("suffix", F.regexp_extract("host", r"\.([^.]+)$", 1))
     counted = scratch.keep(votes.where("vote >= 0").groupBy("host", "suffix", "declared", "vote").agg(F.count(F.lit(1)).alias("n")))
 
-    def table(value: str) -> dict[str, list[float]]:
+    def table(value: str) -> DataFrame:
+        """Per value, the log probability of it given each language, halfway smoothed to none."""
         known = counted.where(F.col(value).isNotNull() & (F.col(value) != ""))
-        most = known.groupBy(value).agg(F.sum("n").alias("n")).orderBy(F.desc("n"), value).limit(most_values)
-        found = known.join(F.broadcast(most.select(value)), value).groupBy(value, "vote").agg(F.sum("n").alias("n"))
-        return _tables({(r[value], r.vote): r.n for r in found.collect()}, n)
-
-    def arrays(frame: DataFrame, key: str, out: str) -> DataFrame:
-        cells = [F.sum(F.when(F.col("vote") == k, F.col("n")).otherwise(0)).cast("double") for k in range(n)]
-        return frame.groupBy(key).agg(F.array(*cells).alias(out))
+        votes = scratch.keep(_by_language(known, value, n, "votes"))
+        totals = {r.vote: r.n for r in known.groupBy("vote").agg(F.sum("n").alias("n")).collect()}
+        values = votes.count()
+        all_of = F.array(*(F.lit(totals.get(k, 0) + 0.5 * (values + 1)) for k in range(n)))
+        given = F.zip_with("votes", all_of, lambda v, total: F.ln((v + 0.5) / total))
+        return scratch.keep(votes.select(F.col(value).alias("value"), given.alias("given")))
 
     whole = counted.groupBy("vote").agg(F.sum("n").alias("n")).collect()
     share = np.full(n, 1.0)
     for r in whole:
         share[r.vote] += r.n
     named = counted.where("host IS NOT NULL").withColumn("domain", F.regexp_extract("host", r"([^.]+(?:\.[^.]+)?)$", 1))
-    hosts = arrays(named, "host", "host_votes").withColumn("domain", F.regexp_extract("host", r"([^.]+(?:\.[^.]+)?)$", 1))
-    hosts = scratch.keep(hosts.join(arrays(named, "domain", "domain_votes"), "domain"))
+    hosts = _by_language(named, "host", n, "host_votes").withColumn("domain", F.regexp_extract("host", r"([^.]+(?:\.[^.]+)?)$", 1))
+    hosts = scratch.keep(hosts.join(_by_language(named, "domain", n, "domain_votes"), "domain"))
     return Evidence(model, hosts, (share / share.sum()).tolist(), table("declared"), table("suffix"), most_text, strength)
 
 
@@ -304,4 +302,4 @@ def identify(
 def of_documents(docs: DataFrame) -> tuple[DataFrame, dict]:
     """``identify`` for the columns of ``documents``: lang declares, source is the host."""
     text = docs["text"].cast("string")
-    return identify(docs, text, F.lower(docs["lang"].cast("string")), docs["source"].cast("string"))
+    return identify(docs, text, primary_tag(docs["lang"].cast("string")), docs["source"].cast("string"))

@@ -45,7 +45,7 @@ def op5_language(spark, sf_dir):
 def language_of_pages(spark, sf_dir):
     """Pages by their visible text, markup, suffix and host; trigrams come from the documents."""
     docs, pages = table(spark, sf_dir, "documents"), table(spark, sf_dir, "pages")
-    model = language.train(docs, docs["text"], F.lower(docs["lang"]))
+    model = language.train(docs, docs["text"], language.primary_tag(docs["lang"]))
     pages = pages.select(
         "page_id",
         language.visible_text(F.col("html")).alias("text"),

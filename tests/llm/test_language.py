@@ -76,3 +76,30 @@ def test_nothing_declared_and_empty(spark):
         ("1", None, True), ("2", None, False), ("None", None, False),
     ]
     assert language.of_documents(df.limit(0))[0].collect() == []
+
+
+def test_more_than_64_languages(spark):
+    """Each language is kept, and a region or script takes no place of its own."""
+    rng = random.Random(9)
+    rows, letters = [], "bcdfghjklmnpqrstvwxz"
+    for k in range(100):
+        mine = [a + v + b for a in rng.sample(letters, 4) for v in "aeiou" for b in rng.sample(letters, 3)]
+        for j in range(8 if k < 70 else 4):
+            text = " ".join(rng.choice(mine) + rng.choice(mine) for _ in range(40))
+            rows.append((len(rows), text, f"l{k}" + ["", "-US", "_gb", "-Latn-x"][j % 4], f"l{k}", f"h{j % 3}"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, truth string, source string")
+    found, name = language.of_documents(docs)
+    got = found.select("truth", F.col(name["lang"]).alias("said")).collect()
+    assert len(got) == len(rows) and all(r.said == r.truth for r in got)
+
+
+def test_rare_suffixes_count(spark, docs):
+    """Suffixes beyond the most frequent 256 are evidence as well."""
+    rng = random.Random(10)
+    rows = []
+    for k in range(1200):
+        lang = ["aa", "bb", "cc"][k % 3]
+        rows.append((k, prose(rng, lang, 15), None, f"w{k}.s{k % 300:03}", "c"))
+    rows += [(5000 + k, "1x 2 3", None, f"new{k}.s{k:03}", "c") for k in (0, 1, 2, 297, 298, 299)]
+    got = judged(spark, docs, rows)
+    assert [got[5000 + k].lang for k in (0, 1, 2, 297, 298, 299)] == ["aa", "bb", "cc"] * 2
