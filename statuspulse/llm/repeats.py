@@ -89,20 +89,30 @@ def block_of(doc_id: Column, bounds: list[int]) -> Column:
 def blocked(
     docs: DataFrame, id_column: str, text_column: str, block_bytes: int, carried: list[str]
 ) -> tuple[DataFrame, int]:
-    """(doc_id, text, rest, block) dealt by block, and the number of blocks; blocks are ranges of ids."""
+    """(doc_id, text, rest, block) dealt by block, and the number of blocks.
+
+    Blocks are ranges of ids that hold about as many bytes each: ids count once for each quarter
+    of the mean size their row has, or begins.  Rows without an id may be in any block.
+    """
     rows = docs.select(
         docs[id_column].cast("long").alias("doc_id"),
         docs[text_column].cast("string").alias("text"),
         F.struct(F.lit(0).alias("none"), *(column(c).alias(f"c{k}") for k, c in enumerate(carried))).alias("rest"),
     )
-    total, least = rows.agg(F.sum(F.octet_length("text")), F.count("doc_id")).first()
+    size = F.coalesce(F.octet_length("text"), F.lit(0))
+    with_id = F.when(F.col("doc_id").isNotNull(), size)
+    total, ours, least = rows.agg(F.sum(size), F.sum(with_id), F.count("doc_id")).first()
     n = max(partitions(docs.sparkSession), math.ceil((total or 0) / block_bytes))
     bounds: list[int] = []
     if least:
         shares = [k / n for k in range(1, n)]
-        found = rows.agg(F.percentile_approx("doc_id", shares, max(10_000, 20 * n))).first()[0] if shares else []
+        quarter = max(1.0, ours / least / 4)
+        times = F.greatest(F.lit(1), F.ceil(size / F.lit(quarter))).cast("int")
+        weighed = rows.where("doc_id IS NOT NULL").select(F.explode(F.array_repeat("doc_id", times)).alias("doc_id"))
+        found = weighed.agg(F.percentile_approx("doc_id", shares, max(10_000, 20 * n))).first()[0] if shares else []
         bounds = sorted(set(found))
-    block = F.coalesce(block_of(F.col("doc_id"), bounds), F.lit(0))
+    anywhere = F.pmod(F.xxhash64("text"), F.lit(n)).cast("int")
+    block = F.when(F.col("doc_id").isNull(), anywhere).otherwise(block_of(F.col("doc_id"), bounds))
     return rows.withColumn("block", block).repartition(n, "block"), n
 
 

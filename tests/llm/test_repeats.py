@@ -7,7 +7,7 @@ import re
 import numpy as np
 import pytest
 
-from statuspulse.llm import substrings, suffixes
+from statuspulse.llm import repeats, substrings, suffixes
 
 WORDS = re.compile(rb"[^\x20\x09-\x0D]+")
 
@@ -138,3 +138,14 @@ def test_automaton_against_search():
         for j in range(len(s) - 4):
             earlier = any(s[j : j + 5] == t[i : i + 5] for t in sequences[:k] for i in range(len(t) - 4))
             assert bool(mask >> j & 1) == earlier
+
+
+def test_blocks_hold_even_bytes(spark):
+    """Neither long documents with neighbouring ids nor rows without an id fill one block."""
+    rows = [(k, "a" * (20_000 if k < 50 else 100)) for k in range(1000)]
+    rows += [(None, f"{k} " + "b" * 5000) for k in range(100)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    dealt, n = repeats.blocked(docs, "doc_id", "text", 60_000, [])
+    sizes = [r[1] for r in dealt.selectExpr("block", "octet_length(text) AS size").groupBy("block").sum("size").collect()]
+    assert sum(sizes) == sum(len(t) for _, t in rows)
+    assert max(sizes) <= 3 * 60_000
