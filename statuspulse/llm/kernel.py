@@ -2,8 +2,8 @@
 
 Everything works on the UTF-8 bytes of an Arrow batch as numpy arrays, many documents at a
 time and a few megabytes at a time, so memory does not depend on a batch's row count.
-Hashes are polynomials modulo 2**64 over randomised symbols; who uses them to decide
-equality verifies the symbols.
+Hashes are polynomials modulo 2**64 over randomised symbols.  ``repeats`` takes stretches with
+equal hashes as equal; the suffix sort verifies the symbols.
 """
 
 from __future__ import annotations
