@@ -5,7 +5,21 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from statuspulse.llm import language, mixing, pieces, quality, rollups, simhash, substrings, suffixes, toxicity, vectors
+from statuspulse.llm import (
+    fim,
+    language,
+    mixing,
+    pieces,
+    quality,
+    rollups,
+    search,
+    simhash,
+    substrings,
+    suffixes,
+    toxicity,
+    url_rules,
+    vectors,
+)
 
 from statuspulse.session import shared_path
 
@@ -113,4 +127,51 @@ def op10_pieces(spark, sf_dir):
     )
 
 
-REGISTERED = {f.__name__: f for f in (op1_vectors, op2_quality, op3_mixing, op4_substrings, op5_language, op6_suffixes, op7_toxicity, op8_simhash, op9_rollups, op10_pieces, language_of_pages)}
+def op11_fill_in_middle(spark, sf_dir):
+    found = fim.transform(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id",
+        "n",
+        "form",
+        "prefix_chars",
+        "middle_chars",
+        F.sha2(F.col("output").cast("binary"), 256).alias("output_sha256"),
+        F.sha2(fim.restore(F.col("output"), F.col("form")).cast("binary"), 256).alias("restored_sha256"),
+    )
+
+
+#: The rules of op12.
+URL_RULES = [
+    ("allow", "com", "/"),
+    ("block", "example.com", "/en/"),
+    ("allow", "www.example.com", "/en/"),
+    ("block", "net", "/es/"),
+    ("block", "net", "/fr/"),
+]
+
+
+def op12_url_rules(spark, sf_dir):
+    return url_rules.judge(table(spark, sf_dir, "pages"), url_rules.rule_table(spark, URL_RULES))
+
+
+def op13_search(spark, sf_dir):
+    return search.rank(table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents"))
+
+
+_ALL = (
+    op1_vectors,
+    op2_quality,
+    op3_mixing,
+    op4_substrings,
+    op5_language,
+    op6_suffixes,
+    op7_toxicity,
+    op8_simhash,
+    op9_rollups,
+    op10_pieces,
+    op11_fill_in_middle,
+    op12_url_rules,
+    op13_search,
+    language_of_pages,
+)
+REGISTERED = {f.__name__: f for f in _ALL}
