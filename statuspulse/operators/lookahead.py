@@ -37,6 +37,22 @@ def minute_lookup(intervals: DataFrame, *, keys: Sequence[str] = KEYS) -> DataFr
     )
 
 
+def at_local(polls: DataFrame, *, settings: Settings = DEFAULTS, local: str | None = None) -> DataFrame:
+    """Add the local time, weekday and minute of every poll."""
+    now = F.col(local) if local else time.to_local(F.col("ts"), settings.zone)
+    return polls.withColumn("local_ts", now).withColumns(
+        {
+            "dow": F.dayofweek("local_ts"),
+            "now_min": time.minute_of_day(F.col("local_ts")),
+        }
+    )
+
+
+def with_position(found: DataFrame) -> DataFrame:
+    """Whether a poll is inside the interval found for it."""
+    return found.withColumn("in_interval", F.col("now_min") >= F.col("start_min"))
+
+
 def next_interval(
     polls: DataFrame,
     intervals: DataFrame,
@@ -52,15 +68,8 @@ def next_interval(
     broadcast; Spark does so when the lookup is under its size threshold.
     ``local`` names a column that already holds local time.
     """
-    now = F.col(local) if local else time.to_local(F.col("ts"), settings.zone)
-    at = polls.withColumn("local_ts", now).withColumns(
-        {
-            "dow": F.dayofweek("local_ts"),
-            "now_min": time.minute_of_day(F.col("local_ts")),
-        }
-    )
-    found = at.join(minute_lookup(intervals, keys=keys), [*keys, "dow", "now_min"], "left")
-    return found.withColumn("in_interval", F.col("now_min") >= F.col("start_min"))
+    at = at_local(polls, settings=settings, local=local)
+    return with_position(at.join(minute_lookup(intervals, keys=keys), [*keys, "dow", "now_min"], "left"))
 
 
 def lookahead_alerts(placed: DataFrame, *, settings: Settings = DEFAULTS) -> DataFrame:

@@ -65,6 +65,7 @@ class Settings:
     lookahead_minutes: int = 480
     notify_interval_minutes: int = 10
     end_of_day: str = "23:58"
+    late_minutes: int = 0  # polls are held so long for others that come late
     # alert routing
     upgrade_threshold: int = 2
     default_channel: str = "default"

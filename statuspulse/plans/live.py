@@ -1,7 +1,11 @@
 """Live monitor: polls in; statistics, predictions and routed alerts out.
 
 Tables below ``root``: ``changes/rows``, ``notices/rows``, ``stats``, ``predictions`` and
-``alerts``, each written per micro-batch.
+``alerts``, and ``changes/late`` and ``notices/late`` with the polls that came too late; each
+written per micro-batch.
+
+Both watchers run on either engine: the keyed state of ``streaming.monitor``, or, ``by_day``, the
+batch operators of ``streaming.backlog``, which cut a site with many polls into days.
 """
 
 from __future__ import annotations
@@ -15,7 +19,7 @@ from pyspark.sql.streaming import StreamingQuery
 from statuspulse.operators import alerts, lookahead, status, transitions
 from statuspulse.params import DEFAULTS, Settings
 from statuspulse.sources import tables
-from statuspulse.streaming import monitor
+from statuspulse.streaming import backlog, monitor
 from statuspulse.streaming.run import write_batches
 
 
@@ -68,12 +72,26 @@ def _with_prediction_lines(changed: DataFrame, settings: Settings) -> DataFrame:
     )
 
 
+def _set_late_aside(rows: DataFrame, path: str, batch: int) -> DataFrame:
+    """Write the late polls where the engine that works by day has them; the other rows."""
+    late = monitor.late_polls(rows).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    tables.append_records(late, f"{path}/late", batch=batch)
+    return monitor.on_time(rows)
+
+
 def watch_changes(
-    polls: DataFrame, root: str, *, settings: Settings = DEFAULTS, poll: str | None = None
+    polls: DataFrame,
+    root: str,
+    *,
+    settings: Settings = DEFAULTS,
+    poll: str | None = None,
+    by_day: bool = False,
 ) -> StreamingQuery:
     """Changes to the statistics record of their site and to alerts."""
 
     def publish(rows: DataFrame, batch: int) -> None:
+        if not by_day:
+            rows = _set_late_aside(rows, f"{root}/changes", batch)
         stats = transitions.current_stats(rows.drop("means"), settings=settings)
         tables.append_records(stats, f"{root}/stats", batch=batch)
         figures = transitions.with_change_figures(
@@ -82,6 +100,8 @@ def watch_changes(
         routed = alerts.route(alerts.transition_alerts(figures), settings=settings)
         tables.append_records(routed, f"{root}/alerts/source=changes", batch=batch)
 
+    if by_day:
+        return backlog.watch_changes(polls, f"{root}/changes", settings=settings, poll=poll, each=publish)
     changed = monitor.with_means(
         monitor.live_changes(polls, settings=settings), settings=settings
     )
@@ -96,20 +116,33 @@ def watch_edges(
     settings: Settings = DEFAULTS,
     poll: str | None = None,
     interval_keys: Sequence[str] = ("site_id",),
+    by_day: bool = False,
 ) -> StreamingQuery:
     """Upcoming interval edges to the prediction record of their site and to alerts."""
 
     def publish(rows: DataFrame, batch: int) -> None:
+        if not by_day:
+            rows = _set_late_aside(rows, f"{root}/notices", batch)
         sites = rows.groupBy("site_id").agg(F.max("ts").alias("ts"))
         record = lookahead.current_prediction(rows, sites).join(sites, "site_id")
         tables.append_records(record, f"{root}/predictions", batch=batch)
         routed = alerts.route(alerts.forecast_alerts(rows), settings=settings)
         tables.append_records(routed, f"{root}/alerts/source=edges", batch=batch)
 
+    if by_day:
+        return backlog.watch_edges(
+            polls, intervals, f"{root}/notices",
+            settings=settings, poll=poll, interval_keys=interval_keys, each=publish,
+        )
     told = monitor.live_notices(polls, intervals, settings=settings, interval_keys=interval_keys)
     return write_batches(told, f"{root}/notices", mode="append", poll=poll, each=publish)
 
 
+def late_polls(spark, root: str, *, of: str = "changes") -> DataFrame:
+    """Polls that came too late for the changes, or with ``of="notices"`` for a notice."""
+    return backlog.late_polls(spark, f"{root}/{of}")
+
+
 def current_stats(spark, root: str) -> DataFrame:
     """One statistics record per site: the last written."""
     return tables.latest_records(spark, f"{root}/stats", keys=["site_id"], order="ts")

@@ -13,7 +13,7 @@ from statuspulse.operators import lookahead, slots, transitions
 from statuspulse.params import Settings
 from statuspulse.plans import live
 from statuspulse.sources import archives
-from statuspulse.streaming import backlog, monitor, slot_stream
+from statuspulse.streaming import backlog, monitor, reorder, slot_stream
 from statuspulse.streaming.run import newest_version, run_available, stream_files
 from workload import adapter, queries
 
@@ -106,15 +106,86 @@ def test_backlog_batch_is_repeated_after_a_failure(spark, polls, tmp_path, monke
     assert _rows(spark.read.parquet(f"{path}/rows"), *columns) == _rows(batch, *columns)
 
 
-def test_old_polls_are_dropped(spark, polls, tmp_path):
+def test_old_polls_are_set_aside(spark, polls, tmp_path):
     source, out = str(tmp_path / "polls"), str(tmp_path / "out")
     first, second, _ = _thirds(polls)
     counts = []
     for part in (second, first):
         part.write.mode("append").parquet(source)
         stream = monitor.live_changes(stream_files(spark, source, schemas.POLLS), settings=SETTINGS)
-        counts.append(run_available(stream, out, mode="append").count())
-    assert counts[0] == counts[1] > 0
+        rows = run_available(stream, out, mode="append")
+        counts.append((monitor.on_time(rows).count(), monitor.late_polls(rows).count()))
+    assert counts == [(counts[0][0], 0), (counts[0][0], first.count())]
+
+
+def _shuffled(polls, seed, parts):
+    part = F.pmod(F.xxhash64(F.lit(seed), "site_id", "ts"), F.lit(parts))
+    stamped = polls.withColumn("ts", F.col("ts").cast("timestamp"))
+    return [stamped.where(part == k) for k in range(parts)]
+
+
+def test_any_split_gives_the_batch_rows(spark, counts, polls, tmp_path):
+    """Polls dealt over micro-batches at random, and some twice, in both engines."""
+    held = replace(SETTINGS, late_minutes=60 * 24 * 60)
+    polls = polls.where((F.col("site_id") < 2) & (F.dayofmonth("ts") < 8))
+    source, root = str(tmp_path / "polls"), str(tmp_path / "out")
+    intervals = queries.week_insights(counts).persist()
+    one, two = _shuffled(polls, 1, 2)
+    closed = one.unionByName(reorder.closing(one.unionByName(two), settings=held))
+    for part in [one, two, closed]:
+        part.write.mode("append").parquet(source)
+        stream = stream_files(spark, source, schemas.POLLS)
+        found = monitor.with_means(monitor.live_changes(stream, settings=held), settings=held)
+        changed = run_available(found, f"{root}/state", mode="append")
+        notices = run_available(
+            monitor.live_notices(stream, intervals, settings=held), f"{root}/state_edges", mode="append"
+        )
+        backlog.watch_changes(stream, f"{root}/days", settings=held).awaitTermination()
+        backlog.watch_edges(stream, intervals, f"{root}/edges", settings=held).awaitTermination()
+    batch = transitions.with_velocities(transitions.changes(polls), settings=held)
+    placed = lookahead.next_interval(polls, intervals, settings=held)
+    told = lookahead.throttle(lookahead.lookahead_alerts(placed, settings=held), settings=held)
+    ts = F.col("ts").cast("timestamp_ntz").alias("ts")
+    columns = ["site_id", ts, "kind", "avail", "avail_old", "in_use_old", "velocity", "means"]
+    for got in (monitor.on_time(changed), spark.read.parquet(f"{root}/days/rows")):
+        assert _rows(got, *columns) == _rows(batch, *columns)
+    columns = ["site_id", ts, "kind", "start_min", "text", "local_ts"]
+    for got in (monitor.on_time(notices), spark.read.parquet(f"{root}/edges/rows")):
+        assert _rows(got, *columns) == _rows(told, *columns) != []
+    assert changed.where("late").count() == backlog.late_polls(spark, f"{root}/days").count() == 0
+
+
+def _poll(site, minute, avail):
+    ts = f"2024-05-01 08:{minute:02d}:00"
+    return site, ts, avail, 10 - avail, 0, 10
+
+
+def test_late_polls_are_counted_and_change_nothing(spark, tmp_path):
+    """Held for five minutes: 08:02 comes in time, 08:01 does not; another site's clock frees a silent one."""
+    held = replace(SETTINGS, late_minutes=5)
+    source, root = str(tmp_path / "polls"), str(tmp_path / "out")
+    arrivals = [
+        [_poll(1, 0, 5), _poll(1, 4, 3), _poll(2, 1, 7), _poll(2, 1, 6)],
+        [_poll(1, 2, 4), _poll(1, 8, 1)],
+        [_poll(1, 1, 9), _poll(1, 1, 9), _poll(3, 40, 2)],
+    ]
+    schema = "site_id long, ts string, avail long, in_use long, unknown long, total long"
+    for part in arrivals:
+        rows = spark.createDataFrame(part, schema).withColumn("ts", F.col("ts").cast("timestamp"))
+        rows.write.mode("append").parquet(source)
+        stream = stream_files(spark, source, schemas.POLLS)
+        for by_day in (False, True):
+            live.watch_changes(stream, f"{root}/{by_day}", settings=held, by_day=by_day).awaitTermination()
+    for by_day in (False, True):
+        found = spark.read.parquet(f"{root}/{by_day}/changes/rows")
+        found = monitor.on_time(found) if "late" in found.columns else found
+        got = [(r.site_id, r.minute, r.avail_old, r.avail, r.kind) for r in found.withColumn("minute", F.minute("ts")).collect()]
+        assert sorted(got, key=lambda r: r[:2]) == [
+            (1, 0, None, 5, "initial"), (1, 2, 5, 4, "decreased"), (1, 4, 4, 3, "decreased"),
+            (1, 8, 3, 1, "decreased"), (2, 1, None, 6, "initial"),
+        ]
+        late = live.late_polls(spark, f"{root}/{by_day}").select("site_id", F.minute("ts"), "avail").collect()
+        assert [tuple(r) for r in late] == [(1, 1, 9), (1, 1, 9)]
 
 
 def test_live_monitor_tables(spark, counts, polls, tmp_path):

@@ -625,3 +625,15 @@ SELECT dow, hour, 0 AS slot,
        round(sum(e) FILTER (WHERE label = 1) / sum(e), 6) AS prob_available,
        round(sum(e) FILTER (WHERE label = 2) / sum(e), 6) AS prob_in_use
 FROM shares GROUP BY dow, hour""")
+
+SQL["live_alerts_by_day"] = SQL["live_alerts"]
+for _engine in ("stream", "backlog"):
+    SQL[f"shuffled_{_engine}_transitions"] = SQL["stream_transitions"]
+    SQL[f"shuffled_{_engine}_notices"] = SQL["stream_notices"]
+# the n-th arrival has the hours that leave n - 1 when divided by 3
+SQL["late_polls"] = q(changes(), f"""
+SELECT p.site_id, CAST(hour(p.ts) % 3 AS INTEGER) AS arrival, count(*) AS late, {ts_text('max(p.ts)')} AS newest
+FROM polls p
+WHERE p.ts < (SELECT max(o.ts) FROM polls o WHERE o.site_id = p.site_id AND hour(o.ts) % 3 < hour(p.ts) % 3)
+GROUP BY ALL""")
+SQL["late_polls_by_day"] = SQL["late_polls"]

@@ -16,7 +16,7 @@ from statuspulse.params import STATUSES
 from statuspulse.plans import live, refresh
 from statuspulse.session import materialise, shared_path
 from statuspulse.sources import archives, history, tables
-from statuspulse.streaming import backlog, monitor, slot_stream
+from statuspulse.streaming import backlog, monitor, reorder, slot_stream
 from statuspulse.streaming.run import newest_version, run_available, stream_files
 from workload.adapter import SETTINGS, as_readings, events, readings
 
@@ -678,12 +678,8 @@ def stream_slot_counts(spark, sf_dir):
     return plain(counted.drop("slot_start"))
 
 
-def stream_transitions(spark, sf_dir):
-    stream = monitor.with_means(
-        monitor.live_changes(_poll_stream(spark, counts(spark, sf_dir)), settings=SETTINGS),
-        settings=SETTINGS,
-    )
-    rows = run_available(stream, shared_path(spark, "transitions"), mode="append")
+def _told(rows):
+    rows = monitor.on_time(rows) if "late" in rows.columns else rows
     return plain(
         rows.select(
             "site_id", F.col("ts").cast("timestamp_ntz").alias("ts"), "kind", "avail", "avail_old",
@@ -692,6 +688,14 @@ def stream_transitions(spark, sf_dir):
     )
 
 
+def stream_transitions(spark, sf_dir):
+    stream = monitor.with_means(
+        monitor.live_changes(_poll_stream(spark, counts(spark, sf_dir)), settings=SETTINGS),
+        settings=SETTINGS,
+    )
+    return _told(run_available(stream, shared_path(spark, "transitions"), mode="append"))
+
+
 def stream_notices(spark, sf_dir):
     table = stored_counts(spark, sf_dir)
     stream = monitor.live_notices(
@@ -711,13 +715,7 @@ def backlog_transitions(spark, sf_dir):
     path = shared_path(spark, "backlog_transitions")
     stream = _poll_stream(spark, counts(spark, sf_dir))
     backlog.watch_changes(stream, path, settings=SETTINGS).awaitTermination()
-    rows = spark.read.parquet(f"{path}/rows")
-    return plain(
-        rows.select(
-            "site_id", "ts", "kind", "avail", "avail_old", "in_use", "unknown", "total", "velocity",
-            F.size("means").alias("estimates"),
-        )
-    )
+    return _told(spark.read.parquet(f"{path}/rows"))
 
 
 def backlog_notices(spark, sf_dir):
@@ -730,6 +728,85 @@ def backlog_notices(spark, sf_dir):
     return plain(rows.select("site_id", "ts", "kind", "start_min", "end_min", "text"))
 
 
+# polls that come in any order are held for longer than the table is long
+SHUFFLED = replace(SETTINGS, late_minutes=400 * 24 * 60)
+
+
+def _arrivals(spark, table, parts, settings=None):
+    """The polls in files that arrive one after the other, each with what ``parts`` picks; with
+    ``settings``, a last one that closes the stream.  Yields the stream after each arrival."""
+    path = shared_path(spark, "arrivals")
+    rows = transitions.polls_from_counts(table, settings=SETTINGS)
+    rows = rows.withColumn("ts", F.col("ts").cast("timestamp"))
+    for part in [rows.where(part) for part in parts] + ([reorder.closing(rows, settings=settings)] if settings else []):
+        part.write.mode("append").parquet(path)
+        yield stream_files(spark, path, schemas.POLLS)
+
+
+def _shuffles(n=3):
+    part = F.pmod(F.xxhash64("site_id", "ts"), F.lit(n))
+    return [part == k for k in range(n)]
+
+
+def shuffled_stream_transitions(spark, sf_dir):
+    """The polls in random order over several micro-batches: the rows of transitions all the same."""
+    path = shared_path(spark, "shuffled_transitions")
+    for stream in _arrivals(spark, stored_counts(spark, sf_dir), _shuffles(), SHUFFLED):
+        found = monitor.with_means(monitor.live_changes(stream, settings=SHUFFLED), settings=SHUFFLED)
+        rows = run_available(found, path, mode="append")
+    return _told(rows)
+
+
+def shuffled_backlog_transitions(spark, sf_dir):
+    path = shared_path(spark, "shuffled_backlog")
+    for stream in _arrivals(spark, stored_counts(spark, sf_dir), _shuffles(), SHUFFLED):
+        backlog.watch_changes(stream, path, settings=SHUFFLED).awaitTermination()
+    return _told(spark.read.parquet(f"{path}/rows"))
+
+
+def shuffled_stream_notices(spark, sf_dir):
+    table, path = stored_counts(spark, sf_dir), shared_path(spark, "shuffled_notices")
+    intervals = materialise(week_insights(table), "intervals")
+    for stream in _arrivals(spark, table, _shuffles(), SHUFFLED):
+        rows = run_available(monitor.live_notices(stream, intervals, settings=SHUFFLED), path, mode="append")
+    rows = monitor.on_time(rows).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    return plain(rows.select("site_id", "ts", "kind", "start_min", "end_min", "text"))
+
+
+def shuffled_backlog_notices(spark, sf_dir):
+    table, path = stored_counts(spark, sf_dir), shared_path(spark, "shuffled_backlog_notices")
+    intervals = materialise(week_insights(table), "intervals")
+    for stream in _arrivals(spark, table, _shuffles(), SHUFFLED):
+        backlog.watch_edges(stream, intervals, path, settings=SHUFFLED).awaitTermination()
+    rows = spark.read.parquet(f"{path}/rows")
+    return plain(rows.select("site_id", "ts", "kind", "start_min", "end_min", "text"))
+
+
+def _late_by_arrival(found):
+    return plain(
+        found.groupBy("site_id", (F.hour("ts") % 3).alias("arrival")).agg(
+            F.count("*").alias("late"), F.max(F.col("ts").cast("timestamp_ntz")).alias("newest")
+        )
+    )
+
+
+def late_polls(spark, sf_dir):
+    """Three arrivals, each with every third hour, held for no time: what was late, by site and arrival."""
+    root = shared_path(spark, "late")
+    thirds = [F.hour("ts") % 3 == k for k in range(3)]
+    for stream in _arrivals(spark, stored_counts(spark, sf_dir), thirds):
+        live.watch_changes(stream, root, settings=SETTINGS).awaitTermination()
+    return _late_by_arrival(live.late_polls(spark, root))
+
+
+def late_polls_by_day(spark, sf_dir):
+    root = shared_path(spark, "late_by_day")
+    thirds = [F.hour("ts") % 3 == k for k in range(3)]
+    for stream in _arrivals(spark, stored_counts(spark, sf_dir), thirds):
+        live.watch_changes(stream, root, settings=SETTINGS, by_day=True).awaitTermination()
+    return _late_by_arrival(live.late_polls(spark, root))
+
+
 def live_snapshot_polls(spark, sf_dir):
     """Archives as a stream, to the newest reading of every outlet, to one poll per site."""
     source, root = shared_path(spark, "archives"), shared_path(spark, "snapshots")
@@ -756,15 +833,15 @@ def live_current_stats(spark, sf_dir):
     )
 
 
-def live_alerts(spark, sf_dir):
+def live_alerts(spark, sf_dir, by_day=False):
     """The live monitor's routed alerts, with the depletion lines of each decrease."""
     root = shared_path(spark, "live")
     table = stored_counts(spark, sf_dir)
     stream = _poll_stream(spark, table)
     intervals = materialise(week_insights(table), "intervals")
     running = [
-        live.watch_changes(stream, root, settings=SETTINGS),
-        live.watch_edges(stream, intervals, root, settings=SETTINGS),
+        live.watch_changes(stream, root, settings=SETTINGS, by_day=by_day),
+        live.watch_edges(stream, intervals, root, settings=SETTINGS, by_day=by_day),
     ]
     for query in running:
         query.awaitTermination()
@@ -779,6 +856,10 @@ def live_alerts(spark, sf_dir):
     )
 
 
+def live_alerts_by_day(spark, sf_dir):
+    return live_alerts(spark, sf_dir, by_day=True)
+
+
 REGISTERED = {
     f.__name__: f
     for f in (
@@ -806,6 +887,8 @@ REGISTERED = {
         # streams
         stream_window_counts, stream_slot_dedupe, stream_slot_counts, stream_transitions,
         stream_notices, backlog_transitions, backlog_notices, live_snapshot_polls,
-        live_current_stats, live_alerts,
+        live_current_stats, live_alerts, live_alerts_by_day,
+        shuffled_stream_transitions, shuffled_backlog_transitions, shuffled_stream_notices,
+        shuffled_backlog_notices, late_polls, late_polls_by_day,
     )
 } | {"transitions": transition_list}
