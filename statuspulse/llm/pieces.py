@@ -39,8 +39,13 @@ CUTS = (
 )
 #: Longer parts are searched in arrays, which take few bytes per position, with the same results.
 LONG = 400
-#: Parts a worker remembers.
-REMEMBERED = 250_000
+#: Parts a task remembers: two generations of about so many bytes.
+REMEMBERED_BYTES = 24 << 20
+#: Parts up to this length are remembered and searched together, so many at a time.
+TOGETHER, AT_ONCE = 64, 4096
+#: Texts that are cut before their parts are looked up.
+TEXTS = 256
+_NONE = -(1 << 60)
 
 
 class Pieces:
@@ -72,11 +77,17 @@ class Pieces:
         if not whole:
             raise ValueError("pieces cross the spaces between words")
         self.cut = whole[0]
-        self.known_best = lru_cache(maxsize=REMEMBERED // 20)(self.best)
+        self.known_best = lru_cache(maxsize=4096)(self.best)
         #: beginnings of pieces; those that are no piece have no value
         self.begin: dict[str, tuple[int, int] | None] = {
             p[:n]: None for p in self.score for n in range(1, len(p))
         } | self.score
+        # the same as arrays: a node per beginning, and edges in the order of (node, next character)
+        node = {"": 0} | {p: k for k, p in enumerate(self.begin, 1)}
+        edges = sorted((node[p[:-1]] << 21 | ord(p[-1]), node[p]) for p in self.begin)
+        self.edge_key, self.edge_to = np.array(edges, np.int64).T.copy()
+        values = [(-1, _NONE), *((-1, _NONE) if v is None else v for v in self.begin.values())]
+        self.node_piece, self.node_score = np.array(values, np.int64).T.copy()
 
     def lattice(self, text: str) -> tuple[list[list[tuple]], list[int]]:
         """Into each position, (from, ids, score); and the best score of reaching each."""
@@ -172,6 +183,83 @@ class Pieces:
                 loss = score
         return tuple(ids[::-1]), total, loss
 
+    def first_of_many(self, parts: list[str]) -> list[tuple[bytes, int, float]]:
+        """``first`` of many short parts at once, the ids packed: positions in turn, parts side by side."""
+        order = sorted(range(len(parts)), key=lambda k: -len(parts[k]))
+        lengths = np.array([len(parts[k]) for k in order])
+        many, longest = len(parts), int(lengths[0])
+        column = np.arange(many)
+        points = np.frombuffer("".join([parts[k] for k in order]).encode("utf-32-le"), np.uint32)
+        text = np.zeros((longest, many), np.int64)
+        begins = np.cumsum(lengths) - lengths
+        text[np.arange(len(points)) - np.repeat(begins, lengths), np.repeat(column, lengths)] = points
+        as_long = [many - int(np.searchsorted(lengths[::-1], k)) for k in range(longest + 1)]
+        reach = np.full((longest + 1, many), _NONE)
+        reach[0] = 0
+        came, piece = (np.zeros((longest + 1, many), np.int64) for _ in range(2))
+        tied = np.zeros((longest + 1, many), bool)
+        edges = []
+        for at in range(longest):
+            rows, node = column[: as_long[at + 1]], np.zeros(as_long[at + 1], np.int64)
+            for end in range(at + 1, longest + 1):
+                rows = rows[: np.searchsorted(rows, as_long[end])]
+                if not len(rows):
+                    break
+                point = text[end - 1, rows]
+                key = node[: len(rows)] << 21 | point
+                place = np.minimum(np.searchsorted(self.edge_key, key), len(self.edge_key) - 1)
+                longer = self.edge_key[place] == key
+                node = self.edge_to[place]
+                score = np.where(longer, self.node_score[node], _NONE)
+                ids = self.node_piece[node]
+                if end == at + 1:  # a character without a piece stands as its bytes
+                    alone = score == _NONE
+                    raw = np.where(point == ord(SPACE), ord(" "), point)
+                    sizes = 1 + (raw >= 0x80) + (raw >= 0x800) + (raw >= 0x10000)
+                    score = np.where(alone, self.byte_score * sizes, score)
+                    ids = np.where(alone, -1 - raw, ids)
+                there = score > _NONE
+                own, score, ids = rows[there], score[there], ids[there]
+                edges.append((at, end, own, score))
+                total = reach[at, own] + score
+                old = reach[end, own]
+                better = total > old
+                tied[end, own] = ~better & (tied[end, own] | (total == old))
+                chosen = own[better]
+                reach[end, chosen], came[end, chosen], piece[end, chosen] = total[better], at, ids[better]
+                rows, node = rows[longer], node[longer]
+        whole = reach[lengths, column]
+        rest = np.full((longest + 1, many), _NONE)
+        rest[lengths, column] = 0
+        loss = np.full(many, -_NONE)
+        for at, end, own, score in reversed(edges):
+            onward = score + rest[end, own]
+            rest[at, own] = np.maximum(rest[at, own], onward)
+            less = whole[own] - onward - reach[at, own]
+            loss[own] = np.minimum(loss[own], np.where(less > 0, less, -_NONE))
+        at, back, unclear = lengths, [], np.zeros(many, bool)
+        count = np.zeros(many, np.int64)
+        while at.any():
+            unclear |= tied[at, column]
+            back.append(piece[at, column])
+            count += at > 0
+            at = came[at, column]
+        ids = np.ascontiguousarray(np.array(back[::-1], np.int32).T)
+        in_bytes = ((ids < 0) & (np.arange(len(back)) >= len(back) - count[:, None])).any(axis=1)
+        found: list = [None] * many
+        for row, k in enumerate(order):
+            if unclear[row]:
+                best, score, lost = self.first(parts[k])
+                found[k] = struct.pack(f"{len(best)}i", *best), score, lost
+                continue
+            own = ids[row, len(back) - count[row] :]
+            if in_bytes[row]:
+                best = [x for i in own.tolist() for x in ([i] if i >= 0 else [self.byte[b] for b in chr(-1 - i).encode()])]
+                own = np.array(best, np.int32)
+            lost = int(loss[row])
+            found[k] = own.tobytes(), int(whole[row]), lost if lost < -_NONE else math.inf
+        return found
+
     def best(self, text: str, n: int) -> list[tuple[int, tuple[int, ...]]]:
         """The ``n`` best (score, ids) of a part, best first."""
         if not text:
@@ -263,32 +351,49 @@ class Pieces:
         return raw[1:].decode("utf-8", "replace") if raw[:1] == b" " else raw.decode("utf-8", "replace")
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def load(model_file: str) -> Pieces:
     return Pieces(model_file)
 
 
 class _Parts(dict):
-    """Part to (packed ids of the best segmentation, its score, cost of the next, part)."""
+    """Part to (packed ids of the best segmentation, its score, cost of the next, part).
+
+    Of what was not asked for while ``REMEMBERED_BYTES`` more were learnt, nothing is kept.
+    """
 
     def __init__(self, pieces: Pieces):
         super().__init__()
         self.pieces = pieces
+        self.old: dict[str, tuple] = {}
+        self.size = 0
 
-    def __missing__(self, part: str):
-        ids, score, loss = self.pieces.first(part)
-        value = (struct.pack(f"{len(ids)}i", *ids), score, loss, part)
-        if len(self) >= REMEMBERED:
+    def learn(self, parts: set[str]) -> None:
+        """Search all of these that are not known, side by side."""
+        if self.size > REMEMBERED_BYTES:
+            self.old = dict(self)
             self.clear()
-        if len(part) < 64:
-            self[part] = value
-        return value
-
+            self.size = 0
+        old = self.old
+        unseen = [p for p in parts if p not in self and p not in old and len(p) <= TOGETHER]
+        unseen.sort(key=len)  # those of like length together
+        for k in range(0, len(unseen), AT_ONCE):
+            some = unseen[k : k + AT_ONCE]
+            for part, found in zip(some, self.pieces.first_of_many(some)):
+                self._keep(part, (*found, part))
+
+    def _keep(self, part: str, value: tuple) -> None:
+        self[part] = value
+        self.size += 400 + 4 * len(part) + len(value[0])
 
-@lru_cache(maxsize=2)
-def _parts(model_file: str) -> _Parts:
-    """What a worker remembers, from one task to the next."""
-    return _Parts(load(model_file))
+    def __missing__(self, part: str):
+        value = self.old.get(part)
+        if value is None:
+            ids, score, loss = self.pieces.first(part)
+            value = (struct.pack(f"{len(ids)}i", *ids), score, loss, part)
+        if len(part) <= TOGETHER:
+            self._keep(part, value)
+        return value
 
 
 def segmentations(parts: list[tuple], n: int, pieces: Pieces) -> list[tuple[int, list[tuple[int, tuple, tuple]]]]:
@@ -355,48 +460,62 @@ def encode(
     n_best_type = pa.list_(pa.struct([("score", pa.int64()), ("changed", pa.int32()), ("edits", pa.list_(edit))]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = load(model_file)
-        known = _parts(model_file)
-        raw = pieces.raw
+        collecting = gc.isenabled()
         gc.disable()  # what is remembered holds no cycles, and scanning it again and again is slow
-        for batch in batches:
-            # a few texts at a time bound the memory, whatever their lengths
-            step = 64
-            for at in range(0, batch.num_rows, step):
-                part = batch.slice(at, step)
-                columns = [[], [], [], []]
-                for text in part.column(1).to_pylist():
-                    text = text or ""
-                    parts = [known[p] for p in pieces.parts_of(text)]
-                    ids = np.frombuffer(b"".join([p[0] for p in parts]), np.int32)
-                    score = sum([p[1] for p in parts])
-                    again = b"".join([raw[k] for k in ids.tolist()])
-                    best = segmentations(parts, n_best, pieces)
-                    columns[0].append(ids)
-                    columns[1].append(score)
-                    starts = [0, *accumulate([len(p[0]) // 4 for p in parts])]
-                    columns[2].append(
-                        [
-                            {
-                                "score": score - cost,
-                                "changed": len(changes),
-                                "edits": [_edit(starts[k], new, old) for k, new, old in changes],
-                            }
-                            for cost, changes in best
-                        ]
-                    )
-                    columns[3].append(again == ((" " + text).encode() if text else b""))
-                ends = np.cumsum([0, *(len(x) for x in columns[0])]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        part.column(0),
-                        pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(columns[0]))),
-                        pa.array(columns[1], pa.int64()),
-                        pa.array(columns[2], n_best_type),
-                        pa.array(columns[3], pa.bool_()),
-                    ],
-                    ["doc_id", "pieces", "score", "n_best", "round_trip"],
-                )
+        try:
+            known = _Parts(load(model_file))
+            for batch in batches:
+                # a few texts at a time bound the memory, whatever their lengths
+                at = 0
+                while at < batch.num_rows:
+                    size, end = 0, at
+                    while end < min(at + TEXTS, batch.num_rows) and size < 1 << 20:
+                        size += len(batch.column(1)[end].as_py() or "")
+                        end += 1
+                    yield segmented(batch.slice(at, end - at), known)
+                    at = end
+        finally:
+            if collecting:
+                gc.enable()
+
+    def segmented(part: pa.RecordBatch, known: _Parts) -> pa.RecordBatch:
+        pieces = known.pieces
+        raw = pieces.raw
+        columns = [[], [], [], []]
+        texts = [text or "" for text in part.column(1).to_pylist()]
+        cut = [pieces.parts_of(text) for text in texts]
+        known.learn(set().union(*cut))
+        for text, own in zip(texts, cut):
+            parts = [known[p] for p in own]
+            ids = np.frombuffer(b"".join([p[0] for p in parts]), np.int32)
+            score = sum([p[1] for p in parts])
+            again = b"".join([raw[k] for k in ids.tolist()])
+            best = segmentations(parts, n_best, pieces)
+            columns[0].append(ids)
+            columns[1].append(score)
+            starts = [0, *accumulate([len(p[0]) // 4 for p in parts])]
+            columns[2].append(
+                [
+                    {
+                        "score": score - cost,
+                        "changed": len(changes),
+                        "edits": [_edit(starts[k], new, old) for k, new, old in changes],
+                    }
+                    for cost, changes in best
+                ]
+            )
+            columns[3].append(again == ((" " + text).encode() if text else b""))
+        ends = np.cumsum([0, *(len(x) for x in columns[0])]).astype(np.int32)
+        return pa.RecordBatch.from_arrays(
+            [
+                part.column(0),
+                pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(columns[0]))),
+                pa.array(columns[1], pa.int64()),
+                pa.array(columns[2], n_best_type),
+                pa.array(columns[3], pa.bool_()),
+            ],
+            ["doc_id", "pieces", "score", "n_best", "round_trip"],
+        )
 
     rows = docs.select(docs[id_column].alias("doc_id"), docs[text_column].cast("string").alias("text"))
     return rows.mapInArrow(

@@ -45,6 +45,28 @@ def test_parts(lattice):
             assert loss == (all_of[0][0] - all_of[1][0] if len(all_of) > 1 else float("inf"))
 
 
+def test_many_parts_at_once(lattice):
+    """The forward and backward pass over many parts gives what the pass over one gives."""
+    rng = random.Random(9)
+    letters = "theaingrionñ🙂x,._1▁²é漢\x00A"
+    parts = {"".join(rng.choice(letters) for _ in range(rng.choice([1, 2, 5, 9, 30, 64]))) for _ in range(800)}
+    parts |= {"_" * 12, "." * 31, "x", "\U0010ffff", "\n"} | {p for t in samples(8, 200) for p in lattice.parts_of(t)}
+    parts = sorted(parts)
+    for part, (ids, score, loss) in zip(parts, lattice.first_of_many(parts)):
+        best = lattice.first(part)
+        assert (tuple(memoryview(ids).cast("i")), score, loss) == best
+
+
+def test_what_is_remembered_is_bounded(lattice, monkeypatch):
+    monkeypatch.setattr(pieces, "REMEMBERED_BYTES", 20_000)
+    known = pieces._Parts(lattice)
+    for k in range(300):
+        parts = {pieces.SPACE + f"w{k}x{j}" for j in range(10)} | {pieces.SPACE + "the"}
+        known.learn(parts)
+        assert all(known[p][:2] == pieces._Parts(lattice)[p][:2] for p in parts)
+        assert len(known) + len(known.old) < 200
+
+
 def test_no_piece_crosses_parts(lattice):
     """The whole text as one lattice has the same best scores as its parts."""
     for text in samples(2, 60):
