@@ -14,6 +14,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +28,7 @@ from statuspulse.llm.graph import components, local_stars
 #: Generator polynomial of the binary Golay code of length 23 (fixed value).
 GOLAY = 0b101011100011
 LENGTH, RADIUS, CHECKS = 23, 3, 11
+LOW_BITS = 12
 #: Pairs compared at a time inside a task.
 PAIRS = 2_000_000
 #: Rows of an output batch.
@@ -43,27 +45,31 @@ def _syndromes(words: np.ndarray) -> np.ndarray:
 @lru_cache
 def _cosets(extra: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """By bits beyond the covering radius: patterns sorted by syndrome, and each syndrome's range."""
-    every = np.arange(1 << LENGTH, dtype=np.uint32)
-    weight = np.bitwise_count(every)
     out = []
     for more in range(extra + 1):
-        patterns = every[weight <= RADIUS] if more == 0 else every[weight == RADIUS + more]
+        weights = range(RADIUS + 1) if more == 0 else [RADIUS + more]
+        places = [p for weight in weights for p in combinations(range(LENGTH), weight)]
+        patterns = np.sort(np.array([sum(1 << bit for bit in p) for p in places], np.int64))
         syndrome = _syndromes(patterns)
         order = np.argsort(syndrome, kind="stable")
         counts = np.bincount(syndrome, minlength=1 << CHECKS)
-        out.append((patterns[order].astype(np.int64), np.cumsum(counts) - counts, counts))
+        out.append((patterns[order], np.cumsum(counts) - counts, counts))
     return out
 
 
 @lru_cache
-def _syndrome_table() -> np.ndarray:
-    return _syndromes(np.arange(1 << LENGTH)).astype(np.int16)
+def _syndrome_tables() -> tuple[np.ndarray, np.ndarray]:
+    """Of the low and of the high bits of a block; a syndrome is linear, so theirs are combined by xor."""
+    low = np.arange(1 << LOW_BITS)
+    high = np.arange(1 << (LENGTH - LOW_BITS)) << LOW_BITS
+    return _syndromes(low), _syndromes(high)
 
 
 def _expand(rows: np.ndarray, blocks: np.ndarray, coset) -> tuple[np.ndarray, np.ndarray]:
     """(row, codeword) for all patterns of each block's coset."""
     patterns, first, counts = coset
-    syndrome = _syndrome_table()[blocks]
+    low, high = _syndrome_tables()
+    syndrome = low[blocks & (1 << LOW_BITS) - 1] ^ high[blocks >> LOW_BITS]
     many = counts[syndrome]
     owner = np.repeat(np.arange(len(rows)), many)
     nth = np.arange(len(owner)) - np.repeat(np.cumsum(many) - many, many)
