@@ -12,12 +12,15 @@ references of a corpus grow with it and have no bound that would allow a broadca
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from statuspulse.llm import kernel, repeats
+from statuspulse.llm.common import free_name
 
 
 class Automaton:
@@ -128,6 +131,34 @@ def _finish(data: np.ndarray, offsets: np.ndarray, gone: np.ndarray, bounds: np.
     }
 
 
+def _finish_text(data: np.ndarray, offsets: np.ndarray, gone: np.ndarray, bounds: np.ndarray, extra) -> dict:
+    """What is left of the text itself.  A removed run of words takes the space after it along, and
+    the one before it at the end of the text."""
+    starts, ends = extra
+    total = np.concatenate([[0], np.cumsum(gone)])
+    first = np.zeros(len(starts), bool)
+    first[bounds[:-1][np.diff(bounds) > 0]] = True
+    last = np.append(first[1:], True)[: len(starts)]
+    kept_at = np.where(gone, -1, np.arange(len(starts)))
+    owner = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+    last_kept = np.full(len(bounds) - 1, -1, np.int64)
+    np.maximum.at(last_kept, owner, kept_at)
+    at_end = np.arange(len(starts)) > last_kept[owner]
+    begin = np.where(at_end & ~first, np.concatenate([[0], ends[:-1]])[: len(starts)], starts)
+    stop = np.where(at_end | last, ends, np.append(starts[1:], 0)[: len(starts)])
+    cut = np.zeros(len(data) + 1, np.int32)
+    np.add.at(cut, begin[gone], 1)
+    np.add.at(cut, stop[gone], -1)
+    left = np.cumsum(cut[:-1]) == 0
+    ends_left = np.concatenate([[0], np.cumsum(left)])[offsets]
+    kept = data[left].tobytes()
+    return {
+        "n_words": pa.array(np.diff(bounds)),
+        "n_removed": pa.array(np.diff(total[bounds])),
+        "kept": pa.array([kept[a:b] for a, b in zip(ends_left[:-1], ends_left[1:])], pa.binary()).cast(pa.string()),
+    }
+
+
 def remove_repeats(
     docs: DataFrame,
     id_column: str = "doc_id",
@@ -152,13 +183,20 @@ def cleaned(
     length: int = 13,
     heavy: int = 64,
 ) -> DataFrame:
-    """``docs`` with the text replaced by what ``remove_repeats`` keeps of it; all else as it was."""
+    """``docs`` without the words that ``remove_repeats`` removes; all else as it was.
+
+    A text nothing is removed of stays as it is, null too; of others the removed runs of words are
+    cut, with the space after them (before them at the end of the text), and line breaks, tabs and
+    repeated spaces elsewhere stay.
+    """
     others = tuple(c for c in docs.columns if c != text_column)
-    done = repeats.mark(docs, id_column, text_column, _unit(length, heavy), carried=others)
-    place = {c: k for k, c in enumerate(others)}
-    return done.select(
-        *((F.col("kept") if c == text_column else F.col(f"rest.c{place[c]}")).alias(c) for c in docs.columns)
-    )
+    empty = free_name(docs, "no_text")
+    marked = docs.withColumn(empty, docs[text_column].isNull())
+    unit = replace(_unit(length, heavy), finish=_finish_text)
+    done = repeats.mark(marked, id_column, text_column, unit, carried=(*others, empty))
+    place = {c: F.col(f"rest.c{k}") for k, c in enumerate((*others, empty))}
+    text = F.when(~place[empty], F.col("kept"))
+    return done.select(*((text if c == text_column else place[c]).alias(c) for c in docs.columns))
 
 
 def _unit(length: int, heavy: int) -> repeats.Unit:

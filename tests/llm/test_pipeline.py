@@ -69,14 +69,14 @@ def test_contract():
     assert [n for n in entry.queries() if n.startswith("op")] == sorted(
         (n for n in entry.queries() if n.startswith("op")), key=lambda n: int(n[2:].split("_")[0])
     )
-    assert {int(n[2:].split("_")[0]) for n in entry.queries() if n.startswith("op")} == set(range(1, 11))
+    assert {int(n[2:].split("_")[0]) for n in entry.queries() if n.startswith("op")} == set(range(1, 14))
 
 
 @pytest.mark.parametrize("name", [n for n in entry.queries() if n.startswith("op")])
 def test_registered_query_runs_over_the_whole_table(spark, name):
     found = entry.queries()[name](spark, SF_DIR)
-    table = "embeddings" if name.startswith("op1_") else "documents"
-    if name.startswith("op9_"):
+    table = {"op1_": "embeddings", "op12": "pages"}.get(name[:4], "documents")
+    if name.startswith(("op9_", "op13_")):
         assert found.count() > 0
     else:
         assert found.count() == spark.read.parquet(f"{SF_DIR}/{table}.parquet").count()

@@ -149,3 +149,53 @@ def test_blocks_hold_even_bytes(spark):
     sizes = [r[1] for r in dealt.selectExpr("block", "octet_length(text) AS size").groupBy("block").sum("size").collect()]
     assert sum(sizes) == sum(len(t) for _, t in rows)
     assert max(sizes) <= 3 * 60_000
+
+
+def left_of(text, gone):
+    """The text without the words flagged: cut with the space after, or at the end of the text before."""
+    words = list(re.finditer(r"[^\x20\x09-\x0D]+", text))
+    out, at, k = "", 0, 0
+    while k < len(words):
+        if not gone[k]:
+            k += 1
+            continue
+        end = k
+        while end < len(words) and gone[end]:
+            end += 1
+        if end < len(words):
+            out, at = out + text[at : words[k].start()], words[end].start()
+        else:
+            out, at = out + text[at : words[k - 1].end() if k else words[k].start()], words[-1].end()
+        k = end
+    return out + text[at:]
+
+
+def test_cleaned_keeps_layout(spark):
+    rng = random.Random(21)
+    passage = [f"p{k}" for k in range(30)]
+    space = lambda: rng.choice([" ", "  ", "\n", "\t", " \r\n", "\x0b"])
+    rows = []
+    for k in range(60):
+        own = [f"é{rng.randrange(10**6)}" for _ in range(rng.randrange(0, 20))]
+        cut = rng.randrange(len(own) + 1)
+        shared = passage[rng.randrange(10) : rng.randrange(15, 30)] if k % 3 else []
+        words = own[:cut] + shared + own[cut:] + (passage if k % 7 == 0 else [])
+        rows.append((k, rng.choice(["", "\n "]) + "".join(w + space() for w in words)))
+    rows += [(100, None), (101, ""), (102, " \n"), (103, "a\tb\n\nc"), (104, " ".join(passage)), (105, "\n" + "\n".join(passage) + "\n")]
+    docs = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, no_text string")
+    found = substrings.cleaned(docs)
+    assert found.columns == docs.columns
+    words = {i: re.findall(r"[^\x20\x09-\x0D]+", t or "") for i, t in rows}
+    first = {}
+    for i, ws in sorted(words.items()):
+        for k in range(len(ws) - 12):
+            first.setdefault(tuple(ws[k : k + 13]), i)
+    want = {}
+    for i, t in rows:
+        gone = [False] * len(words[i])
+        for k in range(len(gone) - 12):
+            if first[tuple(words[i][k : k + 13])] < i:
+                gone[k : k + 13] = [True] * 13
+        want[i] = t if t is None else left_of(t, gone)
+    assert {r.doc_id: r.text for r in found.collect()} == want
+    assert want[103] == rows[63][1] and want[104] == "" and any("\t" in (t or "") for t in want.values())
