@@ -31,6 +31,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from statuspulse.llm import kernel
+
 SPACE = "▁"
 #: Cuts of a text; a model is read with the first that no piece of it crosses.
 CUTS = (
@@ -40,9 +42,11 @@ CUTS = (
 #: Longer parts are searched in arrays, which take few bytes per position, with the same results.
 LONG = 400
 #: Parts a task remembers: two generations of about so many bytes.
-REMEMBERED_BYTES = 24 << 20
+REMEMBERED_BYTES = 32 << 20
+#: What a part takes up there: text, ids and score of at most ``TOGETHER`` characters, most of them far less.
+ENTRY_BYTES = 450
 #: Parts up to this length are remembered and searched together, so many at a time.
-TOGETHER, AT_ONCE = 64, 4096
+TOGETHER, AT_ONCE = 64, 8192
 #: Texts that are cut before their parts are looked up.
 TEXTS = 256
 _NONE = -(1 << 60)
@@ -246,20 +250,24 @@ class Pieces:
             at = came[at, column]
         ids = np.ascontiguousarray(np.array(back[::-1], np.int32).T)
         in_bytes = ((ids < 0) & (np.arange(len(back)) >= len(back) - count[:, None])).any(axis=1)
+        special = (unclear | in_bytes).tolist()
+        packed, width = ids.tobytes(), 4 * len(back)
+        begin = (width * (column + 1) - 4 * count).tolist()
         found: list = [None] * many
-        for row, k in enumerate(order):
-            if unclear[row]:
-                best, score, lost = self.first(parts[k])
-                found[k] = struct.pack(f"{len(best)}i", *best), score, lost
-                continue
-            own = ids[row, len(back) - count[row] :]
-            if in_bytes[row]:
-                best = [x for i in own.tolist() for x in ([i] if i >= 0 else [self.byte[b] for b in chr(-1 - i).encode()])]
-                own = np.array(best, np.int32)
-            lost = int(loss[row])
-            found[k] = own.tobytes(), int(whole[row]), lost if lost < -_NONE else math.inf
+        for row, (k, a, score, lost) in enumerate(zip(order, begin, whole.tolist(), loss.tolist())):
+            found[k] = packed[a : width * (row + 1)], score, lost if lost < -_NONE else math.inf
+            if special[row]:
+                found[k] = self._special(parts[k], found[k], unclear[row])
         return found
 
+    def _special(self, part: str, found: tuple[bytes, int, float], unclear: bool) -> tuple[bytes, int, float]:
+        """Of equal segmentations the one searched for; characters without a piece as byte pieces."""
+        if unclear:
+            best, score, loss = self.first(part)
+            return struct.pack(f"{len(best)}i", *best), score, loss
+        best = [x for i in memoryview(found[0]).cast("i") for x in ([i] if i >= 0 else [self.byte[b] for b in chr(-1 - i).encode()])]
+        return struct.pack(f"{len(best)}i", *best), *found[1:]
+
     def best(self, text: str, n: int) -> list[tuple[int, tuple[int, ...]]]:
         """The ``n`` best (score, ids) of a part, best first."""
         if not text:
@@ -374,25 +382,28 @@ class _Parts(dict):
             self.old = dict(self)
             self.clear()
             self.size = 0
-        old = self.old
-        unseen = [p for p in parts if p not in self and p not in old and len(p) <= TOGETHER]
+        old, unseen = self.old, []
+        for part in parts:
+            if part not in self:
+                value = old.get(part)
+                if value is not None:
+                    self[part] = value
+                elif len(part) <= TOGETHER:
+                    unseen.append(part)
+        before = len(self)
         unseen.sort(key=len)  # those of like length together
         for k in range(0, len(unseen), AT_ONCE):
             some = unseen[k : k + AT_ONCE]
             for part, found in zip(some, self.pieces.first_of_many(some)):
-                self._keep(part, (*found, part))
-
-    def _keep(self, part: str, value: tuple) -> None:
-        self[part] = value
-        self.size += 400 + 4 * len(part) + len(value[0])
+                self[part] = (*found, part)
+        self.size += ENTRY_BYTES * (len(self) - before)
 
     def __missing__(self, part: str):
-        value = self.old.get(part)
-        if value is None:
-            ids, score, loss = self.pieces.first(part)
-            value = (struct.pack(f"{len(ids)}i", *ids), score, loss, part)
+        ids, score, loss = self.pieces.first(part)
+        value = (struct.pack(f"{len(ids)}i", *ids), score, loss, part)
         if len(part) <= TOGETHER:
-            self._keep(part, value)
+            self[part] = value
+            self.size += ENTRY_BYTES
         return value
 
 
@@ -459,6 +470,7 @@ def encode(
     edit = pa.struct([("at", pa.int32()), ("instead_of", pa.int32()), ("ids", pa.list_(pa.int32()))])
     n_best_type = pa.list_(pa.struct([("score", pa.int64()), ("changed", pa.int32()), ("edits", pa.list_(edit))]))
 
+    @kernel.giving_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         collecting = gc.isenabled()
         gc.disable()  # what is remembered holds no cycles, and scanning it again and again is slow
