@@ -8,8 +8,10 @@ equal hashes as equal; the suffix sort verifies the symbols.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from functools import lru_cache
+import ctypes
+from collections.abc import Callable, Iterator
+from functools import lru_cache, wraps
+from inspect import isgeneratorfunction, signature
 
 import numpy as np
 import pyarrow as pa
@@ -74,6 +76,49 @@ def byte_symbols(data: np.ndarray) -> np.ndarray:
     return _byte_symbols()[data]
 
 
+def give_back() -> None:
+    """Hand memory that is free back to the system.
+
+    A Python worker serves one task after another and else keeps what it needed at its worst,
+    beside workers that by then need as much for another operator.
+    """
+    _powers.cache_clear()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # not this C library: what is free stays with the worker
+        pass
+
+
+def giving_back(run: Callable) -> Callable:
+    """``run``, a task's generator or function of one or two tables, handing memory back when it is done."""
+
+    @wraps(run)
+    def each(batches):
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    @wraps(run)
+    def one(table):
+        try:
+            return run(table)
+        finally:
+            give_back()
+
+    @wraps(run)
+    def two(table, other):
+        try:
+            return run(table, other)
+        finally:
+            give_back()
+
+    if isgeneratorfunction(run):
+        return each
+    return one if len(signature(run).parameters) == 1 else two
+
+
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes and the row offsets of a string column; a null is an empty text."""
     if isinstance(column, pa.ChunkedArray):

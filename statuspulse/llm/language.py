@@ -77,6 +77,7 @@ class TextModel:
                 for k in range(n):
                     out[first : first + rows, k] = np.bincount(row, table[k][cell], minlength=rows) * weight
             ends = np.arange(0, (len(texts) + 1) * n, n, dtype=np.int32)[: len(texts) + 1]
+            kernel.give_back()
             return pa.ListArray.from_arrays(pa.array(ends), pa.array(out.ravel()))
 
         return log_likelihood
@@ -96,6 +97,7 @@ def train(docs: DataFrame, text: Column, declared: Column) -> TextModel:
     rows = docs.select(declared.alias("lang"), text.alias("text")).where("lang IS NOT NULL")
     cells = 1 << BITS
 
+    @kernel.giving_back
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             coded = batch.column(0).dictionary_encode()

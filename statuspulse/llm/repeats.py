@@ -243,6 +243,7 @@ def _cells(keys: np.ndarray, n: int) -> list[tuple[int, slice]]:
 
 
 def _summaries(unit: Unit, n: int):
+    @kernel.giving_back
     def run(table: pa.Table) -> pa.Table:
         number = table.column("block")[0].as_py()
         anchor, segment, several, heavy, _ = _listed(_scan(table, unit), unit.heavy)
@@ -336,6 +337,7 @@ def _windows(block: _Block, table: pa.Table, verdict: np.ndarray, unit: Unit) ->
 
 
 def _contents(unit: Unit, n: int):
+    @kernel.giving_back
     def run(table: pa.Table, replies: pa.Table) -> pa.Table:
         if not table.num_rows or not replies.num_rows:
             return _packs([])
@@ -395,6 +397,7 @@ def _shards(keys: np.ndarray, sizes: np.ndarray) -> list[slice]:
 
 
 def _matches(unit: Unit):
+    @kernel.giving_back
     def run(table: pa.Table) -> pa.Table:
         def joined(name, kind):
             return np.frombuffer(b"".join(x.as_py() for x in table.column(name)), kind)
@@ -446,6 +449,7 @@ def _covered(block: _Block, single: _Windows, verdict: np.ndarray, replies: pa.T
 
 
 def _finish(unit: Unit):
+    @kernel.giving_back
     def run(table: pa.Table, replies: pa.Table) -> pa.Table:
         block = _scan(table, unit)
         if replies.num_rows:

@@ -112,6 +112,7 @@ def fingerprint(text: Column, shingle: int) -> Column:
             hashes = kernel.xxh64(joined, begin[first], finish[last])
             cuts = np.concatenate([[0], np.cumsum(many)])
             prints[row : row + len(counts)] = kernel.majority_bits(hashes, cuts)
+        kernel.give_back()
         return pa.array(prints.view(np.int64))
 
     return of(text.cast("string"))
@@ -194,6 +195,7 @@ def _near_many(prints: np.ndarray, max_bits: int):
 def _edges(points: DataFrame, max_bits: int) -> DataFrame:
     """Star edges (a, b) between linked fingerprints, from the distinct ``fp`` of ``points``."""
 
+    @kernel.giving_back
     def replicate(batches):
         for batch in batches:
             every = batch.column(0).to_numpy().view(np.uint64)
@@ -212,6 +214,7 @@ def _edges(points: DataFrame, max_bits: int) -> DataFrame:
                             ["anchor", "fp", "home"],
                         )
 
+    @kernel.giving_back
     def compare(batches):
         kept = [np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, bool)]
 
