@@ -472,10 +472,9 @@ def encode(
 
     @kernel.giving_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        collecting = gc.isenabled()
+        collecting, known = gc.isenabled(), _Parts(load(model_file))
         gc.disable()  # what is remembered holds no cycles, and scanning it again and again is slow
         try:
-            known = _Parts(load(model_file))
             for batch in batches:
                 # a few texts at a time bound the memory, whatever their lengths
                 at = 0
@@ -487,6 +486,8 @@ def encode(
                     yield segmented(batch.slice(at, end - at), known)
                     at = end
         finally:
+            del known
+            load.cache_clear()
             if collecting:
                 gc.enable()
 
