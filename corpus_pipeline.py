@@ -20,8 +20,18 @@ from workload.adapter import ensure_shared_folder
 ORACLE_SQL = None
 
 
+#: Rows are whole texts: what Spark hands to a Python worker at a time is bounded in bytes, as by
+#: default 10,000 rows are held in the JVM's and in the worker's memory, whatever their lengths.
+BATCH_BYTES = 4 << 20
+
+
+def _bound_batches(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language keep their place; lang becomes the identified language."""
+    _bound_batches(spark)
     found, name = language.of_documents(docs)
     lang = F.coalesce(F.col(name["lang"]), docs["lang"].cast("string"))
     columns = [lang.alias(c) if c == "lang" else column(c) for c in docs.columns]
@@ -30,11 +40,13 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of the least id of each group of near copies."""
+    _bound_batches(spark)
     return simhash.representatives(docs)
 
 
 def remove_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the passages that an earlier document has; n_chars follows."""
+    _bound_batches(spark)
     left = substrings.cleaned(docs)
     if "n_chars" in docs.columns:
         left = left.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
@@ -48,6 +60,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def segment(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, pieces, score, n_best, round_trip of each document taken."""
+    _bound_batches(spark)
     return pieces.encode(docs, public_tokenizers.path("piece_bpe_32k.model"))
 
 
