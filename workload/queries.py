@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from statuspulse.functions import codes, text, time
-from statuspulse.operators import alerts, forecast, lookahead, slots, status, transitions, windows
+from statuspulse.operators import alerts, forecast, lookahead, registry, slots, status, transitions, trees, windows
 from statuspulse import schemas
 from statuspulse.params import STATUSES
 from statuspulse.plans import live, refresh
@@ -428,6 +428,52 @@ def outlet_status_forest(spark, sf_dir):
     )
 
 
+def forest_by_joins(spark, sf_dir):
+    """The fleet's forest as a table of nodes; the walk through it against the model itself."""
+    table = materialise(fleet_counts(spark, sf_dir), "fleet_counts")
+    small = replace(SETTINGS, forest_trees=8, forest_depth=6)
+    model = forecast.train_forest(forecast.training_rows(table), settings=small)
+    nodes = trees.save_nodes(model, shared_path(spark, "forest"))
+    fleet = table.agg(F.count("*").alias("slots"))
+    grid = forecast.training_rows(forecast.week_grid(fleet, settings=SETTINGS).withColumn("avail_count", F.lit(0)))
+    rows = materialise(forecast.assemble(grid).select("dow", "hour", "slot", "features"), "grid")
+    key = ["dow", "hour", "slot"]
+    own = model.transform(rows).select(*key, F.col("prediction").alias("p"), vector_to_array("probability").alias("q"))
+    found = trees.walk(rows, nodes, key=key).join(own, key)
+    return found.select(
+        *key,
+        (F.col("prediction") == F.col("p")).alias("same_prediction"),
+        (F.col("probability") == F.col("q")).alias("same_probability"),
+    )
+
+
+def outlet_registry(spark, sf_dir):
+    """Models of text ids, saved in two versions; the newest is loaded and scores every outlet's week."""
+    root = shared_path(spark, "models")
+    small = replace(SETTINGS, forest_trees=5, forest_depth=6)
+    rows = alerts.with_status_codes(condensed(spark, sf_dir)).withColumns(
+        {
+            "device_id": F.format_string("station-%d", "device_id"),
+            "outlet_id": F.format_string("outlet_%d", "outlet_id"),
+        }
+    )
+    rows = materialise(rows, "outlet_rows")
+    seen = rows.count()
+    for trained_at, some in ((datetime(2024, 1, 30), rows.where("hour < 12")), (AS_OF, rows)):
+        model = registry.train(some, settings=small)
+        registry.save(model, spark, root, trained_at=trained_at, readings=seen)
+    newest = registry.load(spark, root)
+    outlets = rows.select("device_id", "outlet_id").distinct()
+    grid = forecast.week_grid(outlets, settings=SETTINGS)
+    key = ["device_id", "outlet_id", "dow", "hour", "slot"]
+    shares = ["prob_unknown", "prob_available", "prob_in_use"]
+    before = registry.score(model, grid).select(*key, *(F.col(c).alias(f"own_{c}") for c in shares))
+    scored = registry.score(newest, grid).join(before, key)
+    total = F.col("prob_unknown") + F.col("prob_available") + F.col("prob_in_use")
+    same = F.array(*shares) == F.array(*(f"own_{c}" for c in shares))
+    return scored.select(*key, (F.abs(total - 1) < 1e-9).alias("shares_of_one"), same.alias("as_saved"))
+
+
 def bayes_holdout_accuracy(spark, sf_dir):
     """Trained on 60 % of the outlets' hours, by a remainder, tested on the rest."""
     key = F.col("device_id") * 7 + F.col("outlet_id") * 3 + F.col("hour") * 11 + F.dayofmonth("slot_date") * 13
@@ -873,7 +919,8 @@ REGISTERED = {
         # forecast and models
         week_grid, weekly_profile_forecast, weekly_peak_forecast, slot_forecast_ordinals,
         history_row_ordinals, training_vectors, rf_week_forecast, nb_status_classifier,
-        outlet_status_forest, bayes_holdout_accuracy, bayes_date_holdout, model_refresh,
+        outlet_status_forest, forest_by_joins, outlet_registry, bayes_holdout_accuracy,
+        bayes_date_holdout, model_refresh,
         # windows and insights
         availability_windows, availability_windows_low, availability_windows_toggle,
         availability_windows_hysteresis, fleet_availability_windows, window_schedule_utc,
