@@ -72,6 +72,7 @@ class Settings:
     # history
     train_days: int = 7
     ledger_expire_days: int = 7
+    collect_days: int = 1  # how late a reading is collected at most, where there is no zone map
     # forest
     forest_trees: int = 100
     forest_depth: int = 30

@@ -3,6 +3,7 @@
 Tables below ``root``:
 
     raw/           readings of the archives, partitioned by folder date
+    raw_zones/     which folder dates hold readings of which times (``sources.zones``)
     archive_log/   every archive and what was wrong with it, partitioned by folder date
     readings/      condensed readings, partitioned by slot_date
     ledger/        days done, with the time they were done
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 from statuspulse.operators import forecast, slots, windows
 from statuspulse.params import DEFAULTS, OUTLET_CODES, Settings, clock_minutes
 from statuspulse.session import materialise
-from statuspulse.sources import archives, history, tables
+from statuspulse.sources import archives, history, tables, zones
 
 LEDGER = "slot_date date, done_at timestamp_ntz"
 
@@ -36,6 +37,7 @@ def compact_archives(
     root: str,
     *,
     days: Sequence[date],
+    as_of: datetime,
     site: Column | None = None,
     outlets: Sequence[str] | None = tuple(OUTLET_CODES),
 ) -> None:
@@ -43,7 +45,8 @@ def compact_archives(
 
     Each archive is unzipped once: the parsed documents are written before they are split.
     The log has a row for every archive; those with an error are the quarantine.  Running a
-    day again replaces it.
+    day again replaces it.  The zone map follows the readings, and the log is written last: a
+    run that failed half-way is repeated.
     """
     parsed = archives.parse_archives(
         archives.read_archives(spark, archive_root, days=days), outlets=outlets
@@ -55,6 +58,8 @@ def compact_archives(
     ):
         dated = archives.with_path_parts(rows).drop("station")
         tables.write_days(dated, f"{root}/{name}", date="dir_date")
+        if name == "raw":
+            zones.write_zones(spark, root, days=days, written_at=as_of)
 
 
 def ingest_archives(
@@ -67,19 +72,25 @@ def ingest_archives(
     site: Column | None = None,
     outlets: Sequence[str] | None = tuple(OUTLET_CODES),
 ) -> list[date]:
-    """Compact the date folders of the look-back that are complete and not compacted yet.
+    """Compact the date folders of the look-back that are complete and have archives not compacted yet.
 
-    The newest folder may still be filling and is left out.  What the log has a partition for
-    is done.  Returns the days compacted; ``ingest_days`` on ``root/raw`` goes on from there.
+    The newest folder may still be filling and is left out.  Archives are listed, not opened, to
+    compare them with the log; one that came late opens its folder again.  Returns the days
+    compacted; ``ingest_days`` on ``root/raw`` goes on from there.
     """
     folders = archives.archive_days(spark, archive_root)
     first = (as_of - timedelta(days=settings.train_days)).date()
     wanted = [day for day in folders if first < day <= as_of.date()][:-1]
+    if not wanted:
+        return []
     log = tables.read_or_empty(spark, f"{root}/archive_log", "path string, dir_date date")
-    done = {row[0] for row in log.select("dir_date").distinct().collect()}
-    todo = [day for day in wanted if day not in done]
+    listed = archives.with_path_parts(archives.read_archives(spark, archive_root, days=wanted).select("path"))
+    new = listed.join(log.where(F.col("dir_date").isin(wanted)).select("path"), "path", "left_anti")
+    todo = sorted(row[0] for row in new.select("dir_date").distinct().collect())
     if todo:
-        compact_archives(spark, archive_root, root, days=todo, site=site, outlets=outlets)
+        compact_archives(
+            spark, archive_root, root, days=todo, as_of=as_of, site=site, outlets=outlets
+        )
     return todo
 
 
@@ -91,11 +102,16 @@ def ingest_days(
     as_of: datetime,
     settings: Settings = DEFAULTS,
     rebuild: bool = False,
+    mapped: DataFrame | None = None,
 ) -> bool:
     """Condense the days that are complete and not done yet; False when there are none.
 
     With a ledger that is missing or too old, all complete days of the look-back are condensed
     again.  A day that is condensed replaces itself; older days stay as they are.
+
+    ``mapped`` is the zone map of the readings (``zones.read_zones``): the days there are come from
+    it instead of the readings, only folders that hold a wanted day are read, and a day that was
+    done and has got readings since, however late, is condensed again.
     """
     ledger = tables.read_or_empty(spark, f"{root}/ledger", LEDGER)
     created = ledger.agg(F.min("done_at")).first()[0]
@@ -103,17 +119,23 @@ def ingest_days(
     if fresh:
         ledger = spark.createDataFrame([], LEDGER)
 
-    recent = history.readings_within(readings, as_of=as_of, settings=settings)
-    dated = slots.with_slots(recent, settings=settings)
+    if mapped is None:
+        recent = history.readings_within(readings, as_of=as_of, settings=settings)
+        dated = slots.with_slots(recent, settings=settings)
+    else:
+        dated = zones.days_of(mapped, settings=settings)
     days = history.new_days(dated, ledger, as_of=as_of, settings=settings)
-    # a handful of dates, at most the look-back: fixed here, so that data arriving meanwhile
-    # changes neither the rows nor the ledger
-    todo = [row[0] for row in days.collect()]
+    if mapped is not None:
+        days = days.unionByName(zones.reopened(mapped, ledger, settings=settings))
+    # a handful of dates, the look-back and what came late: fixed here, so that data arriving
+    # meanwhile changes neither the rows nor the ledger
+    todo = sorted(row[0] for row in days.distinct().collect())
     if not todo:
         return False
 
+    folders = None if mapped is None else zones.folders_of(mapped, todo, settings=settings)
     condensed = slots.condense(
-        history.readings_of_days(readings, todo, settings=settings), settings=settings
+        history.readings_of_days(readings, todo, settings=settings, folders=folders), settings=settings
     )
     tables.write_days(condensed, f"{root}/readings", sort=["site_id", "slot_start"])
     done = spark.createDataFrame([(day, as_of) for day in todo], LEDGER)
@@ -172,13 +194,14 @@ def refresh(
     schedule: str = "default",
     settings: Settings = DEFAULTS,
     force: bool = False,
+    mapped: DataFrame | None = None,
 ) -> bool:
     """The whole refresh; without new days nothing is done unless forced.
 
-    ``force`` also rebuilds the history from the raw readings.
+    ``force`` also rebuilds the history from the raw readings; ``mapped`` is their zone map.
     """
     worked = ingest_days(
-        spark, readings, root, as_of=as_of, settings=settings, rebuild=force
+        spark, readings, root, as_of=as_of, settings=settings, rebuild=force, mapped=mapped
     )
     if not worked and not force:
         return False

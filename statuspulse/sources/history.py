@@ -10,6 +10,7 @@ from zoneinfo import ZoneInfo
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from statuspulse.functions import time
 from statuspulse.params import DEFAULTS, Settings
 
 
@@ -38,25 +39,45 @@ def readings_within(
 
     The bounds are literals on the stored column, so files and row groups are skipped before
     any zone is converted.  A table partitioned by ``dir_date``, the day an archive was
-    collected, is pruned too: a reading is collected within a day of its time.
+    collected, is pruned too: a reading is taken to be collected within ``collect_days`` of its
+    time; ``outside`` tells how many were not.  A reading without a folder day is always read.
     """
     first = (as_of - timedelta(days=settings.train_days)).date() + timedelta(days=1)
     inside = (F.col(ts) >= _midnight(first, settings.zone)) & (F.col(ts) <= _gmt(as_of, settings.zone))
-    return _near_days(readings, first, as_of.date()).where(inside)
+    return _near_days(readings, first, as_of.date(), settings).where(inside)
 
 
-def _near_days(readings: DataFrame, first: date, last: date) -> DataFrame:
-    """Folder days a day wider than the local days, where there are folder days."""
+def _near_days(readings: DataFrame, first: date, last: date, settings: Settings) -> DataFrame:
+    """Folder days ``collect_days`` wider than the local days, where there are folder days."""
     if "dir_date" not in readings.columns:
         return readings
-    wide = timedelta(days=1)
-    return readings.where(F.col("dir_date").between(F.lit(first - wide), F.lit(last + wide)))
+    wide = timedelta(days=settings.collect_days)
+    near = F.col("dir_date").between(F.lit(first - wide), F.lit(last + wide))
+    return readings.where(near | F.col("dir_date").isNull())
+
+
+def outside(readings: DataFrame, *, settings: Settings = DEFAULTS, ts: str = "ts") -> DataFrame:
+    """dir_date, readings: how many were collected later (or earlier) than ``collect_days`` allows.
+
+    Without a zone map these are not found under their own day.
+    """
+    days = F.datediff("dir_date", F.to_date(time.to_local(F.col(ts), settings.zone)))
+    far = readings.where(F.abs(days) > settings.collect_days)
+    return far.groupBy("dir_date").agg(F.count("*").alias("readings"))
 
 
 def readings_of_days(
-    readings: DataFrame, days: Sequence[date], *, settings: Settings = DEFAULTS, ts: str = "ts"
+    readings: DataFrame,
+    days: Sequence[date],
+    *,
+    settings: Settings = DEFAULTS,
+    ts: str = "ts",
+    folders: Sequence[date] | None = None,
 ) -> DataFrame:
-    """Raw GMT readings of the given local days, one literal range per run of days."""
+    """Raw GMT readings of the given local days, one literal range per run of days.
+
+    ``folders`` are the folder days that hold them, where a zone map tells.
+    """
     ordered = sorted(set(days))
     ranges, start = [], ordered[0]
     for day, following in zip(ordered, [*ordered[1:], None], strict=True):
@@ -67,7 +88,11 @@ def readings_of_days(
                 (stored >= _midnight(start, settings.zone)) & (stored < _midnight(after, settings.zone))
             )
             start = following
-    return _near_days(readings, ordered[0], ordered[-1]).where(reduce(lambda a, b: a | b, ranges))
+    inside = reduce(lambda a, b: a | b, ranges)
+    if folders is not None:
+        listed = F.col("dir_date").isin(list(folders)) | F.col("dir_date").isNull()
+        return readings.where(listed).where(inside)
+    return _near_days(readings, ordered[0], ordered[-1], settings).where(inside)
 
 
 def candidate_days(

@@ -3,6 +3,7 @@
 import io
 import json
 import zipfile
+from dataclasses import replace
 from datetime import date, datetime, timedelta
 from pathlib import Path
 
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 from statuspulse.operators import forecast
 from statuspulse.params import Settings
 from statuspulse.plans import refresh
-from statuspulse.sources import archives, history, tables
+from statuspulse.sources import archives, history, tables, zones
 
 
 def _zip(*texts):
@@ -160,6 +161,66 @@ def test_archive_job(spark, tmp_path):
     assert spark.read.parquet(f"{root}/readings").select("slot_date").distinct().count() == 2
 
 
+def test_late_archives_open_their_day_again(spark, tmp_path):
+    """One archive of an old day comes in a folder three days on, one in the old folder itself."""
+    files, root = tmp_path / "files", str(tmp_path / "tables")
+
+    def collect(folder, clock, day=None):
+        file = files / f"2024-05-{folder:02}" / "121403" / f"{clock}.zip"
+        file.parent.mkdir(parents=True, exist_ok=True)
+        file.write_bytes(_zip(_doc(time=f"2024-05-{day or folder:02} {clock}.000")))
+
+    def run(as_of):
+        done = refresh.ingest_archives(spark, str(files), root, as_of=as_of, settings=SETTINGS, site=F.lit(1))
+        mapped = zones.read_zones(spark, root)
+        raw = spark.read.parquet(f"{root}/raw")
+        worked = refresh.ingest_days(spark, raw, root, as_of=as_of, settings=SETTINGS, mapped=mapped)
+        return [d.day for d in done], worked
+
+    def stored():
+        rows = spark.read.parquet(f"{root}/readings")
+        return {r.slot_date.day: r["count"] for r in rows.groupBy("slot_date").count().collect()}
+
+    def written(day):
+        return sorted((f.name, f.stat().st_mtime_ns) for f in (tmp_path / f"tables/readings/slot_date=2024-05-0{day}").iterdir())
+
+    for day in range(1, 6):
+        collect(day, "08:00:00")
+    assert run(datetime(2024, 5, 6, 12)) == ([1, 2, 3, 4], True)
+    assert stored() == {1: 2, 2: 2, 3: 2}
+    first = written(1)
+    assert run(datetime(2024, 5, 6, 13)) == ([], False)
+    collect(5, "09:00:00", day=2)
+    collect(3, "10:00:00")
+    collect(6, "08:00:00")
+    assert run(datetime(2024, 5, 7, 12)) == ([3, 5], True)
+    assert stored() == {1: 2, 2: 4, 3: 4, 4: 2}
+    assert written(1) == first
+    assert run(datetime(2024, 5, 7, 13)) == ([], False)
+
+    mapped, raw = zones.read_zones(spark, root), spark.read.parquet(f"{root}/raw")
+    days = [date(2024, 5, 2)]
+    folders = zones.folders_of(mapped, days, settings=SETTINGS)
+    assert [d.day for d in folders] == [2, 5]
+    read = history.readings_of_days(raw, days, settings=SETTINGS, folders=folders)
+    assert read.count() == 4
+    plan = read._jdf.queryExecution().executedPlan().toString()
+    assert "dir_date" in plan.split("PartitionFilters: [")[1].split("]")[0]
+    # without the map: what lies too far from its day is not found, but counted
+    assert history.readings_of_days(raw, days, settings=SETTINGS).count() == 2
+    assert [tuple(r) for r in history.outside(raw, settings=SETTINGS).collect()] == [(date(2024, 5, 5), 2)]
+    wide = replace(SETTINGS, collect_days=3)
+    assert history.readings_of_days(raw, days, settings=wide).count() == 4
+    assert history.outside(raw, settings=wide).count() == 0
+
+
+def test_readings_without_a_folder_day_are_kept(spark):
+    rows = [(datetime(2024, 5, 2, 9), d) for d in (date(2024, 5, 2), date(2024, 5, 6), None)]
+    raw = spark.createDataFrame(rows, "ts timestamp_ntz, dir_date date")
+    found = history.readings_of_days(raw, [date(2024, 5, 2)], settings=SETTINGS)
+    assert sorted(str(r.dir_date) for r in found.collect()) == ["2024-05-02", "None"]
+
+
 AS_OF = datetime(2024, 5, 10, 12)
 
 
@@ -349,7 +410,7 @@ def test_schedule_replaced_by_nothing(spark, tmp_path):
 def test_compact_archives(spark, archive_root, tmp_path):
     root, day = str(tmp_path / "tables"), date(2017, 10, 6)
     for _ in range(2):  # twice is as good as once
-        refresh.compact_archives(spark, archive_root, root, days=[day], site=F.lit(7))
+        refresh.compact_archives(spark, archive_root, root, days=[day], as_of=datetime(2017, 10, 8), site=F.lit(7))
     raw = spark.read.parquet(f"{root}/raw")
     assert raw.count() == 6
     assert {(r.site_id, r.dir_date) for r in raw.collect()} == {(7, day)}

@@ -647,3 +647,5 @@ SQL["outlet_registry"] = q(condensed(), """
 SELECT 'station-' || device_id AS device_id, 'outlet_' || outlet_id AS outlet_id, CAST(d AS INTEGER) AS dow,
        CAST(h AS INTEGER) AS hour, 0 AS slot, true AS shares_of_one, true AS as_saved
 FROM (SELECT DISTINCT device_id, outlet_id FROM condensed), range(1, 8) a(d), range(24) b(h)""")
+
+SQL["late_readings_ingested"] = SQL["ingested_days"]

@@ -15,7 +15,7 @@ from statuspulse import schemas
 from statuspulse.params import STATUSES
 from statuspulse.plans import live, refresh
 from statuspulse.session import materialise, shared_path
-from statuspulse.sources import archives, history, tables
+from statuspulse.sources import archives, history, tables, zones
 from statuspulse.streaming import backlog, monitor, reorder, slot_stream
 from statuspulse.streaming.run import newest_version, run_available, stream_files
 from workload.adapter import SETTINGS, as_readings, events, readings
@@ -663,6 +663,23 @@ def ingested_days(spark, sf_dir):
     return plain(stored.groupBy("slot_date", "status").agg(F.count("*").alias("readings")))
 
 
+def late_readings_ingested(spark, sf_dir):
+    """As ingested_days, but every 25th reading is in the folder of three days later: the zone map
+    finds it, and opens the days again that were done without it."""
+    root = shared_path(spark, "late_history")
+    late = F.when(F.col("event_id") % 25 == 0, 3).otherwise(0)
+    rows = readings(spark, sf_dir).withColumn("dir_date", F.date_add(F.to_date("ts"), late))
+    first = F.col("dir_date") <= F.lit("2024-01-25").cast("date")
+    for as_of, part in ((datetime(2024, 1, 26, 6), rows.where(first)), (AS_OF, rows.where(~first))):
+        tables.write_days(part, f"{root}/raw", date="dir_date")
+        folders = [row[0] for row in part.select("dir_date").distinct().collect()]
+        zones.write_zones(spark, root, days=folders, written_at=as_of)
+        raw, mapped = spark.read.parquet(f"{root}/raw"), zones.read_zones(spark, root)
+        refresh.ingest_days(spark, raw, root, as_of=as_of, settings=SETTINGS, mapped=mapped)
+    stored = spark.read.parquet(f"{root}/readings")
+    return plain(stored.groupBy("slot_date", "status").agg(F.count("*").alias("readings")))
+
+
 def model_refresh(spark, sf_dir):
     """Ingest, train, predict, find windows, write insights: what was stored, by day of week."""
     root = shared_path(spark, "refresh")
@@ -915,7 +932,7 @@ REGISTERED = {
         slot_over_capacity, latest_status_counts, latest_status_pivot, unknown_status_audit,
         device_ignore, managed_device_readings, holiday_flags,
         # history
-        lookback_complete_days, incremental_new_dates, ingested_days,
+        lookback_complete_days, incremental_new_dates, ingested_days, late_readings_ingested,
         # forecast and models
         week_grid, weekly_profile_forecast, weekly_peak_forecast, slot_forecast_ordinals,
         history_row_ordinals, training_vectors, rf_week_forecast, nb_status_classifier,
