@@ -1,6 +1,8 @@
 """The random-projection forest against all pairs."""
 
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
 from statuspulse.llm import vectors
 from statuspulse.llm.graph import local_stars
@@ -74,3 +76,41 @@ def test_unusable_vectors(spark):
 
 def test_empty_table(spark):
     assert vectors.near_duplicates(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def near_equal(kind, n, dims=24, seed=5):
+    rng = np.random.default_rng(seed)
+    one = rng.standard_normal(dims)
+    if kind == "multiples":
+        return one * rng.uniform(0.1, 9.0, (n, 1))
+    if kind == "bridge":  # two tight clusters about the linking angle apart
+        two = rng.standard_normal(dims)
+        one, two = one / np.linalg.norm(one), two - one * (two @ one) / (one @ one)
+        two = one * 0.93 + two / np.linalg.norm(two) * np.sqrt(1 - 0.93**2)
+        return np.where(np.arange(n)[:, None] % 2 == 0, one, two) + 0.004 * rng.standard_normal((n, dims))
+    return one + float(kind) * rng.standard_normal((n, dims))
+
+
+@pytest.mark.parametrize("kind", ["multiples", "0.04", "bridge"])
+def test_near_equal_vectors_lose_no_link(spark, kind):
+    """Beyond the leaf size, with other vectors around; the links are those of all pairs."""
+    rng = np.random.default_rng(1)
+    rows = np.concatenate([near_equal(kind, 700), rng.standard_normal((200, 24))]).astype(np.float32).astype(float)
+    ids, labels = rng.permutation(len(rows)), np.ones(len(rows), int)
+    want, component = brute(ids, labels, rows)
+    got = {r.vec_id: r for r in vectors.near_duplicates(frame(spark, ids, labels, rows), leaf=64).collect()}
+    links = np.array([got[i].n_links for i in ids.tolist()])
+    assert (links <= want).all() and links.sum() >= 0.99 * want.sum()
+    assert want.max() > 300 and len({got[i].component_id for i in ids.tolist()}) >= len(set(component.tolist()))
+
+
+def test_near_equal_vectors_do_not_multiply(spark):
+    """The forest without the cells before it: ties end a node, and what is near parts as what is far."""
+    for kind in ("multiples", "1e-8"):
+        rows = [(i, v.tolist(), 1) for i, v in enumerate(near_equal(kind, 1200))]
+        points = spark.createDataFrame(rows, "key long, vector array<double>, label int")
+        scratch = vectors.Scratch(spark, "ties")
+        leaves = vectors.forest(points, 3, 100, 0.1, 3, scratch)
+        assert leaves.count() <= 3 * 1200 * 1.24**8
+        cells, of = vectors.contract(points.withColumn("n", F.lit(1).cast("long")), 0.09, 100, 3, scratch)
+        assert cells.count() <= 12 and of.select("key").distinct().count() == 1200
