@@ -204,7 +204,8 @@ def contract(points: DataFrame, widest: float, leaf: int, seed: int, scratch: Sc
         dealt = coded.join(sizes, spot).withColumn(
             "group", F.pmod(F.xxhash64("key", F.lit(turn)), F.col("groups"))
         )
-        groups = dealt.groupBy(*spot, "group")
+        # dealt anew, as the join leaves all of a code in one task
+        groups = dealt.repartition(*spot, "group").groupBy(*spot, "group")
         moved = scratch.keep(groups.applyInArrow(_pivots(widest), "key long, cell long, reach double"))
         scratch.drop(coded)
         drawn = moved.count()
@@ -374,10 +375,11 @@ def near_duplicates(
     )
     sound = F.col("label").isNotNull() & _comparable(F.col("vector"))
     # vectors of one direction are one point; -0.0 is 0.0
-    given_as = F.transform("vector", lambda x: x.cast("double"))
-    top = F.array_max(F.transform(given_as, F.abs))
-    vector = F.transform(given_as, lambda x: x / top + F.lit(0.0))
-    sane = given.where(sound).withColumn("vector", vector)
+    doubles = F.transform("vector", lambda x: x.cast("double"))
+    top = F.greatest(F.array_max(doubles), -F.array_min(doubles))
+    # the one-element array binds the greatest component, which is then computed once a vector
+    vector = F.transform(F.array(top), lambda most: F.transform(doubles, lambda x: x / most + F.lit(0.0)))[0]
+    sane = scratch.keep(given.where(sound).withColumn("vector", vector))
     points = sane.groupBy("label", "vector").agg(F.min("vec_id").alias("least"), F.count(F.lit(1)).alias("n"))
     points = scratch.keep(points.withColumn("key", F.monotonically_increasing_id()))
     cells, of = contract(points, math.acos(least) / 4, leaf, seed, scratch)
