@@ -1,8 +1,9 @@
 """Live monitor: polls in; statistics, predictions and routed alerts out.
 
-Tables below ``root``: ``changes/rows``, ``notices/rows``, ``stats``, ``predictions`` and
-``alerts``, and ``changes/late`` and ``notices/late`` with the polls that came too late; each
-written per micro-batch.
+Tables below ``root``: ``changes/rows`` and ``notices/rows``, and ``changes/late`` and
+``notices/late`` with the polls that came too late, a folder per micro-batch; ``stats``,
+``predictions`` and ``alerts`` are logs of merged runs (``sources.runs``), to be read by
+``current_stats``, ``current_predictions`` and ``routed_alerts``.
 
 Both watchers run on either engine: the keyed state of ``streaming.monitor``, or, ``by_day``, the
 batch operators of ``streaming.backlog``, which cut a site with many polls into days.
@@ -11,6 +12,7 @@ batch operators of ``streaming.backlog``, which cut a site with many polls into
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -19,6 +21,7 @@ from pyspark.sql.streaming import StreamingQuery
 from statuspulse.operators import alerts, lookahead, status, transitions
 from statuspulse.params import DEFAULTS, Settings
 from statuspulse.sources import tables
+from statuspulse.sources.runs import BATCH, RunTable
 from statuspulse.streaming import backlog, monitor
 from statuspulse.streaming.run import write_batches
 
@@ -93,12 +96,12 @@ def watch_changes(
         if not by_day:
             rows = _set_late_aside(rows, f"{root}/changes", batch)
         stats = transitions.current_stats(rows.drop("means"), settings=settings)
-        tables.append_records(stats, f"{root}/stats", batch=batch)
+        _stats(rows.sparkSession, root).append(stats, batch)
         figures = transitions.with_change_figures(
             _with_prediction_lines(rows, settings), settings=settings
         )
         routed = alerts.route(alerts.transition_alerts(figures), settings=settings)
-        tables.append_records(routed, f"{root}/alerts/source=changes", batch=batch)
+        _alerts(rows.sparkSession, root, "changes").append(routed, batch)
 
     if by_day:
         return backlog.watch_changes(polls, f"{root}/changes", settings=settings, poll=poll, each=publish)
@@ -125,9 +128,9 @@ def watch_edges(
             rows = _set_late_aside(rows, f"{root}/notices", batch)
         sites = rows.groupBy("site_id").agg(F.max("ts").alias("ts"))
         record = lookahead.current_prediction(rows, sites).join(sites, "site_id")
-        tables.append_records(record, f"{root}/predictions", batch=batch)
+        _predictions(rows.sparkSession, root).append(record, batch)
         routed = alerts.route(alerts.forecast_alerts(rows), settings=settings)
-        tables.append_records(routed, f"{root}/alerts/source=edges", batch=batch)
+        _alerts(rows.sparkSession, root, "edges").append(routed, batch)
 
     if by_day:
         return backlog.watch_edges(
@@ -143,10 +146,34 @@ def late_polls(spark, root: str, *, of: str = "changes") -> DataFrame:
     return backlog.late_polls(spark, f"{root}/{of}")
 
 
+def _stats(spark, root: str) -> RunTable:
+    return RunTable(spark, f"{root}/stats", keys=("site_id",), order="ts")
+
+
+def _predictions(spark, root: str) -> RunTable:
+    return RunTable(spark, f"{root}/predictions", keys=("site_id",), order="ts")
+
+
+def _alerts(spark, root: str, source: str) -> RunTable:
+    return RunTable(spark, f"{root}/alerts/{source}")
+
+
 def current_stats(spark, root: str) -> DataFrame:
     """One statistics record per site: the last written."""
-    return tables.latest_records(spark, f"{root}/stats", keys=["site_id"], order="ts")
+    return _stats(spark, root).latest()
 
 
 def current_predictions(spark, root: str) -> DataFrame:
-    return tables.latest_records(spark, f"{root}/predictions", keys=["site_id"], order="ts")
+    return _predictions(spark, root).latest()
+
+
+def routed_alerts(spark, root: str) -> DataFrame:
+    """All alerts with their ``source``, ``changes`` or ``edges``: those of the watchers that have run."""
+    found = [
+        log.read().drop(BATCH).withColumn("source", F.lit(source))
+        for source in ("changes", "edges")
+        if (log := _alerts(spark, root, source)).runs()
+    ]
+    if not found:
+        raise FileNotFoundError(f"no alerts in {root}")
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), found)

@@ -210,7 +210,7 @@ def test_live_monitor_tables(spark, counts, polls, tmp_path):
     columns = ["site_id", "predictiontype", "durationstr", "datestr"]
     assert _rows(live.current_predictions(spark, root), *columns) == _rows(expected, *columns)
 
-    alerts = spark.read.parquet(f"{root}/alerts")
+    alerts = live.routed_alerts(spark, root)
     by_channel = {r.channel: r["count"] for r in alerts.groupBy("channel").count().collect()}
     changed = transitions.changes(polls)
     assert by_channel["forecast"] == told.count()

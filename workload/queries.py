@@ -16,6 +16,7 @@ from statuspulse.params import STATUSES
 from statuspulse.plans import live, refresh
 from statuspulse.session import materialise, shared_path
 from statuspulse.sources import archives, history, tables, zones
+from statuspulse.sources.runs import RunTable
 from statuspulse.streaming import backlog, monitor, reorder, slot_stream
 from statuspulse.streaming.run import newest_version, run_available, stream_files
 from workload.adapter import SETTINGS, as_readings, events, readings
@@ -652,6 +653,38 @@ def stats_upsert(spark, sf_dir):
     return plain(latest.select("site_id", "ts", "kind", "avail", "avail_old", "total"))
 
 
+def compacted_records(spark, sf_dir):
+    """As stats_upsert, in eleven batches that are merged by threes into sorted runs."""
+    table = RunTable(spark, shared_path(spark, "runs"), keys=("site_id",), order="ts", fanout=3)
+    changed = materialise(changes(spark, sf_dir), "changes")
+    for batch in range(11):  # days 0 to 2, 3 to 5, ... of the month
+        part = changed.where(F.floor(F.dayofmonth("ts") / 3) == batch)
+        table.append(transitions.current_stats(part, settings=SETTINGS), batch)
+    return plain(table.latest().select("site_id", "ts", "kind", "avail", "avail_old", "total"))
+
+
+def compacted_changes(spark, sf_dir):
+    """All changes of a log without keys, after merges and one batch that came again."""
+    table = RunTable(spark, shared_path(spark, "log"), fanout=2)
+    changed = materialise(changes(spark, sf_dir).select("site_id", "ts", "kind", "avail", "total"), "changes")
+    for batch in (0, 1, 2, 3, 4, 4):
+        table.append(changed.where(F.dayofmonth("ts") % 5 == batch), batch)
+    return plain(table.read().drop("batch"))
+
+
+def busiest_records(spark, sf_dir):
+    """A report of the fifty sites' records with the most outlets."""
+    stats = transitions.current_stats(changes(spark, sf_dir), settings=SETTINGS)
+    return plain(
+        tables.read_records(
+            stats.select("site_id", "ts", "avail", "total"),
+            where=F.col("avail") >= 0,
+            order_by=[F.desc("total"), "site_id"],
+            limit=50,
+        )
+    )
+
+
 def ingested_days(spark, sf_dir):
     """Two ingest runs, the second incremental; readings per stored day and status."""
     root = shared_path(spark, "history")
@@ -908,7 +941,7 @@ def live_alerts(spark, sf_dir, by_day=False):
     ]
     for query in running:
         query.awaitTermination()
-    alerted = spark.read.parquet(f"{root}/alerts")
+    alerted = live.routed_alerts(spark, root)
     fields = F.col("fields")
     return plain(
         alerted.select(
@@ -947,7 +980,8 @@ REGISTERED = {
         current_prediction, routed_alerts, current_stats,
         # archives and sinks
         archive_ingest, archive_quarantine, latest_archive_counts, libsvm_round_trip,
-        json_forecast_round_trip, replaced_schedule, stats_upsert,
+        json_forecast_round_trip, replaced_schedule, stats_upsert, compacted_records,
+        compacted_changes, busiest_records,
         # streams
         stream_window_counts, stream_slot_dedupe, stream_slot_counts, stream_transitions,
         stream_notices, backlog_transitions, backlog_notices, live_snapshot_polls,
