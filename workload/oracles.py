@@ -543,9 +543,9 @@ QUALIFY row_number() OVER (PARTITION BY site_id ORDER BY ts DESC) = 1""")
 SQL["compacted_records"] = SQL["stats_upsert"]
 SQL["compacted_changes"] = q(changes(), f"""
 SELECT site_id, {ts_text('ts')} AS ts, kind, avail, total FROM changes""")
-SQL["busiest_records"] = f"""
-SELECT site_id, ts, avail, total FROM ({SQL["stats_upsert"]}) WHERE avail >= 0
-ORDER BY total DESC, site_id LIMIT 50"""
+SQL["newest_decreases"] = q(changes(), f"""
+SELECT site_id, {ts_text('ts')} AS ts, kind, avail, total FROM changes WHERE kind = 'decreased'
+ORDER BY ts DESC, site_id LIMIT 50""")
 SQL["ingested_days"] = q(condensed(), f"""
 SELECT {DATE_TEXT}, status, count(*) AS readings FROM condensed
 WHERE slot_date BETWEEN DATE '2024-01-20' AND DATE '2024-01-29' GROUP BY ALL""")

@@ -672,16 +672,11 @@ def compacted_changes(spark, sf_dir):
     return plain(table.read().drop("batch"))
 
 
-def busiest_records(spark, sf_dir):
-    """A report of the fifty sites' records with the most outlets."""
-    stats = transitions.current_stats(changes(spark, sf_dir), settings=SETTINGS)
+def newest_decreases(spark, sf_dir):
+    """A report of the fifty newest decreases."""
+    rows = changes(spark, sf_dir).select("site_id", "ts", "kind", "avail", "total")
     return plain(
-        tables.read_records(
-            stats.select("site_id", "ts", "avail", "total"),
-            where=F.col("avail") >= 0,
-            order_by=[F.desc("total"), "site_id"],
-            limit=50,
-        )
+        tables.read_records(rows, where=F.col("kind") == "decreased", order_by=[F.desc("ts"), "site_id"], limit=50)
     )
 
 
@@ -981,7 +976,7 @@ REGISTERED = {
         # archives and sinks
         archive_ingest, archive_quarantine, latest_archive_counts, libsvm_round_trip,
         json_forecast_round_trip, replaced_schedule, stats_upsert, compacted_records,
-        compacted_changes, busiest_records,
+        compacted_changes, newest_decreases,
         # streams
         stream_window_counts, stream_slot_dedupe, stream_slot_counts, stream_transitions,
         stream_notices, backlog_transitions, backlog_notices, live_snapshot_polls,
