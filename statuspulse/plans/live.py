@@ -14,13 +14,13 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from statuspulse.operators import alerts, lookahead, status, transitions
-from statuspulse.params import DEFAULTS, Settings
-from statuspulse.sources import tables
+from statuspulse.params import DEFAULTS, OUTLET_CODES, Settings
+from statuspulse.sources import archives, latest, tables
 from statuspulse.sources.runs import BATCH, RunTable
 from statuspulse.streaming import backlog, monitor
 from statuspulse.streaming.run import write_batches
@@ -63,6 +63,23 @@ def watch_snapshots(readings: DataFrame, root: str, *, poll: str | None = None)
     )
 
 
+def watch_latest(
+    spark: SparkSession,
+    archive_root: str,
+    root: str,
+    *,
+    outlets: Sequence[str] | None = tuple(OUTLET_CODES),
+    site: Column | None = None,
+    poll: str | None = None,
+) -> StreamingQuery:
+    """``watch_snapshots`` over ``latest/<station>.zip``: every replaced archive is a poll.
+
+    A batch opens the archives that were replaced since the one before it, no others.
+    """
+    parsed = archives.parse_archives(latest.stream_latest(spark, archive_root), outlets=outlets)
+    return watch_snapshots(archives.archive_readings(parsed, site=site), root, poll=poll)
+
+
 def _with_prediction_lines(changed: DataFrame, settings: Settings) -> DataFrame:
     """Depletion sentences of a change, joined by line breaks; NULL without any."""
     estimates = transitions.time_to_empty(changed, settings=settings)

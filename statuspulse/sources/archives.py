@@ -81,8 +81,8 @@ def archive_days(spark: SparkSession, root: str) -> list[date]:
 def read_latest(spark: SparkSession, root: str) -> DataFrame:
     """The newest archive of every station, ``latest/<station>.zip``, as it is now.
 
-    The files are replaced in place, so a poll is a batch read per trigger; nothing else below
-    the root is listed or opened.
+    Nothing else below the root is listed or opened.  ``latest.stream_latest`` is the same as a
+    stream, which opens only what was replaced since the last poll.
     """
     folders = _existing(spark, [f"{root}/latest"])
     if not folders:

@@ -1,8 +1,10 @@
 """Streams fed in several batches, and restarted, against the batch operators."""
 
+import hashlib
 import json
 import zipfile
 from dataclasses import replace
+from pathlib import Path
 
 import pytest
 from pyspark.errors import StreamingQueryException
@@ -12,9 +14,9 @@ from statuspulse import schemas
 from statuspulse.operators import lookahead, slots, transitions
 from statuspulse.params import Settings
 from statuspulse.plans import live
-from statuspulse.sources import archives
+from statuspulse.sources import archives, latest
 from statuspulse.streaming import backlog, monitor, reorder, slot_stream
-from statuspulse.streaming.run import newest_version, run_available, stream_files
+from statuspulse.streaming.run import newest_version, run_available, stream_files, write_batches
 from workload import adapter, queries
 
 # dense enough to have windows and notices
@@ -311,3 +313,63 @@ def test_archive_stream_to_statistics(spark, tmp_path):
     assert [(r.kind, r.avail, r.avail_old, r.pct_change_text) for r in stats] == [
         ("went_to_zero", 0, 2, "-100%")
     ]
+
+
+def _latest(root, station, clock, one, two):
+    _archive(Path(root), "stations", station, clock, one, two)
+    Path(root, "latest").mkdir(exist_ok=True)
+    unfinished = Path(root, "latest", f".{station}")
+    unfinished.write_bytes(Path(root, "stations", station, f"{clock}.zip").read_bytes())
+    unfinished.replace(Path(root, "latest", f"{station}.zip"))
+
+
+def _polled(stream, out):
+    """One run over what is there now; the paths and contents of all runs so far."""
+    rows = stream.select(F.regexp_extract("path", r"([^/]+)\.zip$", 1).alias("station"), F.md5("content").alias("sum"))
+    write_batches(rows, out, mode="append").awaitTermination()
+    stored = rows.sparkSession.read.schema("station string, sum string").parquet(f"{out}/rows")
+    return sorted((r.station, r.sum) for r in stored.collect())
+
+
+def test_replaced_files_come_again_and_a_restart_repeats_none(spark, tmp_path):
+    files, out = str(tmp_path / "files"), str(tmp_path / "out")
+    (tmp_path / "files").mkdir()
+    stream = latest.stream_latest(spark, files)  # the folder is not there yet
+    expected = []
+    assert _polled(stream, out) == []
+    for clock, stations in (("08:00:00", "ab"), ("08:01:00", "a"), ("08:02:00", "abc"), ("08:03:00", "")):
+        for station in stations:
+            _latest(files, station, clock, "available", "in_use")
+            content = Path(files, "latest", f"{station}.zip").read_bytes()
+            expected.append((station, hashlib.md5(content).hexdigest()))
+        assert _polled(stream, out) == sorted(expected)
+        assert _polled(stream, out) == sorted(expected)  # nothing was replaced
+    Path(files, "latest", "b.zip").unlink()
+    assert _polled(stream, out) == sorted(expected)
+
+
+def test_a_file_replaced_after_its_listing_is_left_to_the_next(tmp_path):
+    file = tmp_path / "a.zip"
+    reader = latest.ReplacedFilesReader(str(tmp_path), ".zip", 1)
+    assert reader.latestOffset() == reader.initialOffset() == {}
+    file.write_bytes(b"first")
+    listed = reader.latestOffset()
+    assert [b.column(2).to_pylist() for p in reader.partitions({}, listed) for b in reader.read(p)] == [[b"first"]]
+    file.write_bytes(b"second")
+    (tmp_path / "b.zip").write_bytes(b"")
+    assert [b for p in reader.partitions({}, listed) for b in reader.read(p)] == []
+    again = reader.latestOffset()
+    tasks = reader.partitions(listed, again)
+    assert [b.column(2).to_pylist() for p in tasks for b in reader.read(p)] == [[b"second"], [b""]]
+    assert list(reader.partitions(again, again)) == []
+    file.unlink()
+    assert [b.num_rows for p in tasks for b in reader.read(p)] == [1]
+    assert list(reader.partitions(again, reader.latestOffset())) == []
+
+
+def test_put_files_replaces_whole_files(spark, tmp_path):
+    for content in (b"one", b"three"):
+        rows = [("x/a.zip", content), ("b.zip", content * 2), ("c.zip", None), (None, content)]
+        latest.put_files(spark.createDataFrame(rows, "path string, content binary"), f"file:{tmp_path}")
+        found = {str(f.relative_to(tmp_path)): f.read_bytes() for f in tmp_path.rglob("*") if f.is_file()}
+        assert {k: v for k, v in found.items() if not k.endswith(".crc")} == {"x/a.zip": content, "b.zip": content * 2}

@@ -554,6 +554,17 @@ SQL["backlog_notices"] = SQL["stream_notices"]
 SQL["live_snapshot_polls"] = SQL["latest_status_counts"].replace(
     "max(ts)", "date_trunc('millisecond', max(ts))"
 )
+SQL["replaced_latest_polls"] = q(READINGS, f"""
+SELECT batch, site_id, {ts_text("date_trunc('millisecond', max(ts))")} AS ts,
+       count(*) FILTER (WHERE status = 'available') AS avail,
+       count(*) FILTER (WHERE status = 'in_use') AS in_use,
+       count(*) FILTER (WHERE status = 'unknown') AS unknown, count(*) AS total
+FROM (
+  SELECT r.*, batch FROM readings r, range(3) AS batches(batch),
+         (SELECT min(epoch_us(ts)) AS first, max(epoch_us(ts)) AS last FROM readings)
+  WHERE (epoch_us(ts) - first) * 3 // (last - first + 1) <= batch
+  QUALIFY row_number() OVER (PARTITION BY batch, device_id, outlet_id ORDER BY ts DESC, event_id DESC) = 1)
+GROUP BY batch, site_id""").replace("SELECT batch,", "SELECT CAST(batch AS INTEGER) AS batch,", 1)
 SQL["live_current_stats"] = SQL["current_stats"]
 
 

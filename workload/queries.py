@@ -15,7 +15,7 @@ from statuspulse import schemas
 from statuspulse.params import STATUSES
 from statuspulse.plans import live, refresh
 from statuspulse.session import materialise, shared_path
-from statuspulse.sources import archives, history, tables, zones
+from statuspulse.sources import archives, history, latest, tables, zones
 from statuspulse.sources.runs import RunTable
 from statuspulse.streaming import backlog, monitor, reorder, slot_stream
 from statuspulse.streaming.run import newest_version, run_available, stream_files
@@ -909,6 +909,44 @@ def live_snapshot_polls(spark, sf_dir):
     return plain(rows.withColumn("ts", F.col("ts").cast("timestamp_ntz")).drop("batch"))
 
 
+def _station_archives(rows):
+    """Every station's newest reading of each outlet as one archive, ``<device_id>.zip``."""
+    newest = status.latest_readings(rows, keys=["device_id", "outlet_id"])
+    node = F.create_map(
+        F.concat(F.lit("outlet_"), F.col("outlet_id")), F.struct(F.col("status").alias("status"))
+    )
+    summary = F.struct(F.col("device_id").cast("string").alias("device_id"), node.alias("port_status"))
+    snapshot = F.struct(
+        F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSS").alias("time"), F.array(summary).alias("summaries")
+    )
+    # one document an outlet: a station has a bounded number of them
+    per_station = newest.groupBy("device_id").agg(F.sort_array(F.collect_list(F.to_json(snapshot))).alias("_polls"))
+    return archives.pack_archives(
+        per_station.select(
+            F.concat(F.col("device_id"), F.lit(".zip")).alias("path"),
+            F.lit("status.json").alias("entry"),
+            F.concat(F.lit("["), F.array_join("_polls", ","), F.lit("]")).alias("payload"),
+        )
+    )
+
+
+def replaced_latest_polls(spark, sf_dir):
+    """Archives on disk, replaced in place twice: a poll per site after each, none after a restart."""
+    files, root = shared_path(spark, "stations"), shared_path(spark, "polled")
+    rows = readings(spark, sf_dir)
+    first, last = rows.agg(F.min(F.unix_micros(F.col("ts").cast("timestamp"))),
+                           F.max(F.unix_micros(F.col("ts").cast("timestamp")))).first()
+    passed = F.unix_micros(F.col("ts").cast("timestamp")) - F.lit(first)
+    third = F.floor(passed * 3 / F.lit(last - first + 1))
+    site = F.col("device_id").cast("long") % 4
+    for part in (0, 1, 2, None):
+        if part is not None:
+            latest.put_files(_station_archives(rows.where(third == part)), f"{files}/latest")
+        live.watch_latest(spark, files, root, outlets=None, site=site).awaitTermination()
+    polled = spark.read.schema(schemas.POLLS).parquet(f"{root}/polls")
+    return plain(polled.withColumn("ts", F.col("ts").cast("timestamp_ntz")).withColumn("batch", F.col("batch").cast("int")))
+
+
 def live_current_stats(spark, sf_dir):
     """The live monitor's statistics records."""
     root = shared_path(spark, "live")
@@ -980,6 +1018,7 @@ REGISTERED = {
         # streams
         stream_window_counts, stream_slot_dedupe, stream_slot_counts, stream_transitions,
         stream_notices, backlog_transitions, backlog_notices, live_snapshot_polls,
+        replaced_latest_polls,
         live_current_stats, live_alerts, live_alerts_by_day,
         shuffled_stream_transitions, shuffled_backlog_transitions, shuffled_stream_notices,
         shuffled_backlog_notices, late_polls, late_polls_by_day,
