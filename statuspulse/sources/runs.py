@@ -14,7 +14,7 @@ that began before has that many batches to finish.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Callable, Iterable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -48,8 +48,12 @@ class RunTable:
     """Rows below ``root``, which every executor must see.
 
     With ``keys`` a merge keeps the record of every key that has the greatest ``order`` (and of
-    these the latest batch), as ``latest`` does.  Without keys every row stays.  All batches have
+    these the latest batch), as ``latest`` does.  With ``reduce`` a merge keeps what that makes of
+    the rows (sums, say), whose columns keep their types.  Without either every row stays.  All batches have
     the same columns; a batch number that comes again replaces that batch, if none came after it.
+
+    ``append`` is right for consecutive batches.  Where numbers are left out, or a batch must not be
+    merged before something else is written, ``write`` it and ``settle`` later.
     """
 
     spark: SparkSession
@@ -57,6 +61,7 @@ class RunTable:
     keys: Sequence[str] = ()
     order: str | None = None
     fanout: int = 8
+    reduce: Callable[[DataFrame], DataFrame] | None = None
 
     def _path(self, run: Run) -> str:
         return f"{self.root}/level={run[0]}/run={run[1]}"
@@ -94,10 +99,29 @@ class RunTable:
         newest = F.max_by(F.struct(*fields), rank).alias("_newest")
         return rows.groupBy(*self.keys).agg(newest).select(*self.keys, "_newest.*").select(rows.columns)
 
-    def append(self, rows: DataFrame, batch: int) -> None:
-        """Write a batch, then merge the intervals that end with it."""
+    def write(self, rows: DataFrame, batch: int) -> None:
+        """Write a batch and merge nothing."""
         stamped = rows.withColumn(BATCH, F.lit(batch).cast("long"))
         stamped.write.mode("overwrite").parquet(self._path((0, batch)))
+
+    def of(self, batch: int) -> DataFrame:
+        """The rows of a batch that is not merged yet."""
+        return self._rows([(0, batch)]).drop(BATCH)
+
+    def settle(self, batch: int) -> None:
+        """Merge all intervals that end with ``batch`` or before it and are not merged yet."""
+        level = 1
+        while self.fanout**level <= batch + 1:
+            ended = (batch + 1) // self.fanout**level
+            below = [run for run in cover(self.runs(), self.fanout) if run[0] < level]
+            for number in sorted({n // self.fanout ** (level - low) for low, n in below}):
+                if number < ended:
+                    self.merge((level, number))
+            level += 1
+
+    def append(self, rows: DataFrame, batch: int) -> None:
+        """Write a batch, then merge the intervals that end with it."""
+        self.write(rows, batch)
         level = 1
         while (batch + 1) % self.fanout**level == 0:
             self.merge((level, batch // self.fanout**level))
@@ -110,11 +134,14 @@ class RunTable:
             rows = self._rows(cover(inside, self.fanout))
             if self.keys:
                 rows = self._newest(rows).sortWithinPartitions(*self.keys)
+            elif self.reduce:
+                rows = self.reduce(rows).select(*(F.col(c).cast(kind).alias(c) for c, kind in rows.dtypes))
             else:
                 rows = rows.hint("rebalance")
             rows.write.mode("overwrite").parquet(self._path(run))
-        before, known = (run[0], run[1] - 1), self.runs()
-        for old in known if before in known else ():
+        known = self.runs()
+        before = max((r for r in known if r[0] == run[0] and r[1] < run[1]), default=None)
+        for old in known if before else ():
             if old[0] < run[0] and _within(old, before, self.fanout):
                 self._remove(old)
 

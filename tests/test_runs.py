@@ -2,6 +2,7 @@
 
 import pytest
 from pyspark.errors import PySparkException
+from pyspark.sql import functions as F
 
 from statuspulse.sources import runs
 from statuspulse.sources.runs import RunTable
@@ -102,3 +103,27 @@ def test_empty_table(spark, tmp_path):
     assert table.latest(SHAPE).collect() == [] and table.read(SHAPE).columns[-1] == "batch"
     with pytest.raises((FileNotFoundError, PySparkException)):
         table.latest()
+
+
+def test_settling_with_numbers_left_out(spark, tmp_path):
+    table = RunTable(spark, str(tmp_path / "t"), keys=("site_id",), fanout=2)
+    for batch in (1, 4, 6, 9, 12):
+        table.write(_row(spark, batch % 2, batch, f"b{batch}"), batch)
+        if batch != 6:  # a batch that nothing settled after
+            table.settle(batch)
+        assert {r.v for r in table.read().collect()} >= {f"b{batch}"}
+    assert _latest(table) == {0: (12, "b12"), 1: (9, "b9")}
+    assert runs.cover(table.runs(), 2) == [(3, 0), (2, 2), (0, 12)]
+    found = table.runs()
+    table.settle(12)
+    assert table.runs() == found
+
+
+def test_a_merge_of_sums(spark, tmp_path):
+    def summed(rows):
+        return rows.groupBy("site_id").agg(F.sum("ts").alias("ts"), F.max("v").alias("v"), F.max("batch").alias("batch"))
+
+    table = RunTable(spark, str(tmp_path / "t"), fanout=2, reduce=summed)
+    for batch in range(5):
+        table.append(_row(spark, batch % 2, batch, f"b{batch}"), batch)
+    assert sorted(tuple(r) for r in table.read().collect()) == [(0, 2, "b2", 2), (0, 4, "b4", 4), (1, 4, "b3", 3)]
