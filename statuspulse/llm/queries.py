@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import public_tokenizers
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from statuspulse.llm import (
@@ -95,9 +96,14 @@ def op9_rollups(spark, sf_dir):
     English is counted anew with a multilingual vocabulary."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
     digest = (F.xxhash64("text"), F.xxhash64(F.reverse("text")), F.octet_length("text"))
-    keyed = docs.select("doc_id", "lang", *(d.alias(f"d{k}") for k, d in enumerate(digest)))
-    first = keyed.groupBy("d0", "d1", "d2").agg(F.min("doc_id").alias("first"))
-    copies = keyed.join(first, ["d0", "d1", "d2"]).where("doc_id > first").select("doc_id")
+    keyed = docs.select("doc_id", *(d.alias(f"d{k}") for k, d in enumerate(digest)))
+    keyed = keyed.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(64)))
+    # a text that many documents share meets its copies in 64 places; its least id is found from these
+    own = ["d0", "d1", "d2"]
+    place = keyed.groupBy(*own, "salt").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"))
+    among = Window.partitionBy(*own)
+    place = place.withColumns({"first": F.min("least").over(among), "n": F.sum("n").over(among)}).where("n > 1")
+    copies = keyed.join(place.select(*own, "salt", "first"), [*own, "salt"]).where("doc_id > first").select("doc_id")
     kept = docs.join(copies, "doc_id", "left_anti")
     rollup = rollups.Rollup(spark, shared_path(spark, "rollup"))
     pattern = public_tokenizers.PATTERN

@@ -5,10 +5,13 @@ Joined with the counts on record, a batch becomes signed rows: what it adds is p
 it takes back negative.  Their sums by source, language and tokenizer version are the batch's
 delta, and the totals are the sum of all deltas: nothing is ever recounted.
 
-A batch owns two folders named after it, ``counts/batch=N`` (the new state of the documents it
-touches) and ``deltas/batch=N``, written in this order by overwriting.  A folder without its
-success marker is not read, and a batch with a delta is not applied again, so a batch that
-failed midway, or is sent twice, leaves the totals right.  Batches are applied in order.
+Two logs of merged runs (``sources.runs``) hold the counts, of which a merge keeps each document's
+last, and the deltas, which a merge sums.  A batch writes its counts, then its delta, which commits
+it, then a mark in ``commits``, and only then the logs are merged.  Counts without a delta are not
+read and are written again, and a committed batch is not applied again, so a batch that failed
+midway, or is sent twice, leaves the totals right.  Batches are applied in order; numbers may be
+left out.  A read opens a bounded number of folders after any number of batches; only the listing
+of the marks grows with them.
 """
 
 from __future__ import annotations
@@ -22,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from statuspulse.sources.runs import BATCH, RunTable
+
 KEYS = ("source", "lang", "version")
 MEASURES = ("documents", "tokens", "characters")
 COUNTS = "doc_id long, source string, lang string, version string, tokens long, characters long, present boolean"
@@ -67,40 +72,44 @@ class Rollup:
     spark: SparkSession
     root: str
 
-    def _path(self, kind: str, batch: int) -> str:
-        return f"{self.root}/{kind}/batch={batch}"
-
-    def _batches(self, kind: str) -> list[int]:
-        """Committed batches: those whose folder has the marker that Spark writes last."""
-        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
-        pattern = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{kind}/batch=*/_SUCCESS")
-        found = pattern.getFileSystem(conf).globStatus(pattern)
-        return sorted(int(f.getPath().getParent().getName().split("=")[1]) for f in found or ())
-
-    def _read(self, kind: str, batches: list[int], schema: str) -> DataFrame:
-        if not batches:
-            return self.spark.createDataFrame([], schema)
-        parts = [
-            self.spark.read.schema(schema).parquet(self._path(kind, b)).withColumn("batch", F.lit(b)) for b in batches
-        ]
-        out = parts[0]
-        for part in parts[1:]:
-            out = out.unionByName(part)
-        return out
-
-    def state(self, before: int | None = None) -> DataFrame:
+    @property
+    def counts(self) -> RunTable:
+        return RunTable(self.spark, f"{self.root}/counts", keys=("doc_id",))
+
+    @property
+    def deltas(self) -> RunTable:
+        return RunTable(self.spark, f"{self.root}/deltas", reduce=_summed)
+
+    def _marks(self, pattern: str):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/commits/{pattern}")
+        return path, path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def committed(self) -> set[int]:
+        """Batches whose delta is written; those of merged runs are known by their marks."""
+        pattern, files = self._marks("*")
+        marked = {int(f.getPath().getName()) for f in files.globStatus(pattern) or ()}
+        return marked | {number for level, number in self.deltas.runs() if level == 0}
+
+    def _settle(self, done: set[int]) -> None:
+        """Marks of ``done``, then the merges that are due."""
+        for level, number in self.deltas.runs():
+            if level == 0 and number in done:
+                path, files = self._marks(str(number))
+                files.create(path, True).close()
+        last = max(done)
+        self.counts.settle(last)
+        self.deltas.settle(last)
+
+    def state(self) -> DataFrame:
         """The documents on record: the latest row of each, if it is present."""
-        batches = [b for b in self._batches("deltas") if before is None or b < before]
-        rows = self._read("counts", batches, COUNTS)
-        if not batches:
-            return rows
-        latest = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("batch")))
-        return rows.withColumn("nth", latest).where("nth = 1 AND present").drop("nth", "batch")
+        last = max(self.committed(), default=-1)
+        rows = self.counts.read(COUNTS).where(F.col(BATCH) <= last)
+        latest = F.max_by(F.struct(*_names(COUNTS)[1:]), BATCH).alias("_latest")
+        return rows.groupBy("doc_id").agg(latest).select("doc_id", "_latest.*").where("present").drop("present")
 
     def totals(self) -> DataFrame:
         """source, lang, version, documents, tokens, characters; groups that came to nothing are left out."""
-        rows = self._read("deltas", self._batches("deltas"), DELTAS)
-        summed = rows.groupBy(*KEYS).agg(*(F.sum(m).alias(m) for m in MEASURES))
+        summed = _summed(self.deltas.read(DELTAS)).drop(BATCH)
         return summed.where("documents <> 0 OR tokens <> 0 OR characters <> 0")
 
     def apply(self, batch: int, changes: DataFrame, version: str, vocabulary: str, pattern: str) -> bool:
@@ -113,7 +122,11 @@ class Rollup:
         characters, more tokens, the greater source and language; rows without an id or with
         another op are ignored.
         """
-        done = self._batches("deltas")
+        if batch < 0:
+            raise ValueError("batches are numbered from 0")
+        done = self.committed()
+        if done:
+            self._settle(done)  # a batch may have been lost after its commit
         if batch in done:
             return False
         if done and batch < max(done):
@@ -128,16 +141,21 @@ class Rollup:
             Window.partitionBy("doc_id").orderBy(F.desc("op"), F.desc("characters"), F.desc("tokens"), F.desc("source"), F.desc("lang"))
         )
         fresh = counted.withColumn("nth", order).where("nth = 1").select(*_names(COUNTS))
-        fresh.write.mode("overwrite").parquet(self._path("counts", batch))
-        after = self.spark.read.schema(COUNTS).parquet(self._path("counts", batch))
+        self.counts.write(fresh, batch)
+        after = self.counts.of(batch)
         # what it takes back: the counts on record of the documents it touches
-        back = self.state(before=batch).join(after.select("doc_id"), "doc_id", "left_semi")
+        back = self.state().join(after.select("doc_id"), "doc_id", "left_semi")
         signed = _signed(after.where("present"), 1).unionByName(_signed(back, -1))
         delta = signed.groupBy(*KEYS).agg(*(F.sum(m).alias(m) for m in MEASURES))
-        delta.coalesce(1).write.mode("overwrite").parquet(self._path("deltas", batch))
+        self.deltas.write(delta.coalesce(1), batch)
+        self._settle(done | {batch})
         return True
 
 
+def _summed(rows: DataFrame) -> DataFrame:
+    return rows.groupBy(*KEYS).agg(*(F.sum(m).alias(m) for m in MEASURES), F.max(BATCH).alias(BATCH))
+
+
 def _names(schema: str) -> list[str]:
     return [c.split()[0] for c in schema.split(", ")]
 
