@@ -98,6 +98,29 @@ def test_velocities_equal_sequential_run(spark, seed):
         assert a == pytest.approx(b)
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_runs_in_one_pass_equal_the_two_steps(spark, seed):
+    """A busy site, days without a change or a poll, sites of one poll, counts of 0."""
+    rng, rows = random.Random(seed), []
+    for site, many, step in ((1, 600, 20), (2, 150, 400), (3, 40, 3000), (4, 1, 1)):
+        ts, n = datetime(2024, 3, 1), 9
+        for _ in range(many):
+            rows.append((site, ts, n, rng.randrange(3), rng.choice([None, 0, 2]), 10, rng.random()))
+            ts += timedelta(minutes=rng.choice([1, 1, 3]) * step + rng.choice([0, 0, 0, 0, 0, 4000]))
+            n = max(0, n + rng.choice([0, 0, -1, -1, -2, 7 if n < 2 else 0]))
+    rng.shuffle(rows)
+    schema = "site_id long, ts timestamp_ntz, avail long, in_use long, unknown long, total long, extra double"
+    polls = spark.createDataFrame(rows, schema)
+    settings = Settings(velocity_counts=(1, 2, 4))
+    want = transitions.with_velocities(transitions.changes(polls), settings=settings)
+    none = [(None, datetime(2024, 3, 1), 1, 1, 1, 3, 0.0), (1, None, 1, 1, 1, 3, 0.0)]
+    got = transitions.change_runs(polls.union(spark.createDataFrame(none, schema)), settings=settings)
+    assert set(got.columns) == set(want.columns)
+    assert any(len(r.means) == 3 for r in want.collect())
+    assert sorted(map(repr, got.select(want.columns).collect())) == sorted(map(repr, want.collect()))
+    assert transitions.change_runs(polls.limit(0), settings=settings).collect() == []
+
+
 def test_depletion_golden_values(spark):
     """Velocities 60/85, 60/137 and 60/89 per minute, 10 ports left."""
     v = [60 / 89, 60 / 137, 60 / 85]  # newest first

@@ -111,7 +111,7 @@ def figures(changed: DataFrame) -> DataFrame:
 
 
 def velocities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return transitions.with_velocities(changes(spark, sf_dir), settings=SETTINGS)
+    return transitions.change_runs(polls(spark, sf_dir), settings=SETTINGS)
 
 
 def placed(table: DataFrame) -> DataFrame:
