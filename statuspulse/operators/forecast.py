@@ -8,14 +8,18 @@ from pyspark.ml.classification import NaiveBayes, RandomForestClassifier
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from statuspulse.functions import codes, time
 from statuspulse.params import DEFAULTS, STATUS_CODES, Settings
+from statuspulse.session import materialise
 
 FEATURES = ("feature_dow", "feature_hour", "feature_slot")
+#: A site's mean count in all and at an hour: what tells sites apart, however many there are.
+LEVELS = ("site_level", "site_hour_level")
 
 
 def week_ordinal(settings: Settings) -> Column:
@@ -152,6 +156,68 @@ def train_forest(
     return forest.fit(_labelled(assemble(rows, features=features), classes))
 
 
+def train_count_forest(
+    rows: DataFrame, *, settings: Settings = DEFAULTS, features: Sequence[str] = FEATURES
+):
+    """Regression forest over slot counts.
+
+    A node keeps three sums, whatever the largest count, where a class per count takes as many as
+    there are outlets; and counts that are near each other are near in the loss.
+    """
+    forest = RandomForestRegressor(
+        numTrees=settings.forest_trees,
+        maxDepth=settings.forest_depth,
+        maxBins=settings.forest_bins,
+        seed=settings.forest_seed,
+        cacheNodeIds=True,
+        checkpointInterval=10,
+        maxMemoryInMB=1024,
+        # a leaf is a mean, as a slot of the baseline is
+        minInstancesPerNode=5,
+    )
+    return forest.fit(assemble(rows, features=features))
+
+
+def site_levels(counts: DataFrame, *, keys: Sequence[str] = ("site_id",)) -> DataFrame:
+    """``LEVELS`` of every site and each hour it has: at most 24 rows a site."""
+    hours = counts.groupBy(*keys, "hour").agg(F.sum("avail_count").alias("_sum"), F.count("avail_count").alias("_n"))
+    site = Window.partitionBy(*keys)
+    return hours.select(
+        *keys,
+        "hour",
+        F.try_divide(F.sum("_sum").over(site), F.sum("_n").over(site)).alias("site_level"),
+        F.try_divide(F.col("_sum"), F.col("_n")).alias("site_hour_level"),
+    )
+
+
+def with_levels(rows: DataFrame, levels: DataFrame, *, keys: Sequence[str] = ("site_id",)) -> DataFrame:
+    """Add ``LEVELS``; an hour that history lacks has its site's level, a site it lacks has 0."""
+    per_site = levels.groupBy(*keys).agg(
+        F.max("site_level").alias("site_level"),
+        F.map_from_entries(F.collect_list(F.struct("hour", "site_hour_level"))).alias("_hours"),
+    )
+    found = rows.join(per_site, list(keys), "left")
+    level = F.coalesce("site_level", F.lit(0.0))
+    of_hour = F.coalesce(F.element_at("_hours", F.col("hour")), level)
+    return found.withColumns({"site_hour_level": of_hour, "site_level": level}).drop("_hours")
+
+
+def train_sites(counts: DataFrame, *, settings: Settings = DEFAULTS, keys: Sequence[str] = ("site_id",)):
+    """One forest for all sites, told apart by their levels, and the levels."""
+    levels = materialise(site_levels(counts, keys=keys), "site_levels")
+    rows = with_levels(training_rows(counts), levels, keys=keys)
+    return train_count_forest(rows, settings=settings, features=(*FEATURES, *LEVELS)), levels
+
+
+def predict_sites(
+    model, levels: DataFrame, grid: DataFrame, *, keys: Sequence[str] = ("site_id",)
+) -> DataFrame:
+    """Predicted count of every row of a grid of sites, rounded as the baseline's."""
+    rows = with_levels(grid, levels, keys=keys)
+    scored = predict_week(model, rows, features=(*FEATURES, *LEVELS))
+    return scored.withColumn("countavailable", F.round("prediction").cast("int")).drop(*LEVELS)
+
+
 def train_bayes(rows: DataFrame, *, classes: int | None = None, smoothing: float = 0.5):
     """Multinomial naive Bayes on the same features."""
     return NaiveBayes(smoothing=smoothing).fit(_labelled(assemble(rows), classes))

@@ -165,6 +165,23 @@ def predict_fleet_week(
     return forecast.predict_week(model, grid)
 
 
+def predict_site_weeks(
+    spark: SparkSession,
+    root: str,
+    *,
+    as_of: datetime,
+    settings: Settings = DEFAULTS,
+    keys: Sequence[str] = ("site_id",),
+) -> DataFrame:
+    """One forest over the look-back of all sites; every slot of a week of each of them."""
+    counts = materialise(
+        training_counts(spark, root, as_of=as_of, settings=settings, keys=keys), "site_counts"
+    )
+    model, levels = forecast.train_sites(counts, settings=settings, keys=keys)
+    sites = levels.select(*keys).distinct()
+    return forecast.predict_sites(model, levels, forecast.week_grid(sites, settings=settings), keys=keys)
+
+
 def store_predictions(
     predicted: DataFrame, root: str, *, schedule: str, settings: Settings = DEFAULTS, keys=()
 ) -> None:
@@ -195,18 +212,24 @@ def refresh(
     settings: Settings = DEFAULTS,
     force: bool = False,
     mapped: DataFrame | None = None,
+    keys: Sequence[str] = (),
 ) -> bool:
     """The whole refresh; without new days nothing is done unless forced.
 
     ``force`` also rebuilds the history from the raw readings; ``mapped`` is their zone map.
+    With ``keys``, such as ``("site_id",)``, every site has its own week, windows and insights;
+    without, one is made for the fleet.
     """
     worked = ingest_days(
         spark, readings, root, as_of=as_of, settings=settings, rebuild=force, mapped=mapped
     )
     if not worked and not force:
         return False
-    predicted = predict_fleet_week(spark, root, as_of=as_of, settings=settings)
-    store_predictions(predicted, root, schedule=schedule, settings=settings)
+    if keys:
+        predicted = predict_site_weeks(spark, root, as_of=as_of, settings=settings, keys=keys)
+    else:
+        predicted = predict_fleet_week(spark, root, as_of=as_of, settings=settings)
+    store_predictions(predicted, root, schedule=schedule, settings=settings, keys=keys)
     return True
 
 

