@@ -70,6 +70,14 @@ def slot_shift(zone: str, slot_minutes: int) -> int | None:
     return shifts.pop() // timedelta(minutes=1)
 
 
+@lru_cache
+def offset_range(zone: str) -> int:
+    """Minutes between the zone's least and greatest offset, month by month over 1972 to 2099."""
+    info = ZoneInfo(zone)
+    offsets = [datetime(year, month, 1, tzinfo=info).utcoffset() for year in range(1972, 2100) for month in range(1, 13)]
+    return -((min(offsets) - max(offsets)) // timedelta(minutes=1))
+
+
 def slots_align(zone: str, slot_minutes: int) -> bool:
     """Whether the zone's slots are GMT slots: its offsets are whole numbers of slots."""
     return slot_shift(zone, slot_minutes) == 0

@@ -2,8 +2,10 @@
 
 import hashlib
 import json
+import random
 import zipfile
 from dataclasses import replace
+from datetime import datetime, timedelta
 from pathlib import Path
 
 import pytest
@@ -266,10 +268,44 @@ def test_slot_streams_over_batches(spark, tmp_path, zone):
     assert first.count() == batch.count()
 
 
-def test_slots_that_are_no_windows(spark):
+@pytest.mark.parametrize("change", ["2024-04-06 15:00:00", "2024-10-05 15:30:00"])
+@pytest.mark.parametrize("width", [60, 20])
+def test_slots_that_are_no_windows(spark, tmp_path, change, width):
+    """A zone whose clock is moved by half an hour, over the change, in three files."""
+    settings = Settings(slot_minutes=width, zone="Australia/Lord_Howe")
+    middle = datetime.fromisoformat(change)
+    rng, rows = random.Random(width), []
+    for minute in range(-600, 600, 7):
+        for outlet in (1, 2):
+            status = rng.choice(["available", "in_use", "unknown"])
+            rows.append((1, 5, outlet, status, middle + timedelta(minutes=minute + outlet)))
+    schema = "site_id long, device_id long, outlet_id int, status string, ts timestamp_ntz"
+    source = str(tmp_path / "readings")
+    for k in range(3):
+        part = rows[k * len(rows) // 3 : (k + 1) * len(rows) // 3]
+        spark.createDataFrame(part, schema).write.mode("append").parquet(source)
+        stream = stream_files(spark, source, schema)
+        out = {
+            name: run_available(run(stream, settings=settings, delay="3 hours"), str(tmp_path / name), mode=mode)
+            for name, run, mode in (
+                ("condensed", slot_stream.condense, "update"),
+                ("counts", slot_stream.window_counts, "update"),
+                ("first", slot_stream.first_in_slot, "append"),
+            )
+        }
+    batch = slots.condense(spark.createDataFrame(rows, schema), settings=settings)
+    latest = newest_version(out["condensed"], [*slots.OUTLET_KEY, *slot_stream.slot_key(settings)])
+    columns = [*slots.OUTLET_KEY, "status", "slot_date", "dow", "hour", "slot"]
+    assert _rows(slot_stream.localised(latest, settings=settings), *columns) == _rows(batch, *columns)
+    assert latest.where("second_pass").count() == (2 * (1 if width == 60 else 2) if change < "2024-05" else 0)
+    assert out["first"].count() == batch.count()
+    counted = newest_version(out["counts"], ["site_id", "slot_start", *slot_stream.IRREGULAR])
+    assert counted.agg(F.sum("reading_count")).first()[0] == len(rows)
+    assert counted.count() == batch.where("outlet_id = 1").count()
+
+
+def test_delays_shorter_than_a_slot(spark):
     readings = adapter.readings(spark, SF_DIR)
-    with pytest.raises(ValueError, match="regular"):
-        slot_stream.window_counts(readings, settings=Settings(slot_minutes=60, zone="Australia/Lord_Howe"))
     with pytest.raises(ValueError, match="shorter"):
         slot_stream.first_in_slot(readings, settings=Settings(slot_minutes=60), delay="10 minutes")
 

@@ -566,6 +566,23 @@ FROM (
   QUALIFY row_number() OVER (PARTITION BY batch, device_id, outlet_id ORDER BY ts DESC, event_id DESC) = 1)
 GROUP BY batch, site_id""").replace("SELECT batch,", "SELECT CAST(batch AS INTEGER) AS batch,", 1)
 SQL["live_current_stats"] = SQL["current_stats"]
+SQL["stream_irregular_slots"] = q(READINGS + """,
+moved AS (SELECT * REPLACE (ts + INTERVAL 91 DAY AS ts) FROM readings),
+localised AS (
+  SELECT *, ts AT TIME ZONE 'UTC' AT TIME ZONE 'Australia/Lord_Howe' AS local_ts,
+         (ts - INTERVAL 30 MINUTE) AT TIME ZONE 'UTC' AT TIME ZONE 'Australia/Lord_Howe' AS before
+  FROM moved),
+firsts AS (
+  SELECT *, date_trunc('hour', local_ts) AS slot_at, before = local_ts AS second_pass FROM localised
+  QUALIFY row_number() OVER (
+    PARTITION BY site_id, device_id, outlet_id, slot_at, second_pass ORDER BY ts) = 1)""", f"""
+SELECT site_id, second_pass, {ts_text('slot_at')} AS slot_start,
+       count(*) FILTER (WHERE status = 'available') AS avail_count,
+       count(*) FILTER (WHERE status = 'in_use') AS in_use_count,
+       count(*) FILTER (WHERE status = 'unknown') AS unknown_count, count(*) AS reading_count,
+       strftime(slot_at, '%Y-%m-%d') AS slot_date, CAST(dayofweek(slot_at) + 1 AS INTEGER) AS dow,
+       CAST(hour(slot_at) AS INTEGER) AS hour, CAST(minute(slot_at) // 60 AS INTEGER) AS slot
+FROM firsts GROUP BY site_id, second_pass, slot_at""")
 # how the forest is grown cannot be said; that it is no worse than the baseline can
 SQL["count_forest_holdout"] = q(counts() + """,
 bound AS (SELECT max(slot_date) - 10 AS newest FROM counts),

@@ -809,6 +809,22 @@ def stream_slot_counts(spark, sf_dir):
     return plain(counted.drop("slot_start"))
 
 
+#: A zone whose clock is moved by half an hour, and how many days later it is, to meet that change.
+HALF_HOUR, LATER = replace(SETTINGS, zone="Australia/Lord_Howe"), 91
+
+
+def stream_irregular_slots(spark, sf_dir):
+    """Status counts of local slots that no fixed windows fit, from a stream over a change of the clock."""
+    moved = F.col("ts") + F.make_dt_interval(F.lit(LATER))
+    stream = _reading_stream(spark, sf_dir).withColumn("ts", moved)
+    rows = run_available(
+        slot_stream.condense(stream, settings=HALF_HOUR, delay=DELAY), shared_path(spark, "slots"), mode="update"
+    )
+    latest = newest_version(rows, [*slots.OUTLET_KEY, *slot_stream.slot_key(HALF_HOUR)])
+    counted = slots.slot_counts(slot_stream.localised(latest, settings=HALF_HOUR), settings=HALF_HOUR, keys=("site_id", "second_pass"))
+    return plain(counted)
+
+
 def _told(rows):
     rows = monitor.on_time(rows) if "late" in rows.columns else rows
     return plain(
@@ -1056,7 +1072,7 @@ REGISTERED = {
         json_forecast_round_trip, replaced_schedule, stats_upsert, compacted_records,
         compacted_changes, newest_decreases,
         # streams
-        stream_window_counts, stream_slot_dedupe, stream_slot_counts, stream_transitions,
+        stream_window_counts, stream_slot_dedupe, stream_slot_counts, stream_irregular_slots, stream_transitions,
         stream_notices, backlog_transitions, backlog_notices, live_snapshot_polls,
         replaced_latest_polls,
         live_current_stats, live_alerts, live_alerts_by_day,
