@@ -22,12 +22,12 @@ import math
 import re
 import struct
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
-from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -49,6 +49,10 @@ ENTRY_BYTES = 450
 TOGETHER, AT_ONCE = 64, 8192
 #: Texts that are cut before their parts are looked up.
 TEXTS = 256
+#: Pieces that are decoded at once.
+DECODED = 1 << 18
+EDIT_TYPE = pa.struct([("at", pa.int32()), ("instead_of", pa.int32()), ("ids", pa.list_(pa.int32()))])
+N_BEST_TYPE = pa.list_(pa.struct([("score", pa.int64()), ("changed", pa.int32()), ("edits", pa.list_(EDIT_TYPE))]))
 _NONE = -(1 << 60)
 
 
@@ -86,7 +90,10 @@ class Pieces:
         self.begin: dict[str, tuple[int, int] | None] = {
             p[:n]: None for p in self.score for n in range(1, len(p))
         } | self.score
-        # the same as arrays: a node per beginning, and edges in the order of (node, next character)
+        self.raw_bytes = np.frombuffer(b"".join(self.raw), np.uint8)
+        self.raw_size = np.array([len(r) for r in self.raw], np.int64)
+        self.raw_start = np.cumsum(self.raw_size) - self.raw_size
+        # the beginnings as arrays: a node per beginning, and edges in the order of (node, next character)
         node = {"": 0} | {p: k for k, p in enumerate(self.begin, 1)}
         edges = sorted((node[p[:-1]] << 21 | ord(p[-1]), node[p]) for p in self.begin)
         self.edge_key, self.edge_to = np.array(edges, np.int64).T.copy()
@@ -354,11 +361,22 @@ class Pieces:
             return []
         return self.cut.findall(SPACE + text.replace(" ", SPACE))
 
+    def bytes_of(self, ids: np.ndarray) -> bytes:
+        """What these pieces stand for, end to end; so many at a time that the positions stay few."""
+        some = (ids[k : k + DECODED] for k in range(0, len(ids), DECODED))
+        return b"".join([self.raw_bytes[_joined(self.raw_start[x], self.raw_size[x])].tobytes() for x in some])
+
     def decode(self, ids) -> str:
         raw = b"".join([self.raw[k] for k in ids])
         return raw[1:].decode("utf-8", "replace") if raw[:1] == b" " else raw.decode("utf-8", "replace")
 
 
+def _joined(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The positions of runs of these starts and sizes, run after run."""
+    end = np.cumsum(size)
+    return np.repeat(start - end + size, size) + np.arange(end[-1] if len(end) else 0)
+
+
 @lru_cache(maxsize=1)
 def load(model_file: str) -> Pieces:
     return Pieces(model_file)
@@ -383,13 +401,12 @@ class _Parts(dict):
             self.clear()
             self.size = 0
         old, unseen = self.old, []
-        for part in parts:
-            if part not in self:
-                value = old.get(part)
-                if value is not None:
-                    self[part] = value
-                elif len(part) <= TOGETHER:
-                    unseen.append(part)
+        for part in parts.difference(self):
+            value = old.get(part)
+            if value is not None:
+                self[part] = value
+            elif len(part) <= TOGETHER:
+                unseen.append(part)
         before = len(self)
         unseen.sort(key=len)  # those of like length together
         for k in range(0, len(unseen), AT_ONCE):
@@ -410,26 +427,34 @@ class _Parts(dict):
 def segmentations(parts: list[tuple], n: int, pieces: Pieces) -> list[tuple[int, list[tuple[int, tuple, tuple]]]]:
     """The ``n`` cheapest segmentations of a text: cost above the best, and (part, its ids, its ids in the best)
     for each part that is cut otherwise.  Of equal costs the one whose ids are less comes first.
+    """
+    costs = np.array([p[2] for p in parts], np.float64)
+    return _cheapest(costs, lambda k: parts[k][3], n, pieces)
+
+
+def _cheapest(
+    costs: np.ndarray, part_at: Callable[[int], str], n: int, pieces: Pieces
+) -> list[tuple[int, list[tuple[int, tuple, tuple]]]]:
+    """``segmentations`` of parts whose second choices have these costs (exact: all are far below 2 ** 53).
 
     At most n - 1 parts matter, those whose second choice costs least; of these the further
     choices are searched.
     """
-    costs = [p[2] for p in parts]
-    last = max(heapq.nsmallest(n - 1, costs), default=-1)
+    few = max(0, min(n - 1, len(costs)))
+    last = np.partition(costs, few - 1)[few - 1] if few else -1
     options: dict[str, list[tuple[int, tuple[int, ...]]]] = {}
     near = []
-    for k, cost in enumerate(costs):
-        if cost <= last and cost < math.inf:
-            part = parts[k][3]
-            if part not in options:
-                options[part] = (pieces.known_best if len(part) <= LONG else pieces.best)(part, n)
-            found = options[part]
-            # of parts with one cost, the earlier one makes less ids less, and greater ids greater
-            more = found[1][1] > found[0][1]
-            near.append((cost, more, -k if more else k, k))
+    for k in np.flatnonzero((costs <= last) & (costs < math.inf)).tolist():
+        part = part_at(k)
+        if part not in options:
+            options[part] = (pieces.known_best if len(part) <= LONG else pieces.best)(part, n)
+        found = options[part]
+        # of parts with one cost, the earlier one makes less ids less, and greater ids greater
+        more = found[1][1] > found[0][1]
+        near.append((costs[k], more, -k if more else k, k))
     combined: list[tuple] = [(0, (), [])]
     for k in sorted([x[3] for x in heapq.nsmallest(n - 1, near)]):
-        found = options[parts[k][3]]
+        found = options[part_at(k)]
         best, ids = found[0]
         combined = heapq.nsmallest(
             n,
@@ -455,6 +480,56 @@ def _edit(start: int, new: tuple[int, ...], old: tuple[int, ...]) -> dict:
     return {"at": start + head, "instead_of": len(old) - tail - head, "ids": new[head : len(new) - tail]}
 
 
+def segmented(part: pa.RecordBatch, known: _Parts, n_best: int) -> pa.RecordBatch:
+    """The columns of ``encode`` for ids and texts; each different part of these is looked up once."""
+    pieces = known.pieces
+    columns = [[], [], [], []]
+    texts = [text or "" for text in part.column(1).to_pylist()]
+    cut = [pieces.parts_of(text) for text in texts]
+    different = set().union(*cut)
+    known.learn(different)
+    place = dict(zip(different, range(len(different))))
+    found = [known[p] for p in different]
+    packed = [p[0] for p in found]
+    sizes = np.array([len(p) for p in packed], np.int64) // 4
+    begins = np.cumsum(sizes) - sizes
+    all_ids = np.frombuffer(b"".join(packed), np.int32)
+    scores = np.array([p[1] for p in found], np.int64)
+    costs = np.array([p[2] for p in found], np.float64)
+    for text, own in zip(texts, cut):
+        at = np.fromiter(map(place.__getitem__, own), np.int64, len(own))
+        size = sizes[at]
+        ids = all_ids[_joined(begins[at], size)]
+        score = int(scores[at].sum())
+        again = pieces.bytes_of(ids)
+        best = _cheapest(costs[at], own.__getitem__, n_best, pieces)
+        columns[0].append(ids)
+        columns[1].append(score)
+        starts = np.cumsum(size) - size
+        columns[2].append(
+            [
+                {
+                    "score": score - cost,
+                    "changed": len(changes),
+                    "edits": [_edit(int(starts[k]), new, old) for k, new, old in changes],
+                }
+                for cost, changes in best
+            ]
+        )
+        columns[3].append(again == ((" " + text).encode() if text else b""))
+    ends = np.cumsum([0, *(len(x) for x in columns[0])]).astype(np.int32)
+    return pa.RecordBatch.from_arrays(
+        [
+            part.column(0),
+            pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(columns[0]))),
+            pa.array(columns[1], pa.int64()),
+            pa.array(columns[2], N_BEST_TYPE),
+            pa.array(columns[3], pa.bool_()),
+        ],
+        ["doc_id", "pieces", "score", "n_best", "round_trip"],
+    )
+
+
 def encode(
     docs: DataFrame, model_file: str, id_column: str = "doc_id", text_column: str = "text", n_best: int = 4
 ) -> DataFrame:
@@ -467,8 +542,6 @@ def encode(
     and one segmentation.  ``model_file`` must exist on every executor.
     """
     kind = docs.schema[id_column].dataType
-    edit = pa.struct([("at", pa.int32()), ("instead_of", pa.int32()), ("ids", pa.list_(pa.int32()))])
-    n_best_type = pa.list_(pa.struct([("score", pa.int64()), ("changed", pa.int32()), ("edits", pa.list_(edit))]))
 
     @kernel.giving_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -477,13 +550,14 @@ def encode(
         try:
             for batch in batches:
                 # a few texts at a time bound the memory, whatever their lengths
+                lengths = pc.fill_null(pc.utf8_length(batch.column(1)), 0).to_pylist()
                 at = 0
                 while at < batch.num_rows:
                     size, end = 0, at
                     while end < min(at + TEXTS, batch.num_rows) and size < 1 << 20:
-                        size += len(batch.column(1)[end].as_py() or "")
+                        size += lengths[end]
                         end += 1
-                    yield segmented(batch.slice(at, end - at), known)
+                    yield segmented(batch.slice(at, end - at), known, n_best)
                     at = end
         finally:
             del known
@@ -491,45 +565,6 @@ def encode(
             if collecting:
                 gc.enable()
 
-    def segmented(part: pa.RecordBatch, known: _Parts) -> pa.RecordBatch:
-        pieces = known.pieces
-        raw = pieces.raw
-        columns = [[], [], [], []]
-        texts = [text or "" for text in part.column(1).to_pylist()]
-        cut = [pieces.parts_of(text) for text in texts]
-        known.learn(set().union(*cut))
-        for text, own in zip(texts, cut):
-            parts = [known[p] for p in own]
-            ids = np.frombuffer(b"".join([p[0] for p in parts]), np.int32)
-            score = sum([p[1] for p in parts])
-            again = b"".join([raw[k] for k in ids.tolist()])
-            best = segmentations(parts, n_best, pieces)
-            columns[0].append(ids)
-            columns[1].append(score)
-            starts = [0, *accumulate([len(p[0]) // 4 for p in parts])]
-            columns[2].append(
-                [
-                    {
-                        "score": score - cost,
-                        "changed": len(changes),
-                        "edits": [_edit(starts[k], new, old) for k, new, old in changes],
-                    }
-                    for cost, changes in best
-                ]
-            )
-            columns[3].append(again == ((" " + text).encode() if text else b""))
-        ends = np.cumsum([0, *(len(x) for x in columns[0])]).astype(np.int32)
-        return pa.RecordBatch.from_arrays(
-            [
-                part.column(0),
-                pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(columns[0]))),
-                pa.array(columns[1], pa.int64()),
-                pa.array(columns[2], n_best_type),
-                pa.array(columns[3], pa.bool_()),
-            ],
-            ["doc_id", "pieces", "score", "n_best", "round_trip"],
-        )
-
     rows = docs.select(docs[id_column].alias("doc_id"), docs[text_column].cast("string").alias("text"))
     return rows.mapInArrow(
         run,

@@ -4,6 +4,7 @@ import random
 from itertools import product
 
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -146,3 +147,35 @@ def test_many_equally_good(lattice):
         want = every(lattice, text)[:5] if len(text) < 20 else lattice.best_of_long(text, 5)
         assert [lattice.best(text, n) for n in (1, 2, 5)] == [want[:n] for n in (1, 2, 5)]
         assert lattice.first(text)[:2] == want[0][::-1]
+
+
+def test_a_part_is_looked_up_once(lattice):
+    """However often the texts repeat a part; what is decoded in blocks is the texts."""
+
+    class Counted(pieces._Parts):
+        asked = 0
+
+        def __getitem__(self, part):
+            self.asked += 1
+            return super().__getitem__(part)
+
+    known = Counted(lattice)
+    texts = ["the thing the " * 500, None, "", "it ñ🙂 it", "\x00" + "y" * 500, "▁ the", "the thing"]
+    rows = pa.RecordBatch.from_arrays([pa.array(range(7)), pa.array(texts)], ["doc_id", "text"])
+    got = pieces.segmented(rows, known, 4).to_pylist()
+    assert known.asked == len({p for t in texts for p in lattice.parts_of(t or "")})
+    plain = pieces._Parts(lattice)
+    for text, row in zip(texts, got, strict=True):
+        parts = [plain[p] for p in lattice.parts_of(text or "")]
+        best = sum(p[1] for p in parts)
+        assert row["pieces"] == [k for p in parts for k in memoryview(p[0]).cast("i")]
+        assert row["score"] == best
+        assert [x["score"] for x in row["n_best"]] == [best - c for c, _ in pieces.segmentations(parts, 4, lattice)]
+        assert row["round_trip"] == ("▁" not in (text or ""))
+
+
+def test_bytes_in_blocks(lattice, monkeypatch):
+    monkeypatch.setattr(pieces, "DECODED", 3)
+    for text in ["", *samples(7, 40)]:
+        ids = [k for p in lattice.parts_of(text) for k in lattice.first(p)[0]]
+        assert lattice.bytes_of(pieces.np.array(ids, "i4")) == b"".join(lattice.raw[k] for k in ids)
