@@ -22,6 +22,7 @@ import math
 import re
 import struct
 from array import array
+from collections import Counter
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -49,6 +50,8 @@ ENTRY_BYTES = 450
 TOGETHER, AT_ONCE = 64, 8192
 #: Texts that are cut before their parts are looked up.
 TEXTS = 256
+#: Characters whose edges are in a table.
+FREQUENT = 63
 #: Pieces that are decoded at once.
 DECODED = 1 << 18
 EDIT_TYPE = pa.struct([("at", pa.int32()), ("instead_of", pa.int32()), ("ids", pa.list_(pa.int32()))])
@@ -97,6 +100,14 @@ class Pieces:
         node = {"": 0} | {p: k for k, p in enumerate(self.begin, 1)}
         edges = sorted((node[p[:-1]] << 21 | ord(p[-1]), node[p]) for p in self.begin)
         self.edge_key, self.edge_to = np.array(edges, np.int64).T.copy()
+        # a table of the edges by node for the characters that most of them have, 0 where there is none
+        points = Counter(p[-1] for p in self.begin)
+        self.column_of = np.zeros(0x110000, np.int8)
+        for k, (point, _) in enumerate(points.most_common(FREQUENT), 1):
+            self.column_of[ord(point)] = k
+        at, point = self.edge_key >> 21, self.column_of[self.edge_key & 0x1FFFFF]
+        self.edge_table = np.zeros((len(node), 1 + FREQUENT), np.int32)
+        self.edge_table[at[point > 0], point[point > 0]] = self.edge_to[point > 0]
         values = [(-1, _NONE), *((-1, _NONE) if v is None else v for v in self.begin.values())]
         self.node_piece, self.node_score = np.array(values, np.int64).T.copy()
 
@@ -194,10 +205,22 @@ class Pieces:
                 loss = score
         return tuple(ids[::-1]), total, loss
 
+    def onward(self, node: np.ndarray, point: np.ndarray) -> np.ndarray:
+        """The nodes that characters lead to from nodes; 0 where no piece goes on."""
+        column = self.column_of[point]
+        to = self.edge_table[node, column]
+        rare = np.flatnonzero(column == 0)
+        if len(rare):
+            key = node[rare].astype(np.int64) << 21 | point[rare]
+            place = np.minimum(np.searchsorted(self.edge_key, key), len(self.edge_key) - 1)
+            to[rare] = np.where(self.edge_key[place] == key, self.edge_to[place], 0)
+        return to
+
     def first_of_many(self, parts: list[str]) -> list[tuple[bytes, int, float]]:
         """``first`` of many short parts at once, the ids packed: positions in turn, parts side by side."""
-        order = sorted(range(len(parts)), key=lambda k: -len(parts[k]))
-        lengths = np.array([len(parts[k]) for k in order])
+        lengths = np.array([len(p) for p in parts])
+        order = np.argsort(-lengths, kind="stable")
+        lengths, order = lengths[order], order.tolist()
         many, longest = len(parts), int(lengths[0])
         column = np.arange(many)
         points = np.frombuffer("".join([parts[k] for k in order]).encode("utf-32-le"), np.uint32)
@@ -211,17 +234,15 @@ class Pieces:
         tied = np.zeros((longest + 1, many), bool)
         edges = []
         for at in range(longest):
-            rows, node = column[: as_long[at + 1]], np.zeros(as_long[at + 1], np.int64)
+            rows, node = column[: as_long[at + 1]], np.zeros(as_long[at + 1], np.int32)
             for end in range(at + 1, longest + 1):
                 rows = rows[: np.searchsorted(rows, as_long[end])]
                 if not len(rows):
                     break
                 point = text[end - 1, rows]
-                key = node[: len(rows)] << 21 | point
-                place = np.minimum(np.searchsorted(self.edge_key, key), len(self.edge_key) - 1)
-                longer = self.edge_key[place] == key
-                node = self.edge_to[place]
-                score = np.where(longer, self.node_score[node], _NONE)
+                node = self.onward(node[: len(rows)], point)
+                longer = node > 0
+                score = self.node_score[node]
                 ids = self.node_piece[node]
                 if end == at + 1:  # a character without a piece stands as its bytes
                     alone = score == _NONE

@@ -179,3 +179,15 @@ def test_bytes_in_blocks(lattice, monkeypatch):
     for text in ["", *samples(7, 40)]:
         ids = [k for p in lattice.parts_of(text) for k in lattice.first(p)[0]]
         assert lattice.bytes_of(pieces.np.array(ids, "i4")) == b"".join(lattice.raw[k] for k in ids)
+
+
+def test_table_of_edges(lattice):
+    """Frequent characters by the table, the others by search: the same beginnings as in the dictionary."""
+    node = {"": 0} | {p: k for k, p in enumerate(lattice.begin, 1)}
+    rng = random.Random(11)
+    some = ["", *rng.sample(sorted(lattice.begin), 3000)]
+    pairs = [(p, c) for p in some for c in "e▁Z漢é\x00\U0010ffff" + p[-1:]] + [(p[:-1], p[-1]) for p in some if p]
+    to = lattice.onward(
+        pieces.np.array([node[p] for p, _ in pairs], "i4"), pieces.np.array([ord(c) for _, c in pairs], "i8")
+    )
+    assert to.tolist() == [node.get(p + c, 0) for p, c in pairs]
